@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import heavy, pairs
+from runweave.llm import heavy, pairs, plainform, runs
 from runweave.sources.tables import table
 
 
@@ -40,7 +40,25 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("item_a").alias("title_a"), F.col("item_b").alias("title_b"), "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_top": p1_top, "p2_found": p2_found, "p2_scores": p2_scores}
+def p3_plain(spark: SparkSession, d: str) -> DataFrame:
+    return plainform.changed(table(spark, d, "tracks"), "track_id", ["artist", "title"])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_plain(spark, d).select("track_id", "field")
+
+
+def p4_runs(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "samples")
+    events = s.select(F.col("set_id").alias("seq"), F.col("sample_idx").alias("idx"), "ts", F.col("hit.artist").alias("artist"), F.col("hit.title").alias("title"), F.col("received_at").alias("received"))
+    return runs.runs(events).withColumnRenamed("seq", "set_id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_runs(spark, d).where("n > 1").select("set_id", "first_ts", "last_ts")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p3_found, p3_plain, p4_found, p4_runs)}
 
 _VALUES = """SELECT 'artist' AS field, hit.artist AS item FROM samples WHERE hit.artist <> ''
   UNION ALL SELECT 'title', hit.title FROM samples WHERE hit.title <> ''"""
