@@ -63,11 +63,15 @@ class Same:
         if x[:2] == y[:2]:
             # Blanks and punctuation apart; numbers must not run into one another.
             return x[2][0] == y[2][0] or "".join(x[2][0]) == "".join(y[2][0])
-        return x[2] == y[2] and within(x[0], y[0], self.slips) and within(x[1], y[1], self.slips)
+        only, other = set(x[2][1]) - set(y[2][1]), set(y[2][1]) - set(x[2][1])
+        return x[2][0] == y[2][0] and not (only and other) and within(x[0], y[0], self.slips) and within(x[1], y[1], self.slips)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], slips: int) -> Iterator[pa.RecordBatch]:
-    """Joins neighbouring runs of each (seq, block); rows come sorted by seq, block, pos."""
+def _encode(batches: Iterator[pa.RecordBatch], slips: int, edges: bool) -> Iterator[pa.RecordBatch]:
+    """Joins neighbouring runs of each (seq, block); rows come sorted by seq, block, pos.
+
+    edges: the rows are first (even pos) and last (odd pos) runs of blocks; a last run never
+    joins the first one of its own block, as other runs lie between or they differ."""
     same = Same(slips)
     group, done, run = None, [], None
 
@@ -97,9 +101,10 @@ def _encode(batches: Iterator[pa.RecordBatch], slips: int) -> Iterator[pa.Record
         m = len(seq)
         if not m:
             continue
+        apart = (cols[2].to_numpy() % 2 == 1) if edges else np.zeros(m, bool)
         plain = pc.and_(pc.equal(cols[9], cols[11]), pc.equal(cols[10], cols[12])).fill_null(False).to_numpy(zero_copy_only=False)
         fresh = np.ones(m, bool)
-        fresh[1:] = (seq_id[1:] != seq_id[:-1]) | (block[1:] != block[:-1]) | (ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1]) | ~plain[1:] | ~plain[:-1]
+        fresh[1:] = (seq_id[1:] != seq_id[:-1]) | (block[1:] != block[:-1]) | (ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1]) | ~plain[1:] | ~plain[:-1] | apart[1:]
         heads = np.flatnonzero(fresh)
         tails = np.append(heads[1:], m) - 1
         sums = np.add.reduceat(n, heads)
@@ -114,7 +119,7 @@ def _encode(batches: Iterator[pa.RecordBatch], slips: int) -> Iterator[pa.Record
                     out = []
             head = (words[0][ids[0][h]], words[1][ids[1][h]])
             tail = (words[2][ids[2][t]], words[3][ids[3][t]])
-            if run and same((run[11], run[12]), head):
+            if run and not apart[h] and same((run[11], run[12]), head):
                 run[5], run[6], run[11], run[12] = int(last[t]), run[6] + total, *tail
             else:
                 close()
@@ -132,9 +137,9 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], NAMES)
 
 
-def _level(summaries: DataFrame, slips: int) -> DataFrame:
+def _level(summaries: DataFrame, slips: int, edges: bool) -> DataFrame:
     ordered = summaries.repartition("seq", "block").sortWithinPartitions("seq", "block", "pos")
-    return ordered.mapInArrow(lambda it: _encode(it, slips), SCHEMA)
+    return ordered.mapInArrow(lambda it: _encode(it, slips, edges), SCHEMA)
 
 
 def runs(events: DataFrame, *, width: int = 4096, slips: int = 2) -> DataFrame:
@@ -155,7 +160,7 @@ def runs(events: DataFrame, *, width: int = 4096, slips: int = 2) -> DataFrame:
     )
     kept = None
     for whole in (False, True):
-        state = cut(_level(state, slips))
+        state = cut(_level(state, slips, whole))
         final = state if whole else state.where("NOT edge")
         kept = final if kept is None else kept.unionByName(final)
         # The edges of the blocks, in the order of blocks, are one block of the next level.
