@@ -67,18 +67,21 @@ class Same:
         return x[2][0] == y[2][0] and not (only and other) and within(x[0], y[0], self.slips) and within(x[1], y[1], self.slips)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], slips: int, edges: bool) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch | list], slips: int, edges: bool) -> Iterator[pa.RecordBatch]:
     """Joins neighbouring runs of each (seq, block); rows come sorted by seq, block, pos.
 
+    Of a block the runs are held until its end is known; where edges are joined, nothing is held.
+
     edges: the rows are first (even pos) and last (odd pos) runs of blocks; a last run never
     joins the first one of its own block, as other runs lie between or they differ."""
     same = Same(slips)
     group, done, run = None, [], None
+    out: list[list] = []
 
     def close() -> None:
         nonlocal run
         if run:
-            done.append(run)
+            (out if edges else done).append(run)
         run = None
 
     def flush() -> list[list]:
@@ -88,42 +91,42 @@ def _encode(batches: Iterator[pa.RecordBatch], slips: int, edges: bool) -> Itera
             r[2] = i
         return done
 
-    out: list[list] = []
     for b in batches:
-        cols = [b.column(i) for i in range(len(NAMES))]
-        seq, block, first, last, n = (cols[i].to_pylist() if i == 0 else cols[i].to_numpy() for i in (0, 1, 4, 5, 6))
-        texts = [c.fill_null("").dictionary_encode() for c in cols[9:13]]
-        ids = [t.indices.to_numpy() for t in texts]
-        words = [t.dictionary.to_pylist() for t in texts]
-        show = [cols[7].to_pylist(), cols[8].to_pylist()]
-        # Rows that just repeat the row before are joined by array operations.
-        seq_id = cols[0].dictionary_encode().indices.to_numpy()
-        m = len(seq)
+        cols = b if isinstance(b, list) else b.columns
+        m = len(cols[0])
         if not m:
             continue
+        seqs = cols[0].dictionary_encode()
+        seq_id, seq = seqs.indices.to_numpy(), seqs.dictionary.to_pylist()
+        block, first, last, n = (cols[i].to_numpy() for i in (1, 4, 5, 6))
+        made: dict[int, tuple] = {}
+        for c in cols[7:13]:  # the same column under several names is encoded once
+            if id(c) not in made:
+                d = c.dictionary_encode()
+                made[id(c)] = (d.indices.to_numpy(), d.dictionary.to_pylist())
+        (ia, wa), (it, wt), (ja, va), (jt, vt), (ka, ua), (kt, ut) = (made[id(c)] for c in cols[7:13])
         apart = (cols[2].to_numpy() % 2 == 1) if edges else np.zeros(m, bool)
-        plain = pc.and_(pc.equal(cols[9], cols[11]), pc.equal(cols[10], cols[12])).fill_null(False).to_numpy(zero_copy_only=False)
+        plain = np.ones(m, bool) if cols[9] is cols[11] else pc.and_(pc.equal(cols[9], cols[11]), pc.equal(cols[10], cols[12])).to_numpy(zero_copy_only=False)
         fresh = np.ones(m, bool)
-        fresh[1:] = (seq_id[1:] != seq_id[:-1]) | (block[1:] != block[:-1]) | (ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1]) | ~plain[1:] | ~plain[:-1] | apart[1:]
+        fresh[1:] = (seq_id[1:] != seq_id[:-1]) | (block[1:] != block[:-1]) | (ja[1:] != ja[:-1]) | (jt[1:] != jt[:-1]) | ~plain[1:] | ~plain[:-1] | apart[1:]
         heads = np.flatnonzero(fresh)
         tails = np.append(heads[1:], m) - 1
         sums = np.add.reduceat(n, heads)
         for h, t, total in zip(heads.tolist(), tails.tolist(), sums.tolist()):
-            g = (seq[h], int(block[h]))
+            g = (seq[seq_id[h]], int(block[h]))
             if g != group:
                 close()
                 out += flush()
                 done, group = [], g
-                if len(out) > 5000:
-                    yield _batch(out)
-                    out = []
-            head = (words[0][ids[0][h]], words[1][ids[1][h]])
-            tail = (words[2][ids[2][t]], words[3][ids[3][t]])
+            if len(out) > 5000:
+                yield _batch(out)
+                out.clear()
+            head, tail = (va[ja[h]], vt[jt[h]]), (ua[ka[t]], ut[kt[t]])
             if run and not apart[h] and same((run[11], run[12]), head):
                 run[5], run[6], run[11], run[12] = int(last[t]), run[6] + total, *tail
             else:
                 close()
-                run = [g[0], g[1], 0, False, int(first[h]), int(last[t]), total, show[0][h], show[1][h], *head, *tail]
+                run = [g[0], g[1], 0, False, int(first[h]), int(last[t]), total, wa[ia[h]], wt[it[h]], *head, *tail]
     close()
     out += flush()
     if out:
@@ -139,7 +142,14 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
 
 def _level(summaries: DataFrame, slips: int, edges: bool) -> DataFrame:
     ordered = summaries.repartition("seq", "block").sortWithinPartitions("seq", "block", "pos")
-    return ordered.mapInArrow(lambda it: _encode(it, slips, edges), SCHEMA)
+    return ordered.mapInArrow(lambda it: _encode(it if edges else map(_single, it), slips, edges), SCHEMA)
+
+
+def _single(b: pa.RecordBatch) -> list:
+    """Events as runs of one; the columns are shared, not copied."""
+    seq, block, pos, ts, a, t = b.columns
+    n = b.num_rows
+    return [seq, block, pos, None, ts, ts, pa.array(np.ones(n, np.int64)), a, t, a, t, a, t]
 
 
 def runs(events: DataFrame, *, width: int = 4096, slips: int = 2) -> DataFrame:
@@ -152,12 +162,7 @@ def runs(events: DataFrame, *, width: int = 4096, slips: int = 2) -> DataFrame:
         .select("seq", "idx", "e.ts", F.coalesce("e.artist", F.lit("")).alias("a"), F.coalesce("e.title", F.lit("")).alias("t"))
         .where("a <> '' OR t <> ''")
     )
-    ts, one = F.col("ts").cast("bigint"), F.lit(1).cast("bigint")
-    state = last.select(
-        "seq", F.floor(F.col("idx") / width).cast("bigint").alias("block"), F.col("idx").cast("bigint").alias("pos"), F.lit(True).alias("edge"),
-        ts.alias("first_ts"), ts.alias("last_ts"), one.alias("n"), F.col("a").alias("artist"), F.col("t").alias("title"),
-        F.col("a").alias("first_artist"), F.col("t").alias("first_title"), F.col("a").alias("last_artist"), F.col("t").alias("last_title"),
-    )
+    state = last.select("seq", F.floor(F.col("idx") / width).cast("bigint").alias("block"), F.col("idx").cast("bigint").alias("pos"), F.col("ts").cast("bigint").alias("ts"), "a", "t")
     kept = None
     for whole in (False, True):
         state = cut(_level(state, slips, whole))
