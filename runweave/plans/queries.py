@@ -2,5 +2,45 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from runweave.operators import multivalue as mv
+from runweave.sources.tables import table
+
+#: The register is read to the driver; beyond this many names it would have to be joined instead.
+REGISTER_LIMIT = 200_000
+
+
+def _register(spark: SparkSession, d: str) -> list[str]:
+    names = [r[0] for r in table(spark, d, "artists").select("name").where("name IS NOT NULL").limit(REGISTER_LIMIT + 1).collect()]
+    if len(names) > REGISTER_LIMIT:
+        raise ValueError(f"the register holds more than {REGISTER_LIMIT} names")
+    return names
+
+
+def p5_acts(spark: SparkSession, d: str) -> DataFrame:
+    """Every act of every track with its position."""
+    names = _register(spark, d)
+    return mv.split_values(table(spark, d, "tracks"), "track_id", "artist", protected=names, given=mv.given_names(names))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Acts of the tracks with several. Where artist and title stand in each other's place, artist holds no
+    acts; that is so where the two texts are more often used the other way round in the whole table."""
+    names = _register(spark, d)
+    tracks = table(spark, d, "tracks")
+    acts = mv.split_values(tracks, "track_id", "artist", protected=names, given=mv.given_names(names), least=2, whole=names)
+    uses = tracks.select(F.explode(F.array(F.struct(mv.letters(F.col("artist")).alias("k"), F.lit(1).alias("a")), F.struct(mv.letters(F.col("title")).alias("k"), F.lit(0).alias("a")))).alias("u")).select("u.*")
+    # One more use as an artist than as a title counts +1.
+    lean = uses.where("k <> ''").groupBy("k").agg(F.sum(F.col("a") * 2 - 1).alias("lean"))
+    some = acts.select("track_id").distinct()
+    both = tracks.join(some, "track_id", "left_semi").select("track_id", mv.letters(F.col("artist")).alias("ka"), mv.letters(F.col("title")).alias("kt"))
+    of = lambda k, name: lean.select(F.col("k").alias(k), F.col("lean").alias(name))
+    leaning = both.join(of("ka", "la"), "ka", "left").join(of("kt", "lt"), "kt", "left")
+    swapped = leaning.where("coalesce(la, 0) < coalesce(lt, 0)").select("track_id")
+    return acts.join(swapped, "track_id", "left_anti").select("track_id", "pos", "name")
+
+
+QUERIES: dict = {f.__name__: f for f in (p5_found, p5_acts)}
 SQL: dict[str, str] = {}
