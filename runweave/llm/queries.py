@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import heavy, pairs, plainform, runs
+from runweave.llm import heavy, pairs, plainform, runs, variants
+from runweave.operators import multivalue
 from runweave.sources.tables import table
 
 
@@ -58,7 +59,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_runs(spark, d).where("n > 1").select("set_id", "first_ts", "last_ts")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p3_found, p3_plain, p4_found, p4_runs)}
+def _one_act(spark: SparkSession, d: str, names: DataFrame) -> DataFrame:
+    """The names that hold a single act."""
+    register = [r[0] for r in table(spark, d, "artists").select("name").where("name IS NOT NULL").limit(200_000).collect()]
+    twice = names.select(F.col("name").alias("whole"), F.col("name").alias("text"))
+    given = multivalue.given_names(register) | variants.FIRST
+    several = multivalue.split_values(twice, "whole", "text", protected=register, given=given, least=2, whole=register).select(F.col("whole").alias("name")).distinct()
+    return names.join(several, "name", "left_anti")
+
+
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of tracks that name one act of the register in another spelling, with the rule."""
+    t = table(spark, d, "tracks")
+    fields = {"artist": F.col("artist"), "original_artist": F.col("original_artist"), "title": variants.credit(F.col("title"))}
+    held = t.select("track_id", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), c.alias("name")) for n, c in fields.items()])).alias("x")).select("track_id", "x.field", "x.name").where("name <> ''")
+    distinct = held.select("name").distinct()
+    single = _one_act(spark, d, distinct)
+    found = variants.resolve(single, table(spark, d, "artists").select(F.col("artist_id").alias("id"), "name"))
+    return held.join(found, "name").select("track_id", "field", F.col("id").alias("artist_id"), "name", "rule")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_links(spark, d).select("track_id", "field", "artist_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p3_found, p3_plain, p4_found, p4_runs, p6_found, p6_links)}
 
 _VALUES = """SELECT 'artist' AS field, hit.artist AS item FROM samples WHERE hit.artist <> ''
   UNION ALL SELECT 'title', hit.title FROM samples WHERE hit.title <> ''"""
