@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import heavy, pairs, plainform, runs, variants
+from runweave.llm import copies, heavy, pairs, plainform, runs, variants
 from runweave.operators import multivalue
 from runweave.sources.tables import table
 
@@ -83,7 +83,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_links(spark, d).select("track_id", "field", "artist_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p3_found, p3_plain, p4_found, p4_runs, p6_found, p6_links)}
+def p7_copies(spark: SparkSession, d: str) -> DataFrame:
+    """One row per entry with its number of copies."""
+    return _copies(spark, d).where("id = keep_id").select(F.col("keep_id"), F.col("n").alias("copies"))
+
+
+def _copies(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies(table(spark, d, "tracks"), "track_id", ["artist", "title"], ["set_id", "ts"])
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _copies(spark, d).where("id <> keep_id").select("keep_id", F.col("id").alias("dup_id"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p3_found, p3_plain, p4_found, p4_runs, p6_found, p6_links, p7_found, p7_copies)}
 
 _VALUES = """SELECT 'artist' AS field, hit.artist AS item FROM samples WHERE hit.artist <> ''
   UNION ALL SELECT 'title', hit.title FROM samples WHERE hit.title <> ''"""
