@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import copies, heavy, pairs, plainform, runs, variants
+from runweave.llm import copies, heavy, packing, pairs, plainform, runs, variants
 from runweave.operators import multivalue
 from runweave.sources.tables import table
 
@@ -96,7 +96,25 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _copies(spark, d).where("id <> keep_id").select("keep_id", F.col("id").alias("dup_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p3_found, p3_plain, p4_found, p4_runs, p6_found, p6_links, p7_found, p7_copies)}
+CONTAINER_TOKENS = 4096
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one over the capacity, with its container and place in it."""
+    sized = packing.count_tokens(table(spark, d, "documents"), "doc_id", "text")
+    return packing.fill(sized, CONTAINER_TOKENS).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    each = p8_containers(spark, d).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    return each.agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"),
+        F.lit(CONTAINER_TOKENS).cast("bigint").alias("capacity"), F.max("tokens").alias("fullest"), F.round(F.sum("tokens") / (F.count(F.lit(1)) * CONTAINER_TOKENS), 6).alias("filled"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p3_found, p3_plain, p4_found, p4_runs, p6_found, p6_links, p7_found, p7_copies, p8_containers, p8_fill)}
 
 _VALUES = """SELECT 'artist' AS field, hit.artist AS item FROM samples WHERE hit.artist <> ''
   UNION ALL SELECT 'title', hit.title FROM samples WHERE hit.title <> ''"""
