@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import copies, heavy, packing, pairs, plainform, runs, variants
+from runweave.llm import copies, heavy, leaks, packing, pairs, plainform, runs, variants
 from runweave.operators import multivalue
 from runweave.sources.tables import table
 
@@ -114,7 +114,16 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p3_found, p3_plain, p4_found, p4_runs, p6_found, p6_links, p7_found, p7_copies, p8_containers, p8_fill)}
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The stretches of documents to remove, with the passage that each holds."""
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items")).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p3_found, p3_plain, p4_found, p4_runs, p6_found, p6_links, p7_found, p7_copies, p8_containers, p8_fill, p9_found, p9_spans)}
 
 _VALUES = """SELECT 'artist' AS field, hit.artist AS item FROM samples WHERE hit.artist <> ''
   UNION ALL SELECT 'title', hit.title FROM samples WHERE hit.title <> ''"""
