@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runweave.functions.text import UNKNOWN_TRACK, empty_to_null
@@ -42,10 +42,12 @@ _ANSWER = (
 )
 
 
-def recognised(answer: Column) -> Column:
-    """A recogniser's JSON answer as a match, null where it holds no track. Null names get the defaults;
-    a track without metadata has a null album."""
-    track = F.from_json(answer, _ANSWER)["track"]
+def recognised(df: DataFrame, answer: Column, name: str) -> DataFrame:
+    """``df`` with a recogniser's JSON answer as a match, null where it holds no track. Null names get the defaults;
+    a track without metadata has a null album. The answer is parsed once: the generator keeps the parsed
+    value from being put into every expression that uses it."""
+    parsed = df.select("*", F.explode(F.array(F.from_json(answer, _ANSWER)["track"])).alias("_track"))
+    track = F.col("_track")
     first = lambda a: F.try_element_at(a, F.lit(1))
     match = F.struct(
         F.coalesce(track["title"], F.lit("Unknown Title")).alias("title"),
@@ -54,7 +56,7 @@ def recognised(answer: Column) -> Column:
         first(first(track["sections"])["metadata"])["text"].alias("album"),
         F.coalesce(empty_to_null(track["images"]["coverarthq"]), empty_to_null(track["images"]["coverart"])).alias("coverart_url"),
     )
-    return F.when(track.isNotNull(), match)
+    return parsed.select(*[F.col(f"`{c}`") for c in df.columns], F.when(track.isNotNull(), match).alias(name))
 
 
 def song_cover(answer: Column) -> Column:

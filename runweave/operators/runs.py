@@ -51,7 +51,7 @@ def collapse(df: DataFrame, group: str, position: str, key: Column, carry: list[
     rows = local.join(border, ["g", "b"])
     start = F.col("k").isNotNull() & ~F.col("k").eqNullSafe(F.coalesce("pk", "carry_k"))
     rows = rows.withColumn("st", start).withColumn("run", F.col("base") + F.sum(start.cast("bigint")).over(chunk.rowsBetween(Window.unboundedPreceding, 0)))
-    begins = rows.where("st").select("g", "i", "c", F.lit(True).alias("matched"), "run")
-    gaps = rows.where("k IS NULL AND run > 0").groupBy("g", "run").agg(F.min(F.struct("i", "c")).alias("m")).select("g", "m.i", "m.c", F.lit(False).alias("matched"), "run")
-    out = begins.unionByName(gaps)
+    # A run has one start and any number of gap rows; the least position of either kind is kept.
+    kinds = rows.where("st OR (k IS NULL AND run > 0)").groupBy("g", "run", F.col("st").alias("matched"))
+    out = kinds.agg(F.min(F.struct("i", "c")).alias("m")).select("g", "m.i", "m.c", "matched", "run")
     return out.select(F.col("g").alias(group), F.col("i").alias(position), *[F.col(f"c.{c}").alias(c) for c in carry], "matched", "run")

@@ -93,9 +93,9 @@ SELECT set_id, sample_idx, CAST(ts AS BIGINT) AS ts, CASE WHEN st THEN artist EL
 FROM n WHERE st OR (k IS NULL AND run > 0 AND rn = 1)"""
 
 
-def latest_samples(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "samples").where("set_id IS NOT NULL AND sample_idx IS NOT NULL").select("set_id", "sample_idx", "ts", "received_at", *[F.col(f"hit.{c}").alias(c) for c in HIT])
-    return runs.latest(s, ["set_id", "sample_idx"], ["received_at", "ts", *HIT], ["ts", *HIT])
+def latest_samples(spark: SparkSession, d: str, fields: list[str] = HIT) -> DataFrame:
+    s = table(spark, d, "samples").where("set_id IS NOT NULL AND sample_idx IS NOT NULL").select("set_id", "sample_idx", "ts", "received_at", *[F.col(f"hit.{c}").alias(c) for c in fields])
+    return runs.latest(s, ["set_id", "sample_idx"], ["received_at", "ts", *fields], ["ts", *fields])
 
 
 def _collapsed(rows_: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ _K0 = "CASE WHEN coalesce(artist, '') <> '' OR coalesce(title, '') <> '' THEN lo
 @query(f"WITH {_LATEST}, {_DIMENSION}, x AS (SELECT set_id, sample_idx, ts, CASE WHEN c.cor_key IS NULL THEN s.artist ELSE ca END AS artist, CASE WHEN c.cor_key IS NULL THEN s.title ELSE ct END AS title FROM s LEFT JOIN c ON c.cor_key = {_key('s.artist', 's.title')} AND s.title IS NOT NULL), y AS (SELECT *, {_K0} FROM x), {_runs_sql('y')}")
 def dedup_samples(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: last delivery of each sample, corrections applied, one-off matches suppressed, runs collapsed with gaps."""
-    s = latest_samples(spark, d).withColumns({"original_artist": F.lit(None).cast("string"), "original_title": F.lit(None).cast("string")})
+    s = latest_samples(spark, d, ["title", "artist"]).withColumns({"original_artist": F.lit(None).cast("string"), "original_title": F.lit(None).cast("string")})
     matched = s.where("title IS NOT NULL")
     fixed = corrections.apply(matched, corrections.dimension(table(spark, d, "corrections")), skip_unidentified=False)
     return _collapsed(fixed.select(*s.columns).unionByName(s.where("title IS NULL")))
@@ -119,7 +119,7 @@ def dedup_samples(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LATEST}, y AS (SELECT *, {_K0} FROM s), {_runs_sql('y')}")
 def dedup_raw(spark: SparkSession, d: str) -> DataFrame:
-    return _collapsed(latest_samples(spark, d))
+    return _collapsed(latest_samples(spark, d, ["title", "artist"]))
 
 
 @query("""WITH y AS (SELECT user_id AS set_id, event_id AS sample_idx, event_id AS ts, '' AS artist, event_type AS title, CASE WHEN event_type <> 'error' THEN lower(event_type) END AS k0 FROM events), """ + _runs_sql("y"))
@@ -386,7 +386,7 @@ def recogniser_answers(spark: SparkSession, d: str) -> DataFrame:
     meta = F.array(F.struct(F.array(F.struct(F.col("hit.album").alias("text"))).alias("metadata")))
     track = F.struct(F.col("hit.title").alias("title"), F.col("hit.artist").alias("subtitle"), F.col("hit.shazam_url").alias("url"), F.struct(F.lit("").alias("coverarthq"), F.col("hit.coverart_url").alias("coverart")).alias("images"), meta.alias("sections"))
     answer = F.when(F.col("hit").isNull(), F.lit('{"matches": []}')).otherwise(F.to_json(F.struct(track.alias("track")), {"ignoreNullFields": "false"}))
-    m = s.select("set_id", "sample_idx", "received_at", rows.recognised(answer).alias("m"))
+    m = rows.recognised(s.select("set_id", "sample_idx", "received_at", answer.alias("answer")), F.col("answer"), "m")
     return m.select("set_id", "sample_idx", "received_at", "m.title", "m.artist", "m.album", "m.coverart_url")
 
 
