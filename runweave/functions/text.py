@@ -28,7 +28,7 @@ def time_label(seconds: Column) -> Column:
     s = seconds.cast("bigint")
     minutes, rest = F.expr("60L"), s % 60
     h, m = F.floor(s / 3600), F.floor((s % 3600) / minutes)
-    return F.when(s >= 3600, F.format_string("%d:%02d:%02d", h, m, rest)).otherwise(F.format_string("%d:%02d", F.floor(s / minutes), rest))
+    return F.when(s >= 3600, F.format_string("%d:%02d:%02d", h, m, rest)).when(s.isNotNull(), F.format_string("%d:%02d", F.floor(s / minutes), rest))
 
 
 def seconds_of(label: Column) -> Column:
@@ -41,7 +41,7 @@ def seconds_of(label: Column) -> Column:
 def duration_label(seconds: Column) -> Column:
     """``1h 2m 3s``, ``2m 5s`` or ``45s``; parts of a second are dropped."""
     h, m, s = (F.floor(x).cast("bigint") for x in (seconds / 3600, (seconds % 3600) / 60, seconds % 60))
-    return F.when(h > 0, F.format_string("%dh %dm %ds", h, m, s)).when(m > 0, F.format_string("%dm %ds", m, s)).otherwise(F.format_string("%ds", s))
+    return F.when(h > 0, F.format_string("%dh %dm %ds", h, m, s)).when(m > 0, F.format_string("%dm %ds", m, s)).when(s.isNotNull(), F.format_string("%ds", s))
 
 
 def correction_key(artist: Column, title: Column) -> Column:

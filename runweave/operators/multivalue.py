@@ -14,8 +14,8 @@ word with nothing on one side, and a comma before a single initial, article, pre
 Edge cases: null and empty fields give no rows; a field with one value gives one row; empty
 values between delimiters are left out and take no position; an odd number of double
 quotes in a field means they are text; repeated rows are split alike; texts of any length
-are handled by the same array steps; an empty table gives an empty table; the key column may
-have any name, as columns are addressed by position.
+are handled by the same array steps; an empty table gives an empty table; a key
+column named pos, n or name gets an underscore behind its name in the result.
 """
 
 from __future__ import annotations
@@ -199,7 +199,7 @@ class Splitter:
             return np.empty(0, np.int64)
         left, right = np.arange(len(begin) - 1), np.arange(1, len(begin))
         between = begin[right] - end[left]
-        ok = (parent[left] == parent[right]) & (buf[end[left]] == 44) & (between <= 3) & ~guarded[begin[right]] & ~guarded[begin[left]]
+        ok = (parent[left] == parent[right]) & (buf[end[left]] == 44) & (between >= 2) & (between <= 3) & (end[left] - begin[left] >= 3) & ~guarded[begin[right]] & ~guarded[begin[left]]
         commas = np.concatenate([[0], np.cumsum(cut)])
         ok &= commas[begin[right]] - commas[end[left]] == 1
         at = np.flatnonzero(ok)
@@ -267,10 +267,11 @@ def split_values(df: DataFrame, key: str, field: str, *, protected: Iterable[str
     """key, pos (from 1), n (values in the field), name; only fields with at least ``least`` values.
     whole: fields whose letters and digits are those of one of these names are one value in any writing."""
     splitter = Splitter(protected, given)
+    out_key = key + "_" if key in ("pos", "n", "name") else key
     source = df.select(F.col(key).alias("k"), F.col(field).cast("string").alias("v")).where("v IS NOT NULL AND v <> ''")
     if keys := sorted({letters_only(n) for n in whole if n and holds_delimiter(n)}):
         source = source.where(~letters(F.col("v")).isin(keys) | F.lit(least <= 1))
-    out = T.StructType([T.StructField(key, source.schema["k"].dataType), T.StructField("pos", T.LongType()), T.StructField("n", T.LongType()), T.StructField("name", T.StringType())])
+    out = T.StructType([T.StructField(out_key, source.schema["k"].dataType), T.StructField("pos", T.LongType()), T.StructField("n", T.LongType()), T.StructField("name", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,7 +281,7 @@ def split_values(df: DataFrame, key: str, field: str, *, protected: Iterable[str
             n = np.bincount(parent, minlength=b.num_rows)[parent]
             pick = np.flatnonzero(n >= least)
             take = pa.array(pick)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(parent[pick])), pa.array(pos[pick], pa.int64()), pa.array(n[pick], pa.int64()), texts.take(take)], [key, "pos", "n", "name"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(parent[pick])), pa.array(pos[pick], pa.int64()), pa.array(n[pick], pa.int64()), texts.take(take)], [out_key, "pos", "n", "name"])
 
     return source.mapInArrow(run, out)
 
