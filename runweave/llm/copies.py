@@ -35,6 +35,8 @@ from runweave.llm.plainform import TOP, _compose, _offsets, _row_of, tables
 from runweave.session import cut, parallelism
 
 LEVELS = (2, 4, 8, 16, 32, 64, 128, 256, 1024)
+#: Texts over this many letters are rotated one by one.
+LONG = 2048
 #: Tables of prefixes up to this size are broadcast (at most 1 KB each, mostly under 50 bytes).
 BROADCAST_ROWS = 20_000
 
@@ -72,6 +74,24 @@ def least_rotation(matrix: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 1, np.minimum(i, j), 0)
 
 
+def _least_rotation_of(text: list[int]) -> int:
+    """The same for one long text, without a matrix."""
+    n, i, j, k = len(text), 0, 1, 0
+    while i < n and j < n and k < n:
+        x, y = text[(i + k) % n], text[(j + k) % n]
+        if x == y:
+            k += 1
+            continue
+        if x > y:
+            i += k + 1
+        else:
+            j += k + 1
+        if i == j:
+            j += 1
+        k = 0
+    return min(i, j)
+
+
 def canonical(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
     """Code points and offsets of the canonical text of each row."""
     t, fold = tables(), _folding()
@@ -98,6 +118,11 @@ def canonical(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
         hi = min(n, lo + max(1, min(8192, 4_000_000 // int(size[order[min(n - 1, lo + 8191)]]))))
         pick = order[lo:hi]
         width = int(size[pick].max())
+        if width > LONG:
+            for r in pick.tolist():
+                start[r] = _least_rotation_of(codes[at[r] : at[r + 1]].tolist())
+            lo = hi
+            continue
         flat, off = take_rows(codes, at, pick)
         matrix = np.zeros((len(pick), width), np.uint32)
         matrix[np.repeat(np.arange(len(pick)), np.diff(off)), np.arange(off[-1]) - np.repeat(off[:-1], np.diff(off))] = flat

@@ -40,16 +40,28 @@ def within(a: str, b: str, k: int) -> bool:
     a, b = a[i : len(a) - j], b[i : len(b) - j]
     if not a or not b:
         return max(len(a), len(b)) <= k
-    before: list[int] = []
-    last = list(range(len(b) + 1))
+    # Only the diagonals -k to k are kept: place y - x + k of row x.
+    wide, far = 2 * k + 1, k + 1
+    last = [abs(c - k) if c >= k else far for c in range(wide)]
+    before = [far] * wide
     for x in range(1, len(a) + 1):
-        row = [x] + [k + 1] * len(b)
-        for y in range(max(1, x - k), min(len(b), x + k) + 1):
-            d = min(last[y] + 1, row[y - 1] + 1, last[y - 1] + (a[x - 1] != b[y - 1]))
+        row = [far] * wide
+        for c in range(wide):
+            y = x + c - k
+            if y < 0 or y > len(b):
+                continue
+            if y == 0:
+                row[c] = x
+                continue
+            d = last[c] + (a[x - 1] != b[y - 1])
+            if c + 1 < wide:
+                d = min(d, last[c + 1] + 1)
+            if c:
+                d = min(d, row[c - 1] + 1)
             if x > 1 and y > 1 and a[x - 1] == b[y - 2] and a[x - 2] == b[y - 1]:
-                d = min(d, before[y - 2] + 1)
-            row[y] = d
+                d = min(d, before[c] + 1)
+            row[c] = min(d, far)
         if min(row) > k:
             return False
         before, last = last, row
-    return last[-1] <= k
+    return last[len(b) - len(a) + k] <= k
