@@ -145,7 +145,7 @@ class Shard:
         known = flat > 1
         begin = known & np.concatenate([[True], ~known[:-1] | (doc[1:] != doc[:-1])]) if len(flat) else known
         run = np.cumsum(begin) - 1
-        length = np.bincount(run[known], minlength=int(begin.sum())) if len(flat) else np.empty(0, int)
+        length = np.bincount(run[known], minlength=int(begin.sum()) + 1) if len(flat) else np.empty(0, int)
         keep = np.flatnonzero(known & (length[np.maximum(run, 0)] >= self.p.seed)) if len(flat) else np.empty(0, np.int64)
         if not keep.size:
             return np.empty(0, np.int64), keep, keep
@@ -162,8 +162,10 @@ class Shard:
     def leaks(self) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, passage, first word, word after the last, matches) of each span, merged."""
         p = self.p
+        if not len(p.phrases):
+            return
         text, text_doc, text_pos = self._text()
-        if not len(text) or not len(p.phrases):
+        if not len(text):
             return
         index = FMIndex(text)
         phrase, at = index.locate(*index.search(p.phrases))

@@ -309,10 +309,12 @@ def plain_column(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def changed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """The fields that have another plain form: key, field, original, plain."""
+    """The fields that have another plain form: key, field, original, plain. A key named like one of the others
+    gets an underscore behind its name."""
     from pyspark.sql import functions as F
 
     source = df.select(F.col(key).alias("k"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
+    key = key + "_" if key in ("field", "original", "plain") else key
     out = T.StructType([T.StructField(key, source.schema["k"].dataType), T.StructField("field", T.StringType()), T.StructField("original", T.StringType()), T.StructField("plain", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,10 +33,10 @@ DET, PREP, CONJ, PRON, AUX, ADV, CONTENT, MIXED, NUMBER, SIGNS = range(10)
 # The function words of each language by kind.
 FUNCTION_WORDS = {
     "en": (
-        "the a an this that these those some any no every each all both its his her their our my your another such many few most more much several other",
+        "the a an this these those no every its his her their our my your",
         "of in to for with on at from by about as into through after over between out against during without before under around among until since near behind beside beyond towards upon off along across above below than like per",
         "and or but if because although though while when where whether so yet nor unless which who whom whose what why how either neither once",
-        "i you he she it we they me him us them who itself himself themselves myself one everyone nobody somebody everything nothing something anyone there",
+        "i you he she it we they me him us them that who itself himself themselves myself one everyone nobody somebody everything nothing something anyone there some any each all both another such many few most more much several other",
         "is was are were be been being has have had do does did will would can could should may might must shall don t s ve re ll d isn wasn didn doesn won",
         "not very too only just also then now here again never always still already even almost rather up down back away together later soon ever often first last well far long",
     ),
@@ -65,14 +65,14 @@ FUNCTION_WORDS = {
         "ne n pas plus très aussi bien déjà encore toujours jamais alors ici là puis trop peu seulement presque moins même tard directement",
     ),
 }
-#: Word classes (in the order above), follow-on classes (article before a function word, function before
+#: Word classes (in the order above), follow-on classes (a determiner before what is no part of its group or two prepositions and the like, other function before
 #: function, function before content, content before function, content before content) and
 #: character classes (letters, digits, blanks, sentence marks, other signs, line ends).
 PROFILES = {
-    "prose en": ((0.14, 0.13, 0.06, 0.06, 0.08, 0.05, 0.45, 0.005, 0.015, 0.01), (0.01, 0.22, 0.28, 0.28, 0.21), (0.795, 0.01, 0.165, 0.022, 0.004, 0.004)),
-    "prose de": ((0.14, 0.12, 0.06, 0.06, 0.08, 0.05, 0.46, 0.005, 0.015, 0.01), (0.01, 0.20, 0.29, 0.29, 0.21), (0.82, 0.01, 0.145, 0.02, 0.003, 0.002)),
-    "prose es": ((0.15, 0.15, 0.07, 0.06, 0.04, 0.04, 0.46, 0.005, 0.015, 0.01), (0.01, 0.22, 0.29, 0.28, 0.20), (0.80, 0.01, 0.165, 0.02, 0.003, 0.002)),
-    "prose fr": ((0.17, 0.14, 0.06, 0.05, 0.05, 0.05, 0.45, 0.005, 0.015, 0.01), (0.01, 0.23, 0.29, 0.28, 0.19), (0.79, 0.01, 0.165, 0.03, 0.003, 0.002)),
+    "prose en": ((0.12, 0.13, 0.06, 0.09, 0.08, 0.05, 0.44, 0.005, 0.015, 0.01), (0.02, 0.26, 0.27, 0.27, 0.18), (0.795, 0.01, 0.165, 0.022, 0.004, 0.004)),
+    "prose de": ((0.14, 0.12, 0.06, 0.06, 0.08, 0.05, 0.46, 0.005, 0.015, 0.01), (0.03, 0.20, 0.28, 0.28, 0.21), (0.82, 0.01, 0.145, 0.02, 0.003, 0.002)),
+    "prose es": ((0.15, 0.15, 0.07, 0.06, 0.04, 0.04, 0.46, 0.005, 0.015, 0.01), (0.03, 0.21, 0.28, 0.28, 0.20), (0.80, 0.01, 0.165, 0.02, 0.003, 0.002)),
+    "prose fr": ((0.17, 0.14, 0.06, 0.05, 0.05, 0.05, 0.45, 0.005, 0.015, 0.01), (0.03, 0.22, 0.28, 0.28, 0.19), (0.79, 0.01, 0.165, 0.03, 0.003, 0.002)),
     "names": ((0.05, 0.03, 0.02, 0.005, 0.01, 0.01, 0.81, 0.005, 0.05, 0.01), (0.002, 0.01, 0.10, 0.08, 0.808), (0.79, 0.03, 0.14, 0.03, 0.005, 0.005)),
     "list": ((0.04, 0.03, 0.01, 0.005, 0.01, 0.005, 0.55, 0.005, 0.16, 0.185), (0.002, 0.01, 0.09, 0.08, 0.818), (0.60, 0.08, 0.18, 0.05, 0.06, 0.03)),
     "words": ((0.0, 0.0, 0.0, 0.0, 0.0, 0.01, 0.94, 0.005, 0.035, 0.01), (0.0, 0.0, 0.01, 0.01, 0.98), (0.82, 0.02, 0.13, 0.005, 0.005, 0.02)),
@@ -80,15 +80,19 @@ PROFILES = {
     "records": ((0.01, 0.01, 0.005, 0.005, 0.005, 0.015, 0.42, 0.01, 0.17, 0.35), (0.001, 0.01, 0.04, 0.04, 0.909), (0.54, 0.13, 0.08, 0.07, 0.16, 0.02)),
     "encoded": ((0.0, 0.0, 0.0, 0.01, 0.01, 0.0, 0.12, 0.56, 0.22, 0.08), (0.0, 0.01, 0.04, 0.04, 0.91), (0.81, 0.145, 0.0, 0.0, 0.03, 0.015)),
     "signs": ((0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.02, 0.0, 0.02, 0.96), (0.0, 0.0, 0.0, 0.0, 1.0), (0.0, 0.0, 0.01, 0.2, 0.75, 0.04)),
-    "shuffled": ((0.10, 0.28, 0.10, 0.06, 0.14, 0.01, 0.30, 0.005, 0.0, 0.005), (0.08, 0.42, 0.21, 0.21, 0.08), (0.79, 0.0, 0.205, 0.002, 0.002, 0.001)),
-    "scrambled": ((0.08, 0.02, 0.01, 0.06, 0.02, 0.02, 0.60, 0.06, 0.02, 0.11), (0.01, 0.08, 0.18, 0.18, 0.55), (0.76, 0.01, 0.16, 0.03, 0.03, 0.01)),
+    "shuffled": ((0.10, 0.30, 0.08, 0.10, 0.14, 0.0, 0.275, 0.003, 0.001, 0.001), (0.20, 0.34, 0.19, 0.19, 0.08), (0.79, 0.0, 0.205, 0.002, 0.002, 0.001)),
+    "scrambled": ((0.06, 0.02, 0.01, 0.05, 0.02, 0.02, 0.64, 0.06, 0.02, 0.10), (0.01, 0.05, 0.15, 0.15, 0.64), (0.76, 0.01, 0.16, 0.03, 0.03, 0.01)),
 }
-NAMES = list(PROFILES)
 LANGUAGES = list(FUNCTION_WORDS)
+#: Prose in which four words in ten belong to names and titles.
+for _lang in LANGUAGES:
+    PROFILES[f"prose with names {_lang}"] = tuple(tuple(0.6 * a + 0.4 * b for a, b in zip(x, y)) for x, y in zip(PROFILES[f"prose {_lang}"], PROFILES["names"]))
+NAMES = list(PROFILES)
 PROSE = np.array([n.startswith("prose") for n in NAMES])
 _LENGTH = 16
 _PRIME = np.uint64(1_099_511_628_211)
 _POWERS = np.array([pow(int(_PRIME), k, 2**64) for k in range(_LENGTH)], np.uint64)
+BULLETS = "-*•·–—‣▪◦"
 SENTENCE_MARKS = ".,;:!?'\"()-’“”«»¿¡…–"
 
 
@@ -164,6 +168,17 @@ def _without_tags(text: np.ndarray, k: np.ndarray, longest: int = 60) -> np.ndar
     return np.where(inside, 2, k).astype(np.int8)
 
 
+def _bullets(text: np.ndarray, k: np.ndarray, seen: np.ndarray, line: np.ndarray, n_lines: int) -> np.ndarray:
+    """Whether each line begins with a bullet and a blank."""
+    at = np.flatnonzero(seen)
+    out = np.zeros(n_lines, bool)
+    if at.size:
+        lead = at[np.concatenate([[True], line[at][1:] != line[at][:-1]])]
+        mark = np.isin(text[lead], np.array([ord(c) for c in BULLETS], np.uint32)) & (k[np.minimum(lead + 1, len(k) - 1)] == 2)
+        out[line[lead[mark]]] = True
+    return out
+
+
 def measure(col: pa.Array, window: int = 400) -> dict[str, np.ndarray]:
     """All figures of each row of a string column."""
     low, kind, upper, keys, classes = _tables()
@@ -238,18 +253,23 @@ def measure(col: pa.Array, window: int = 400) -> dict[str, np.ndarray]:
     counts = np.bincount(word_seg * 10 + c, minlength=n_segs * 10).reshape(n_segs, 10)
     counts[:, SIGNS] = np.bincount(seg[np.flatnonzero(sign)], minlength=n_segs)
     f, nxt = c < CONTENT, np.append(c[1:], CONTENT)
-    pair = np.where((c == DET) & (nxt < CONTENT) & (nxt != ADV) & (nxt != DET), 0, np.where(f & (nxt < CONTENT), 1, np.where(f, 2, np.where(nxt < CONTENT, 3, 4))))
+    broken = ((c == DET) & np.isin(nxt, (PREP, CONJ, PRON, AUX))) | ((c == PREP) & np.isin(nxt, (PREP, AUX)))
+    pair = np.where(broken, 0, np.where(f & (nxt < CONTENT), 1, np.where(f, 2, np.where(nxt < CONTENT, 3, 4))))
     both = np.append(word_seg[1:] == word_seg[:-1], False)[:n_words]
     follow = np.bincount(word_seg[both] * 5 + pair[both], minlength=n_segs * 5).reshape(n_segs, 5)
+    follow[follow.sum(axis=1) == 0, 4] = 1
     targets = [np.array([PROFILES[x][i] for x in NAMES], float) for i in range(3)]
     targets = [x / x.sum(axis=1, keepdims=True) for x in targets]
-    score = divergence(_shares(counts), targets[0]) + divergence(_shares(follow), targets[1]) + 0.5 * divergence(_shares(chars), targets[2])
+    score = divergence(_shares(counts), targets[0]) + 3 * divergence(_shares(follow), targets[1]) + 0.5 * divergence(_shares(chars), targets[2])
     of_language = np.array([[not x.startswith("prose") or x.endswith(lang) for x in NAMES] for lang in LANGUAGES])
     score[~of_language[language]] = np.inf
     # Four lines or more with under three words each are a list, whatever the words are.
     lines_in = np.bincount(seg_of_line[full], minlength=n_segs)
     words_in = np.bincount(word_seg, minlength=n_segs)
-    score[np.ix_((lines_in >= 4) & (words_in < 3 * lines_in), PROSE)] = np.inf
+    # So are two or more short lines of which most begin with a bullet.
+    bullets = np.bincount(seg_of_line[_bullets(text, k, seen, line, n_lines)], minlength=n_segs)
+    listed = (lines_in >= 2) & (2 * bullets > lines_in) & (words_in < 12 * lines_in)
+    score[np.ix_(listed | (lines_in >= 4) & (words_in < 3 * lines_in), PROSE)] = np.inf
     profile = score.argmin(axis=1)
     weight = chars[:, [0, 1, 3, 4]].sum(axis=1)
     # Lines that stand in the document before, by a hash of their characters.

@@ -10,6 +10,10 @@ from runweave.operators import multivalue
 from runweave.sources.tables import table
 
 
+#: The register is read to the driver to find names that hold several acts; over this many is an error, not a cut.
+REGISTER_LIMIT = 200_000
+
+
 def _hit_fields() -> dict:
     return {"artist": F.col("hit.artist"), "title": F.col("hit.title")}
 
@@ -61,7 +65,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _one_act(spark: SparkSession, d: str, names: DataFrame) -> DataFrame:
     """The names that hold a single act."""
-    register = [r[0] for r in table(spark, d, "artists").select("name").where("name IS NOT NULL").limit(200_000).collect()]
+    register = [r[0] for r in table(spark, d, "artists").select("name").where("name IS NOT NULL").limit(REGISTER_LIMIT + 1).collect()]
+    if len(register) > REGISTER_LIMIT:
+        raise ValueError(f"the register holds more than {REGISTER_LIMIT} names")
     twice = names.select(F.col("name").alias("whole"), F.col("name").alias("text"))
     given = multivalue.given_names(register) | variants.FIRST
     several = multivalue.split_values(twice, "whole", "text", protected=register, given=given, least=2, whole=register).select(F.col("whole").alias("name")).distinct()
@@ -96,6 +102,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _copies(spark, d).where("id <> keep_id").select("keep_id", F.col("id").alias("dup_id"))
 
 
+#: Tokens that a container holds.
 CONTAINER_TOKENS = 4096
 
 

@@ -11,7 +11,7 @@ all rows is spread over as many tasks as it has blocks. Copies of one position a
 the map side before anything is moved.
 
 Neighbours are the same event if both fields agree in letters and digits after look-alike
-characters are made plain, or differ by ``slips`` slips of typing at most, and the numbers and
+characters are made plain, or differ by ``slips`` slips of typing at most (fewer in short names), and the numbers and
 version words of the title agree.
 
 Edge cases: rows without a sequence or position are in no sequence; an event is no match
@@ -56,6 +56,11 @@ class Same:
             got = self.known[event] = (key(artist), key(title), marks(title))
         return got
 
+    def _allowed(self, v: str, w: str) -> int:
+        """Short names bear fewer slips: none under four letters, one under seven."""
+        n = max(len(v), len(w))
+        return 0 if n < 4 else min(self.slips, 1) if n < 7 else self.slips
+
     def __call__(self, a: tuple[str, str], b: tuple[str, str]) -> bool:
         if a == b:
             return True
@@ -64,7 +69,7 @@ class Same:
             # Blanks and punctuation apart; numbers must not run into one another.
             return x[2][0] == y[2][0] or "".join(x[2][0]) == "".join(y[2][0])
         only, other = set(x[2][1]) - set(y[2][1]), set(y[2][1]) - set(x[2][1])
-        return x[2][0] == y[2][0] and not (only and other) and within(x[0], y[0], self.slips) and within(x[1], y[1], self.slips)
+        return x[2][0] == y[2][0] and not (only and other) and all(within(v, w, self._allowed(v, w)) for v, w in zip(x[:2], y[:2]))
 
 
 def _encode(batches: Iterator[pa.RecordBatch | list], slips: int, edges: bool) -> Iterator[pa.RecordBatch]:
