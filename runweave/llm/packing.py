@@ -239,5 +239,6 @@ def fill(sized: DataFrame, capacity: int, *, shard_items: int = 50_000, nodes: i
             part = t.filter(pa.array(by_shard == s)).combine_chunks()
             yield from _pack_shard(int(s), part["id"].combine_chunks(), part["tokens"].to_numpy(), capacity, nodes)
 
-    spread = sized.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "id")
+    # The row's place in the settled table is part of the hash, so that rows with one id, or none, are spread too.
+    spread = sized.withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards))).repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "id")
     return spread.mapInArrow(run, SCHEMA.format(kind=kind))

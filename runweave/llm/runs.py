@@ -66,8 +66,7 @@ class Same:
             return True
         x, y = self._of(a), self._of(b)
         if x[:2] == y[:2]:
-            # Blanks and punctuation apart; numbers must not run into one another.
-            return x[2][0] == y[2][0] or "".join(x[2][0]) == "".join(y[2][0])
+            return True
         only, other = set(x[2][1]) - set(y[2][1]), set(y[2][1]) - set(x[2][1])
         return x[2][0] == y[2][0] and not (only and other) and all(within(v, w, self._allowed(v, w)) for v, w in zip(x[:2], y[:2]))
 
