@@ -106,8 +106,8 @@ class Splitter:
                     mask[b] -= 1
         return np.cumsum(mask[:-1]) > 0
 
-    def split(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """Bytes and row offsets to (parent row, position from 1, value)."""
+    def split(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """Bytes and row offsets to (parent row, value), in order."""
         n_rows = len(at) - 1
         sizes = np.diff(at)
         # A zero byte ends each row, so that no look at a neighbour leaves the row.
@@ -222,7 +222,7 @@ class Splitter:
             index = index[held]
         return pa.StringArray.from_buffers(len(begin), pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(buf[index].tobytes()))
 
-    def _values(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    def _values(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         opened, closed = (np.concatenate([[0], np.cumsum(x[buf])]) for x in (_OPEN, _CLOSE))
         end = end.copy()
         for _ in range(3):  # brackets that were opened before the delimiter
@@ -247,10 +247,13 @@ class Splitter:
                     keep[a] = keep[b - 1] = False
                     keep[a + 1 : b - 1] &= ~twin[a + 1 : b - 1]
         texts = pc.utf8_trim(self._gather(buf, begin, end, keep), characters=" \t\r\n")
-        fresh = np.concatenate([[True], parent[1:] != parent[:-1]]) if len(parent) else np.empty(0, bool)
-        order = np.arange(len(parent))
-        pos = order - np.maximum.accumulate(np.where(fresh, order, 0)) + 1 if len(parent) else order
-        return parent, pos, texts
+        return parent, texts
+
+    def lists(self, col: pa.Array) -> pa.ListArray:
+        """The values of each row of a string column as a list array."""
+        parent, texts = self.split(*_buffers(col))
+        ends = np.cumsum(np.bincount(parent, minlength=len(col)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), texts)
 
 
 def _buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -275,13 +278,15 @@ def split_values(df: DataFrame, key: str, field: str, *, protected: Iterable[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parent, pos, texts = splitter.split(*_buffers(b.column(1)))
-            if not len(parent):
+            lists = splitter.lists(b.column(1))
+            rows = np.flatnonzero(pc.list_value_length(lists).to_numpy() >= max(1, least))
+            if not rows.size:
                 continue
-            n = np.bincount(parent, minlength=b.num_rows)[parent]
-            pick = np.flatnonzero(n >= least)
-            take = pa.array(pick)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(parent[pick])), pa.array(pos[pick], pa.int64()), pa.array(n[pick], pa.int64()), texts.take(take)], [out_key, "pos", "n", "name"])
+            lists = lists.take(pa.array(rows))
+            parent = pc.list_parent_indices(lists).to_numpy()
+            n = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            pos = np.arange(len(parent)) - np.repeat(np.cumsum(n) - n, n) + 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[parent])), pa.array(pos, pa.int64()), pa.array(n[parent]), pc.list_flatten(lists)], [out_key, "pos", "n", "name"])
 
     return source.mapInArrow(run, out)
 
