@@ -82,7 +82,7 @@ def p6_links(spark: SparkSession, d: str) -> DataFrame:
     distinct = held.select("name").distinct()
     single = _one_act(spark, d, distinct)
     found = variants.resolve(single, table(spark, d, "artists").select(F.col("artist_id").alias("id"), "name"))
-    return held.join(found, "name").select("track_id", "field", F.col("id").alias("artist_id"), "name", "rule")
+    return held.join(found, "name").select("track_id", "field", F.col("id").alias("artist_id"), "name", "rule", F.round("score", 6).alias("score"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -6,8 +6,8 @@ form; an equi-join finds the register names it can stand for. Slips of typing ar
 a form with one letter left out, made for both sides, so that one letter more, less or other and two
 exchanged neighbours meet on an equal form; a join on those is then checked exactly.
 
-Score: a rule's cost, and how rare the rewriting is, as the number of register names that share it.
-The cheapest rule decides; a name that then still stands for several register names is left open.
+Score: 1 / (register names that share the rewriting x (1 + cost of the rule)), so that rare and cheap
+rewritings count more. The best score decides; a name that then still stands for several register names is left open.
 
 Only distinct names are rewritten, so a name in a third of all rows costs no more than a rare
 one. The register may be large: it is never collected, and its forms are joined by shuffle.
@@ -178,28 +178,27 @@ def resolve(typed: DataFrame, register: DataFrame, *, shortest: int = 6, longest
     id_type = register.schema["id"].dataType.simpleString()
     known = register.where("id IS NOT NULL AND name IS NOT NULL").select("id", "name").distinct()
     forms = cut(known.mapInPandas(_forms, f"id {id_type}, known string, form string, first string, rule string, cost int, heard string"))
+    sharing = lambda c: forms.groupBy(c).agg(F.countDistinct("id").alias("n"))
+    by_text, by_ear = forms.join(sharing("form"), "form"), forms.join(sharing("heard"), "heard")
+    score = lambda extra: 1 / (F.col("n") * (1 + F.col("cost") + extra))
     names = cut(
         typed.where("name IS NOT NULL AND name <> ''").select("name").distinct()
         .mapInArrow(_plain, "name string, form string, first string, last string, heard string").where("form <> ''")
     )
     same = forms.where("cost = 0").select("form").distinct()
     new = names.join(same, "form", "left_anti")
-    by_form = new.join(forms.select("id", "form", "rule", "cost"), "form").select("name", "id", "rule", "cost")
-    by_sound = (
-        new.join(forms.where(f"cost <= 1 AND length(form) >= {shortest}").select("id", F.col("heard"), F.lit("sound").alias("rule"), (F.col("cost") + 2).alias("cost")), "heard")
-        .where(f"length(form) >= {shortest}").select("name", "id", "rule", "cost")
-    )
-    exact = by_form.unionByName(by_sound)
-    open_names = new.where(f"length(form) BETWEEN {shortest} AND {longest}")
-    left = open_names.select("name", F.col("form").alias("t"), F.col("first").alias("a"), "last", F.explode(_shorter(F.col("form"))).alias("s")).withColumn("s", F.xxhash64("s"))
-    right = forms.where(f"length(form) BETWEEN {shortest} AND {longest}").select("id", F.col("form").alias("f"), F.col("first").alias("h"), "cost", F.explode(_shorter(F.col("form"))).alias("s")).withColumn("s", F.xxhash64("s"))
-    pairs = left.join(right, "s").select("name", "t", "a", "last", "id", "f", "h", "cost").distinct()
+    exact = new.join(by_text.select("id", "form", "rule", score(0).alias("score")), "form").select("name", "id", "rule", "score")
+    heard = by_ear.where(f"cost <= 1 AND length(form) >= {shortest}").select("id", "heard", F.lit("sound").alias("rule"), score(2).alias("score"))
+    sounds = new.where(f"length(form) >= {shortest}").join(heard, "heard").select("name", "id", "rule", "score")
+    fits = f"length(form) BETWEEN {shortest} AND {longest}"
+    left = new.where(fits).select("name", F.col("form").alias("t"), F.col("first").alias("a"), "last", F.explode(_shorter(F.col("form"))).alias("s")).withColumn("s", F.xxhash64("s"))
+    right = by_text.where(fits).select("id", F.col("form").alias("f"), F.col("first").alias("h"), score(4).alias("score"), F.explode(_shorter(F.col("form"))).alias("s")).withColumn("s", F.xxhash64("s"))
+    met = left.join(right, "s").select("name", "t", "a", "last", "id", "f", "h", "score").distinct()
     check = F.pandas_udf(_checked, "boolean")
-    slips = pairs.where(check("t", "f", "a", "last", "h")).select("name", "id", F.lit("slip").alias("rule"), (F.col("cost") + 4).alias("cost"))
-    best = exact.unionByName(slips).groupBy("name", "id").agg(F.min(F.struct("cost", "rule")).alias("b"))
-    from pyspark.sql import Window
-
-    by_name = Window.partitionBy("name")
-    # The cheapest rule of a name decides, if it leads to one register name.
-    top = best.withColumn("m", F.min("b.cost").over(by_name)).where("b.cost = m").withColumn("n_forms", F.count(F.lit(1)).over(by_name))
-    return top.where("n_forms = 1").select("name", "id", F.col("b.rule").alias("rule"), F.col("b.cost").alias("cost"))
+    slips = met.where(check("t", "f", "a", "last", "h")).select("name", "id", F.lit("slip").alias("rule"), "score")
+    best = exact.unionByName(sounds).unionByName(slips).groupBy("name", "id").agg(F.max(F.struct("score", "rule")).alias("b"))
+    # The best score of a name decides, if it leads to one register name. Two names with equal scores are a list
+    # of as many rows as register names share the form, so no window is needed.
+    top = best.groupBy("name").agg(F.max("b.score").alias("top"))
+    ranked = best.join(top, "name").where("b.score = top").groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.first("id").alias("id"), F.first("b").alias("b"))
+    return ranked.where("m = 1").select("name", "id", F.col("b.rule").alias("rule"), F.col("b.score").alias("score"))
