@@ -179,21 +179,24 @@ def resolve(typed: DataFrame, register: DataFrame, *, shortest: int = 6, longest
     known = register.where("id IS NOT NULL AND name IS NOT NULL").select("id", "name").distinct()
     forms = cut(known.mapInPandas(_forms, f"id {id_type}, known string, form string, first string, rule string, cost int, heard string"))
     sharing = lambda c: forms.groupBy(c).agg(F.countDistinct("id").alias("n"))
-    by_text, by_ear = forms.join(sharing("form"), "form"), forms.join(sharing("heard"), "heard")
+    by_text, by_ear = (forms.join(sharing(c).hint("merge"), c) for c in ("form", "heard"))
     score = lambda extra: 1 / (F.col("n") * (1 + F.col("cost") + extra))
     names = cut(
         typed.where("name IS NOT NULL AND name <> ''").select("name").distinct()
         .mapInArrow(_plain, "name string, form string, first string, last string, heard string").where("form <> ''")
     )
+    # What the forms take up is no multiple of what their source takes up, so the optimizer's estimate is no bound:
+    # they are never broadcast.
+    apart = lambda df: df.hint("merge")
     same = forms.where("cost = 0").select("form").distinct()
-    new = names.join(same, "form", "left_anti")
-    exact = new.join(by_text.select("id", "form", "rule", score(0).alias("score")), "form").select("name", "id", "rule", "score")
+    new = names.join(apart(same), "form", "left_anti")
+    exact = new.join(apart(by_text.select("id", "form", "rule", score(0).alias("score"))), "form").select("name", "id", "rule", "score")
     heard = by_ear.where(f"cost <= 1 AND length(form) >= {shortest}").select("id", "heard", F.lit("sound").alias("rule"), score(2).alias("score"))
-    sounds = new.where(f"length(form) >= {shortest}").join(heard, "heard").select("name", "id", "rule", "score")
+    sounds = new.where(f"length(form) >= {shortest}").join(apart(heard), "heard").select("name", "id", "rule", "score")
     fits = f"length(form) BETWEEN {shortest} AND {longest}"
     left = new.where(fits).select("name", F.col("form").alias("t"), F.col("first").alias("a"), "last", F.explode(_shorter(F.col("form"))).alias("s")).withColumn("s", F.xxhash64("s"))
     right = by_text.where(fits).select("id", F.col("form").alias("f"), F.col("first").alias("h"), score(4).alias("score"), F.explode(_shorter(F.col("form"))).alias("s")).withColumn("s", F.xxhash64("s"))
-    met = left.join(right, "s").select("name", "t", "a", "last", "id", "f", "h", "score").distinct()
+    met = left.join(apart(right), "s").select("name", "t", "a", "last", "id", "f", "h", "score").distinct()
     check = F.pandas_udf(_checked, "boolean")
     slips = met.where(check("t", "f", "a", "last", "h")).select("name", "id", F.lit("slip").alias("rule"), "score")
     best = exact.unionByName(sounds).unionByName(slips).groupBy("name", "id").agg(F.max(F.struct("score", "rule")).alias("b"))
