@@ -199,7 +199,7 @@ def resolve(typed: DataFrame, register: DataFrame, *, shortest: int = 6, longest
     met = left.join(apart(right), "s").select("name", "t", "a", "last", "id", "f", "h", "score").distinct()
     check = F.pandas_udf(_checked, "boolean")
     slips = met.where(check("t", "f", "a", "last", "h")).select("name", "id", F.lit("slip").alias("rule"), "score")
-    best = exact.unionByName(sounds).unionByName(slips).groupBy("name", "id").agg(F.max(F.struct("score", "rule")).alias("b"))
+    best = cut(exact.unionByName(sounds).unionByName(slips).groupBy("name", "id").agg(F.max(F.struct("score", "rule")).alias("b")))
     # The best score of a name decides, if it leads to one register name. Two names with equal scores are a list
     # of as many rows as register names share the form, so no window is needed.
     top = best.groupBy("name").agg(F.max("b.score").alias("top"))
