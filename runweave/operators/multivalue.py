@@ -268,12 +268,16 @@ def _buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def split_values(df: DataFrame, key: str, field: str, *, protected: Iterable[str] = (), given: Iterable[str] = (), least: int = 1, whole: Iterable[str] = ()) -> DataFrame:
     """key, pos (from 1), n (values in the field), name; only fields with at least ``least`` values.
-    whole: fields whose letters and digits are those of one of these names are one value in any writing."""
+    whole: fields whose letters and digits are those of one of these names are one value in any writing; this is
+    looked at only where ``least`` asks for several."""
     splitter = Splitter(protected, given)
     out_key = key + "_" if key in ("pos", "n", "name") else key
     source = df.select(F.col(key).alias("k"), F.col(field).cast("string").alias("v")).where("v IS NOT NULL AND v <> ''")
-    if keys := sorted({letters_only(n) for n in whole if n and holds_delimiter(n)}):
-        source = source.where(~letters(F.col("v")).isin(keys) | F.lit(least <= 1))
+    if least > 1 and (names := sorted({n for n in whole if n and holds_delimiter(n)})):
+        same = letters(F.col("v")).isin(sorted({letters_only(n) for n in names}))
+        # Letters outside ASCII may stand for any letter of the name, as long as some of the field is ASCII.
+        foreign = F.col("v").rlike(r"[^\x00-\x7F]") & F.col("v").rlike("[A-Za-z]") & F.col("v").rlike(loosely(names))
+        source = source.where(~(same | foreign))
     out = T.StructType([T.StructField(out_key, source.schema["k"].dataType), T.StructField("pos", T.LongType()), T.StructField("n", T.LongType()), T.StructField("name", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,6 +305,16 @@ def letters_only(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalnum())
 
 
+def loosely(names: Iterable[str]) -> str:
+    """A Java pattern for whole texts that are one of the names in any case, blanks and punctuation, where a letter may be
+    written as any sign outside ASCII and invisible signs may stand between."""
+    gap = r"[^\p{L}\p{N}]*"
+    letter = lambda c: rf"[{re.escape(c.lower())}{re.escape(c.upper()) if len(c.upper()) == 1 else ''}[^\x00-\x7F]]"
+    word = lambda w: r"\p{Cf}*".join(map(letter, w))
+    every = (gap.join(word(w) for w in re.findall(r"[^\W_]+", n)) for n in names)
+    return f"^{gap}(?:{'|'.join(every)}){gap}$"
+
+
 def given_names(names: Iterable[str], least: int = 2) -> set[str]:
     """First words that begin several names of two words or more."""
     from collections import Counter

@@ -59,8 +59,9 @@ def test_repeats_nulls_and_empty(spark):
 
 
 def test_least_and_whole(spark):
-    got = split(spark, ["A & B", "C", "MOSS - & - THREAD"], least=2, whole=PROTECTED)
-    assert set(got) == {0}
+    texts = ["A & B", "C", "MOSS - & - THREAD", "Mоss & Ｔhread", "Mo\u200bss\u00a0&\u00a0Thread", "Мосс & Тхреад", "Moss & Threads", "É & B"]
+    got = split(spark, texts, least=2, whole=PROTECTED)
+    assert set(got) == {0, 5, 6, 7}
 
 
 @pytest.mark.parametrize("key", ["name", "pos", "n", "k", "v"])
