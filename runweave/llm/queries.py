@@ -153,7 +153,13 @@ f AS (SELECT set_id, title FROM i JOIN c USING (title) WHERE n_i >= 5),
 ab AS (SELECT x.title AS title_a, y.title AS title_b, count(*) AS n_ab FROM f x JOIN f y ON x.set_id = y.set_id AND x.title < y.title GROUP BY 1, 2 HAVING count(*) >= 5),
 s AS (SELECT title_a, title_b, ca.n_i AS n_a, cb.n_i AS n_b, n_ab, n FROM ab JOIN c ca ON ca.title = title_a JOIN c cb ON cb.title = title_b CROSS JOIN n)"""
 
+_COPIES = r"""k AS (SELECT track_id, set_id, ts, regexp_replace(lower(nfc_normalize(coalesce(artist, '') || ' ' || coalesce(title, ''))), '[^\p{L}\p{N}]', '', 'g') AS s FROM tracks WHERE track_id IS NOT NULL),
+c AS (SELECT *, list_min(list_transform(range(0, length(s)), lambda i: substring(s, i + 1) || substring(s, 1, i))) AS canon FROM k WHERE s <> ''),
+m AS (SELECT track_id, min(track_id) OVER w AS keep_id, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY set_id, ts, canon))"""
+
 SQL = {
+    "p7_found": f"WITH {_COPIES} SELECT keep_id, track_id AS dup_id FROM m WHERE track_id <> keep_id",
+    "p7_copies": f"WITH {_COPIES} SELECT keep_id, n AS copies FROM m WHERE track_id = keep_id",
     "p1_found": f"""WITH v AS ({_VALUES}), t AS (SELECT field, count(*) AS total FROM v GROUP BY 1)
 SELECT field, item FROM v JOIN t USING (field) GROUP BY field, item, total HAVING count(*) * 1000 >= total * 8""",
     "p1_top": f"""WITH v AS ({_VALUES}), c AS (SELECT field, item, count(*) AS n FROM v GROUP BY 1, 2)
