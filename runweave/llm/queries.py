@@ -134,11 +134,16 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p10_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The plain counts alone."""
+    return p10_statistics(spark, d).select("doc_id", "n_chars", "n_words", "n_lines", F.round("repeated_lines", 6).alias("repeated_lines"), F.round("closed_lines", 6).alias("closed_lines"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where("not_prose").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p3_found, p3_plain, p4_found, p4_runs, p6_found, p6_links, p7_found, p7_copies, p8_containers, p8_fill, p9_found, p9_spans, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p3_found, p3_plain, p4_found, p4_runs, p6_found, p6_links, p7_found, p7_copies, p8_containers, p8_fill, p9_found, p9_spans, p10_found, p10_statistics, p10_counts)}
 
 _VALUES = """SELECT 'artist' AS field, hit.artist AS item FROM samples WHERE hit.artist <> ''
   UNION ALL SELECT 'title', hit.title FROM samples WHERE hit.title <> ''"""
@@ -157,7 +162,14 @@ _COPIES = r"""k AS (SELECT track_id, set_id, ts, regexp_replace(lower(nfc_normal
 c AS (SELECT *, list_min(list_transform(range(0, length(s)), lambda i: substring(s, i + 1) || substring(s, 1, i))) AS canon FROM k WHERE s <> ''),
 m AS (SELECT track_id, min(track_id) OVER w AS keep_id, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY set_id, ts, canon))"""
 
+# Lines, words and repeated lines as the operator counts them: tags are blanks, a word is a run of letters, marks and digits.
+_COUNTS = r"""t AS (SELECT doc_id, text, regexp_replace(text, '<(/|[A-Za-z])[^>]{0,58}>', ' ', 'g') AS bare FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(replace(text, chr(13), ' '), chr(10)), lambda x: regexp_matches(regexp_replace(x, '<(/|[A-Za-z])[^>]{0,58}>', ' ', 'g'), '[^\s\p{Z}]')) AS lines FROM t),
+r AS (SELECT doc_id, count(*) AS k, count(DISTINCT lower(line)) AS u, count(*) FILTER (regexp_matches(line, '[.!?…:;"”»]([\s\p{Z}]|<(/|[A-Za-z])[^>]{0,58}>)*$')) AS closed FROM (SELECT doc_id, unnest(lines) AS line FROM l) GROUP BY doc_id)"""
+
 SQL = {
+    "p10_counts": f"""WITH {_COUNTS} SELECT doc_id, length(coalesce(text, '')) AS n_chars, len(regexp_extract_all(coalesce(bare, ''), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS n_words, coalesce(k, 0) AS n_lines,
+  round(CAST(k - u AS DOUBLE) / k, 6) AS repeated_lines, round(CAST(closed AS DOUBLE) / k, 6) AS closed_lines FROM t LEFT JOIN r USING (doc_id)""",
     "p7_found": f"WITH {_COPIES} SELECT keep_id, track_id AS dup_id FROM m WHERE track_id <> keep_id",
     "p7_copies": f"WITH {_COPIES} SELECT keep_id, n AS copies FROM m WHERE track_id = keep_id",
     "p1_found": f"""WITH v AS ({_VALUES}), t AS (SELECT field, count(*) AS total FROM v GROUP BY 1)
