@@ -55,3 +55,24 @@ def collapse(df: DataFrame, group: str, position: str, key: Column, carry: list[
     kinds = rows.where("st OR (k IS NULL AND run > 0)").groupBy("g", "run", F.col("st").alias("matched"))
     out = kinds.agg(F.min(F.struct("i", "c")).alias("m")).select("g", "m.i", "m.c", "matched", "run")
     return out.select(F.col("g").alias(group), F.col("i").alias(position), *[F.col(f"c.{c}").alias(c) for c in carry], "matched", "run")
+
+
+def numbered(df: DataFrame, group: str, order: list[str], *, amount: str | None = None, width: int = 4096) -> DataFrame:
+    """``df`` with rn (from 1 by ``order`` within the group), n (rows of the group) and, where ``amount`` is named, before
+    (the sum of it over earlier rows).
+
+    The first column of ``order`` is a whole number; rows are numbered within chunks of ``width`` of it, and the counts of
+    earlier chunks are added, so that no group is one task's work. Rows without a group or position are left out."""
+    rows = df.where(F.col(group).isNotNull() & F.col(order[0]).isNotNull()).withColumn("_b", F.floor(F.col(order[0]) / width))
+    sums = rows.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"), (F.sum(amount) if amount else F.lit(0)).alias("_s"))
+    chunks = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    prior = lambda c: F.coalesce(F.sum(c).over(chunks), F.lit(0))
+    border = sums.select(group, "_b", prior("_n").alias("_base"), F.sum("_n").over(Window.partitionBy(group)).alias("n"), prior("_s").alias("_sbase"))
+    w = Window.partitionBy(group, "_b").orderBy(*order)
+    local = rows.withColumn("_rn", F.row_number().over(w))
+    if amount:
+        local = local.withColumn("_sum", F.coalesce(F.sum(amount).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = local.join(border, [group, "_b"]).withColumn("rn", F.col("_base") + F.col("_rn"))
+    if amount:
+        out = out.withColumn("before", F.col("_sbase") + F.col("_sum"))
+    return out.select(*df.columns, "rn", "n", *(["before"] if amount else []))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runweave.operators.runs import numbered
+
 
 def slices(df: DataFrame, duration_ms: str, step_ms: int = 30_000) -> DataFrame:
     """Consecutive windows of ``step_ms``, the last one short: the columns of ``df``, sample_idx, ts (whole seconds), start_ms, end_ms."""
@@ -21,22 +23,27 @@ def unfinished(parts: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 def joined_parts(df: DataFrame, group: str, part: str, duration: str) -> DataFrame:
     """Parts in order with the offset at which each begins in the joined signal."""
-    w = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("offset", F.coalesce(F.sum(duration).over(w), F.lit(0)))
+    return numbered(df, group, [part], amount=duration).withColumnRenamed("before", "offset").drop("rn", "n")
+
+
+def _mean(value: Column) -> Column:
+    """The mean by an exact sum to 15 decimals, so that it does not depend on the order in which rows and partial
+    sums arrive; beyond 10^15 the plain one."""
+    exact = (F.sum(value.cast("decimal(38,15)")).cast("double")) / F.count(value)
+    return F.when(F.max(F.abs(value)) < 1e15, exact).otherwise(F.avg(value))
 
 
 def profile(df: DataFrame, group: str, order: list[str], value: str, points: int = 60) -> DataFrame:
     """group, bucket (from 0), level between 0 and 1.
 
     Buckets hold count div points values (at least one) and are averaged; those from ``points`` on are cut off before the
-    range is taken; a range under 0.01 gives 0.5 throughout. Numbering the values needs their order per group; everything
-    after works on at most ``points`` rows per group."""
-    w = Window.partitionBy(group).orderBy(*order)
-    n = Window.partitionBy(group)
-    numbered = df.where(F.col(value).isNotNull()).select(group, value, F.row_number().over(w).alias("rn"), F.count(F.lit(1)).over(n).alias("n"))
+    range is taken; a range under 0.01 gives 0.5 throughout. A group may be any part of the data: values are numbered in chunks
+    of their order, and everything after works on at most ``points`` rows per group."""
+    values = numbered(df.where(F.col(value).isNotNull()).select(group, *order, value), group, order)
     size = F.greatest(F.lit(1), F.floor(F.col("n") / points))
-    means = numbered.withColumn("bucket", F.floor((F.col("rn") - 1) / size).cast("bigint")).where(F.col("bucket") < points).groupBy(group, "bucket").agg(F.avg(value).alias("mean"))
-    low, high = F.min("mean").over(n), F.max("mean").over(n)
+    means = values.withColumn("bucket", F.floor((F.col("rn") - 1) / size).cast("bigint")).where(F.col("bucket") < points).groupBy(group, "bucket").agg(_mean(F.col(value)).alias("mean"))
+    each = Window.partitionBy(group)
+    low, high = F.min("mean").over(each), F.max("mean").over(each)
     return means.select(group, "bucket", F.when(high - low < 0.01, F.lit(0.5)).otherwise((F.col("mean") - low) / (high - low)).alias("level"))
 
 

@@ -342,12 +342,9 @@ def status_counts(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN ts >= 3600 THEN printf('%d:%02d:%02d', ts // 3600, ts % 3600 // 60, ts % 60) ELSE printf('%d:%02d', ts // 60, ts % 60) END AS time,
   CASE WHEN ts >= 3600 THEN printf('%dh %dm %ds', ts // 3600, ts % 3600 // 60, ts % 60) WHEN ts >= 60 THEN printf('%dm %ds', ts // 60, ts % 60) ELSE printf('%ds', ts) END AS duration FROM tracks WHERE NOT coalesce(rejected, false)""")
 def numbered_labels(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("set_id").orderBy("ts", "track_id")
     ts = F.col("ts")
-    t = table(spark, d, "tracks").where("NOT coalesce(rejected, false)")
-    return t.select("track_id", F.row_number().over(w).cast("bigint").alias("number"), rows.track_label(F.col("artist"), F.col("title")).alias("label"), text.time_label(ts).alias("time"), text.duration_label(ts).alias("duration"))
+    t = runs.numbered(table(spark, d, "tracks").where("NOT coalesce(rejected, false)").select("track_id", "set_id", "ts", "artist", "title"), "set_id", ["ts", "track_id"])
+    return t.select("track_id", F.col("rn").alias("number"), rows.track_label(F.col("artist"), F.col("title")).alias("label"), text.time_label(ts).alias("time"), text.duration_label(ts).alias("duration"))
 
 
 # Search terms, answers of services, choice -----------------------------------------------
@@ -436,10 +433,8 @@ def episode_image(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id, regexp_matches(lower(message), '429|too many|rate') AS again, CASE WHEN regexp_matches(lower(message), '429|too many|rate') AND attempt < 4 THEN CAST(30 * pow(2, attempt) AS DOUBLE) END AS wait_s FROM a""")
 def retry_waits(spark: SparkSession, d: str) -> DataFrame:
     """The retry rule over a log of failures."""
-    from pyspark.sql import Window
-
     message = F.expr("CASE event_id % 4 WHEN 0 THEN 'HTTP 429' WHEN 1 THEN 'Too Many Requests' WHEN 2 THEN 'bitrate unknown' ELSE 'connection reset' END")
-    a = table(spark, d, "events").select("event_id", message.alias("message"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) % 5).alias("attempt"))
+    a = runs.numbered(table(spark, d, "events").select("event_id", "user_id"), "user_id", ["event_id"]).select("event_id", message.alias("message"), (F.col("rn") % 5).alias("attempt"))
     again = rows.may_retry(F.col("message"))
     return a.select("event_id", again.alias("again"), F.when(again & (F.col("attempt") < 4), 30 * F.pow(F.lit(2.0), F.col("attempt"))).alias("wait_s"))
 

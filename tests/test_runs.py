@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from runweave.operators.runs import collapse, latest
+from runweave.operators.runs import collapse, latest, numbered
 
 SCHEMA = "s string, i bigint, k string"
 
@@ -72,3 +72,16 @@ def test_empty_and_null_keys(spark):
 def test_latest_wins(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", None, "z")], "k string, at int, v string")
     assert {(r.k, r.v) for r in latest(df, ["k"], ["at"], ["v"]).collect()} == {("a", "y"), ("b", "z")}
+
+
+@pytest.mark.parametrize("width", [1, 5, 4096])
+def test_numbered(spark, width):
+    rnd = random.Random(3)
+    rows = [(rnd.choice("ab"), i, t, rnd.randrange(9)) for t, i in enumerate(rnd.sample(range(200), 60))] + [("a", 7, 900, 1), (None, 1, 1, 1), ("a", None, 1, 1)]
+    df = spark.createDataFrame(rows, "g string, i int, t int, v int")
+    want = []
+    for g in "ab":
+        mine = sorted((i, t, v) for x, i, t, v in rows if x == g and i is not None)
+        want += [(g, i, t, v, k + 1, len(mine), sum(x[2] for x in mine[:k])) for k, (i, t, v) in enumerate(mine)]
+    assert sorted(map(tuple, numbered(df, "g", ["i", "t"], amount="v", width=width).collect())) == sorted(want)
+    assert numbered(df.limit(0), "g", ["i", "t"]).count() == 0
