@@ -12,7 +12,7 @@ and passage with so many hits near one diagonal are aligned word by word; what i
 to removal spans in words and characters.
 
 Passages without the sentences that begin several of them (instructions) are compared. As passages may be
-built on common sentence patterns, more than half of the words that few passages share must agree.
+built on common sentence patterns, more than half of the words that few passages share must agree (just half, if two or more do).
 
 Edge cases: null and empty texts hold nothing; case, punctuation, layout and markup tags are no part of
 a word; a passage under ``least`` words is found when all of it is there, one word in eight aside; repeated documents
@@ -94,7 +94,8 @@ class Passages:
 
 
 def align(doc: list[int], item: list[int], band: int) -> tuple[int, int, int, int, int]:
-    """Best local alignment near the diagonal: match 1, any change -2. Gives doc begin and end, item begin
+    """Best local alignment near the diagonal: match 1, any change -1, so that
+    a change near an end does not cut the end off. Gives doc begin and end, item begin
     and end, and matches; the rows are words of the passage."""
     empty = (0, 0, 0, 0, 0)
     best, top = empty, 0
@@ -109,15 +110,15 @@ def align(doc: list[int], item: list[int], band: int) -> tuple[int, int, int, in
             if hit:
                 cell = (d[0] + 1, d[1], d[2], d[3] + 1) if d else (1, p, q, 1)
             else:
-                cell = (d[0] - 2, d[1], d[2], d[3]) if d and d[0] > 2 else None
+                cell = (d[0] - 1, d[1], d[2], d[3]) if d and d[0] > 0 else None
                 u, v = last.get(p), row.get(p - 1)
-                if u and u[0] > 2 and (cell is None or u[0] - 2 > cell[0]):
-                    cell = (u[0] - 2, u[1], u[2], u[3])
-                if v and v[0] > 2 and (cell is None or v[0] - 2 > cell[0]):
-                    cell = (v[0] - 2, v[1], v[2], v[3])
+                if u and u[0] > 0 and (cell is None or u[0] - 1 > cell[0]):
+                    cell = (u[0] - 1, u[1], u[2], u[3])
+                if v and v[0] > 0 and (cell is None or v[0] - 1 > cell[0]):
+                    cell = (v[0] - 1, v[1], v[2], v[3])
             if cell:
                 row[p] = cell
-                if hit and cell[0] > top:
+                if hit and cell[0] >= top:
                     top, best = cell[0], (cell[1], p + 1, cell[2], q + 1, cell[3])
         last = row
     return best
@@ -210,7 +211,9 @@ class Shard:
             scarce = p.rare[held]
             if length < 0.9 * wanted or x[4] < 0.75 * length:
                 continue
-            if scarce.any() and np.isin(held[scarce], window[x[0] : x[1]]).mean() <= 0.5:
+            kept = int(np.isin(held[scarce], window[x[0] : x[1]]).sum())
+            # More than half of the scarce words, or just half if they are two or more.
+            if 2 * kept < scarce.sum() + (kept < 2 and scarce.any()):
                 continue
             spans.append((start + x[0], start + x[1], x[4]))
         merged: list[list[int]] = []

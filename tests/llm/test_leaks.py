@@ -80,3 +80,11 @@ def test_index_against_brute_force(seed):
     got = {(p, a) for p, a in zip(phrase.tolist(), at.tolist())}
     assert len(got) == len(at)
     assert got == {(p, i) for p, x in enumerate(phrases.tolist()) for i in range(len(text) - k + 1) if text[i : i + k].tolist() == x}
+
+
+def test_changes_near_the_ends(spark):
+    w = body(1).split()
+    cut = ["other" if k in (1, 18) else x for k, x in enumerate(w[4:24])]
+    df = spark.createDataFrame([(1, "before it " + " ".join(cut) + " after it"), (2, "before it " + " ".join(w[4:20]) + " after it")], "id int, text string")
+    items = spark.createDataFrame(list(ITEMS.items()), "item_id bigint, text string")
+    assert [(r.id, r.item_id) for r in leaks(df, "id", "text", items).collect()] == [(1, 1)]
