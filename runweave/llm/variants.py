@@ -96,7 +96,7 @@ def rewritings(name: str) -> list[tuple[str, str, str, int]]:
     article = words[0] == "the" and len(words) > 1
     if prefixed or article:
         rest, what = words[1:], "prefix" if prefixed else "article"
-        put(rest + words[:1], "order", 1)
+        put(rest + words[:1], "order", 1, True)
         bodies.append((rest, what, 1))
     for body, what, cost in list(bodies):
         # Short legal forms, with and without the article.
@@ -106,7 +106,7 @@ def rewritings(name: str) -> list[tuple[str, str, str, int]]:
     for body, what, cost in bodies:
         put(body, what or "as it is", cost)
         if article and what == "legal form" and body[0] == "the":
-            put(body[1:] + body[:1], "order", cost + 1)
+            put(body[1:] + body[:1], "order", cost + 1, True)
     # Accents left out, and two letters for one as in German and Danish.
     for bare in {unaccented(" ".join(words)), unaccented(" ".join(words).translate(TWO_LETTERS))} - {" ".join(words)}:
         put(bare.split(), "accents", 1)

@@ -9,7 +9,7 @@ REGISTER = [
 ]
 TYPED = {
     "Nick Zailewol": (1, "nickname"), "Zailewol, Nicholas": (1, "order"), "N. Zailewol": (1, "initial"), "Zailewol, N.": (1, "initial"), "DJ Nicholas Zailewol": (1, "prefix"), "Nicholas Zailwol": (1, "slip"), "Nicholas Zialewol": (1, "slip"),
-    "Slow Station Qtet": (2, "legal form"), "Slow Station Quartet, The": (2, "order"), "Slow Station Quartet": (2, "article"), "Huthasear (DJ)": (3, "order"), "Edward Flavupalks": (4, "middle"), "Elektric Harbour Radio": (5, "sound"),
+    "Slow Station Qtet": (2, "legal form"), "Slow Station Quartet, The": (2, "order"), "Slow Station Quartet": (2, "article"), "Huthasear (DJ)": (3, "order"), "Huthasaer, DJ": (3, "slip"), "Slwo Station Quartet, The": (2, "slip"), "Edward Flavupalks": (4, "middle"), "Elektric Harbour Radio": (5, "sound"),
     "Serena Voulze": (8, "accents"), "Guenther Oehlmark": (11, "accents"), "Moss Thread": (9, "ampersand"), "Zoupopougrra": (12, "sound"), "Ed Prealucrex": (6, "nickname"), "Beth Prealucrex": (7, "nickname"), "N. Zialewol": (1, "slip"),
 }
 NOT = ["Nicholas Zailewol", "NICHOLAS-ZAILEWOL", "Nісholas Zailewol", "E. Prealucrex", "Retrehiv 85", "Someone Else", "M. Zailewol", "", None, "...", "Nobody Attall", "Белый Дым", "Mick Zailewol"]
