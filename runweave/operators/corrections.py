@@ -18,17 +18,23 @@ def dimension(log: DataFrame) -> DataFrame:
     return latest(log.where("cor_key IS NOT NULL"), ["cor_key"], ["corrected_at", "artist", "title", "original_artist", "original_title"], COLUMNS)
 
 
-def apply(rows: DataFrame, corrections: DataFrame, *, hops: int = 1, skip_unidentified: bool = True) -> DataFrame:
+def apply(rows: DataFrame, corrections: DataFrame, *, hops: int = 1, skip_unidentified: bool = True, only: Column | None = None) -> DataFrame:
     """``rows`` (artist, title, original_artist, original_title, ...) with names replaced where their key is in ``corrections``,
     the names before in original_*, and ``corrected``. One hop per call of the join; a chain a -> b -> c takes two.
 
+    ``only`` says which rows take part at all; those that do not, and unidentified ones, get a key of their own content that
+    no correction has, so that they are spread over the join's tasks.
+
     The dimension is broadcast by the optimizer when it is known to be small and joined by shuffle otherwise."""
     names = corrections.select(F.col("cor_key").alias("_key"), F.col("artist").alias("_artist"), F.col("title").alias("_title"))
     out = rows.withColumn("corrected", F.lit(False))
     for _ in range(hops):
-        key = correction_key(F.col("artist"), F.col("title"))
+        key, takes_part = correction_key(F.col("artist"), F.col("title")), only
         if skip_unidentified:
-            key = F.when(~is_unidentified(F.col("artist"), F.col("title")), key)
+            named = ~is_unidentified(F.col("artist"), F.col("title"))
+            takes_part = named if only is None else only & named
+        if takes_part is not None:
+            key = F.when(takes_part, key).otherwise(F.concat(F.lit("\0"), F.xxhash64(*out.columns).cast("string")))
         hit = F.col("_artist").isNotNull() | F.col("_title").isNotNull()
         joined = out.withColumn("_key", key).join(names, "_key", "left")
         out = joined.select(

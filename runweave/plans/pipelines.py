@@ -31,9 +31,8 @@ def tracklists(samples: DataFrame, sets: DataFrame, log: DataFrame, generated_on
     """samples: set_id, sample_idx, ts, hit. sets: set_id, source_file. log: the corrections. Gives set_id, source_file,
     generated_on and the array of tracks: corrected, one-off matches suppressed, runs collapsed with gaps."""
     flat = samples.select("set_id", "sample_idx", "ts", *[F.col(f"hit.{c}").alias(c) for c in HIT], F.lit(None).cast("string").alias("original_artist"), F.lit(None).cast("string").alias("original_title"), F.col("hit").isNotNull().alias("is_match"))
-    # Samples without a match do not take part in the join: nothing could be found for them.
-    fixed = corrections.apply(flat.where("is_match"), corrections.dimension(log), skip_unidentified=False).select(*flat.columns)
-    every = fixed.unionByName(flat.where("NOT is_match"))
+    # Samples without a match do not take part: nothing could be found for them.
+    every = corrections.apply(flat, corrections.dimension(log), skip_unidentified=False, only=F.col("is_match"))
     key = F.when(~rows.is_unidentified(F.col("artist"), F.col("title")), text.recording_key(F.col("artist"), F.col("title")))
     fields = ["ts", "artist", "title", "shazam_url", "album", "coverart_url", "original_artist", "original_title"]
     out = runs.collapse(every, "set_id", "sample_idx", key, fields)

@@ -112,9 +112,8 @@ _K0 = "CASE WHEN coalesce(artist, '') <> '' OR coalesce(title, '') <> '' THEN lo
 def dedup_samples(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: last delivery of each sample, corrections applied, one-off matches suppressed, runs collapsed with gaps."""
     s = latest_samples(spark, d, ["title", "artist"]).withColumns({"original_artist": F.lit(None).cast("string"), "original_title": F.lit(None).cast("string")})
-    matched = s.where("title IS NOT NULL")
-    fixed = corrections.apply(matched, corrections.dimension(table(spark, d, "corrections")), skip_unidentified=False)
-    return _collapsed(fixed.select(*s.columns).unionByName(s.where("title IS NULL")))
+    fixed = corrections.apply(s, corrections.dimension(table(spark, d, "corrections")), skip_unidentified=False, only=F.col("title").isNotNull())
+    return _collapsed(fixed)
 
 
 @query(f"WITH {_LATEST}, y AS (SELECT *, {_K0} FROM s), {_runs_sql('y')}")
