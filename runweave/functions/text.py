@@ -54,9 +54,11 @@ def recording_key(artist: Column, title: Column) -> Column:
 
 
 def search_name(text: Column) -> Column:
-    """Without bracketed parts and without featured artists."""
-    plain = F.regexp_replace(text, rf"{UNICODE}\s*[(\[][^)\]]*[)\]]", "")
-    return strip(F.regexp_replace(plain, r"(?iUd)\s+(?:feat\.?|ft\.?|featuring)\s+.*", ""))
+    """Without bracketed parts and without featured artists. The separators U+001C to U+001F are blanks too."""
+    blank = r"[\s\x1c-\x1f]"
+    plain = F.regexp_replace(text, rf"{UNICODE}{blank}*[(\[][^)\]]*[)\]]", "")
+    alone = F.regexp_replace(plain, rf"(?iUd){blank}+(?:feat\.?|ft\.?|featuring){blank}+.*", "")
+    return F.regexp_replace(alone, rf"{UNICODE}^{blank}+|{blank}+$", "")
 
 
 def resized(url: Column, size: int = 600) -> Column:

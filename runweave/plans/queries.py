@@ -351,7 +351,14 @@ def numbered_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH n AS (SELECT DISTINCT title FROM tracks WHERE title IS NOT NULL) SELECT title, regexp_replace(regexp_replace(regexp_replace(title, '\s*[(\[][^)\]]*[)\]]', '', 'g'), '(?i)\s+(?:feat\.?|ft\.?|featuring)\s+.*', '', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM n WHERE regexp_full_match(title, '[ -~]*')""")
 def clean_query(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "tracks").select("title").where("title IS NOT NULL").distinct().where(F.col("title").rlike("^[ -~]*$"))
+    """The titles in printable ASCII, as the SQL; ``clean_query_all`` has all."""
+    return clean_query_all(spark, d).where(F.col("title").rlike("^[ -~]*$"))
+
+
+@query()
+def clean_query_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every title with its cleaned form. No SQL: DuckDB's classes of blanks are ASCII only."""
+    names = table(spark, d, "tracks").select("title").where("title IS NOT NULL").distinct()
     return names.select("title", text.search_name(F.col("title")).alias("cleaned"))
 
 
@@ -366,8 +373,19 @@ def resize_url(spark: SparkSession, d: str) -> DataFrame:
 SELECT track_id, 'https://itunes.apple.com/search?term=' || replace(url_encode(artist || ' ' || title), '%20', '+') || '&entity=song&limit=1' AS song,
  'https://musicbrainz.org/ws/2/recording?query=' || replace(url_encode('artist:"' || artist || '" AND recording:"' || title || '"'), '%20', '+') || '&fmt=json&limit=1' AS recording FROM n""")
 def search_addresses(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "tracks").where(F.concat("artist", "title").rlike("^[ -~]*$") & ~F.concat("artist", "title").rlike("[\"'*~%+]"))
-    return n.select("track_id", text.search_address("song", F.col("artist"), F.col("title")).alias("song"), text.search_address("recording", F.col("artist"), F.col("title")).alias("recording"))
+    """The tracks in printable ASCII without the signs that DuckDB encodes otherwise, as the SQL; ``search_addresses_all`` has all."""
+    return _addresses(table(spark, d, "tracks").where(F.concat("artist", "title").rlike("^[ -~]*$") & ~F.concat("artist", "title").rlike("[\"'*~%+]")))
+
+
+@query()
+def search_addresses_all(spark: SparkSession, d: str) -> DataFrame:
+    """The addresses of every track; a null name counts as empty. No SQL: DuckDB encodes some signs otherwise."""
+    return _addresses(table(spark, d, "tracks"))
+
+
+def _addresses(tracks: DataFrame) -> DataFrame:
+    names = [F.coalesce(c, F.lit("")) for c in ("artist", "title")]
+    return tracks.select("track_id", text.search_address("song", *names).alias("song"), text.search_address("recording", *names).alias("recording"))
 
 
 _ANSWERED = """a AS (SELECT set_id, sample_idx, received_at, CASE WHEN hit IS NULL THEN '{"matches": []}' ELSE CAST(to_json({'track': {'title': hit.title, 'subtitle': hit.artist, 'url': hit.shazam_url, 'images': {'coverarthq': '', 'coverart': hit.coverart_url}, 'sections': [{'metadata': [{'text': hit.album}]}]}}) AS VARCHAR) END AS answer FROM samples)"""
@@ -415,8 +433,17 @@ def waterfall_first(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(artist, '\s*[(\[][^)\]]*[)\]]', '', 'g'), '(?i)\s+(?:feat\.?|ft\.?|featuring)\s+.*', '', 'g'), '^\s+|\s+$', '', 'g') AS ca, regexp_replace(regexp_replace(regexp_replace(title, '\s*[(\[][^)\]]*[)\]]', '', 'g'), '(?i)\s+(?:feat\.?|ft\.?|featuring)\s+.*', '', 'g'), '^\s+|\s+$', '', 'g') AS ct FROM n)
 SELECT track_id, CASE WHEN coverart_url <> '' THEN 'cdn resized,cdn original,' ELSE '' END || 'song exact,' || CASE WHEN ca <> artist OR ct <> title THEN 'song cleaned,' ELSE '' END || 'album,recording' AS tried FROM c""")
 def waterfall_order(spark: SparkSession, d: str) -> DataFrame:
-    """Which sources are tried for a cover, in order."""
-    n = table(spark, d, "tracks").where(F.concat(F.coalesce("artist", F.lit("")), F.coalesce("title", F.lit(""))).rlike("^[ -~]*$"))
+    """Which sources are tried for a cover, in order, of the tracks in printable ASCII, as the SQL; ``waterfall_order_all`` has all."""
+    return _tried(table(spark, d, "tracks").where(F.concat(F.coalesce("artist", F.lit("")), F.coalesce("title", F.lit(""))).rlike("^[ -~]*$")))
+
+
+@query()
+def waterfall_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """Which sources are tried for a cover, in order, of every track. No SQL: DuckDB's classes of blanks are ASCII only."""
+    return _tried(table(spark, d, "tracks"))
+
+
+def _tried(n: DataFrame) -> DataFrame:
     c = choice.candidates(F.col("artist"), F.col("title"), F.col("coverart_url"))
     return n.select("track_id", F.array_join(F.transform(c, lambda x: x["source"]), ",").alias("tried"))
 
