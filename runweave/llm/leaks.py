@@ -8,7 +8,7 @@ backward at once, and their occurrences are located from sampled suffix position
 
 Candidates: a stretch of ``least`` words with one word in eight changed, added or missing keeps at least
 least - seed + 1 - seed * ceil(least / 8) phrases whole (five, for 20 words and phrases of four). Pairs of document
-and passage with so many hits near one diagonal are aligned word by word; what is found is merged
+and passage with so many hits on a chain of near diagonals are aligned word by word over the whole chain; what is found is merged
 to removal spans in words and characters.
 
 Passages without the sentences that begin several of them (instructions) are compared. As passages may be
@@ -93,18 +93,18 @@ class Passages:
         return max(1, n - self.seed + 1 - self.seed * -(-n // 8))
 
 
-def align(doc: list[int], item: list[int], band: int) -> tuple[int, int, int, int, int]:
-    """Best local alignment near the diagonal: match 1, any change -1, so that
-    a change near an end does not cut the end off. Gives doc begin and end, item begin
-    and end, and matches; the rows are words of the passage."""
-    empty = (0, 0, 0, 0, 0)
-    best, top = empty, 0
+def align(doc: list[int], item: list[int], low: int, high: int, least: float) -> list[tuple[int, int, int, int, int]]:
+    """Local alignments on the diagonals (doc - item) from low to high: match 1, any change -1, so that
+    a change near an end does not cut the end off. Of each place where one begins, the best that
+    is ``least`` words of the passage long and has three of four of them. Gives doc begin and end,
+    item begin and end, and matches; the rows are words of the passage."""
+    best: dict[tuple[int, int], tuple] = {}
     n = len(doc)
     # score, doc begin, item begin, matches at each place of the row before
     last: dict[int, tuple] = {}
     for q, w in enumerate(item):
         row: dict[int, tuple] = {}
-        for p in range(max(0, q - band), min(n, q + band + 1)):
+        for p in range(max(0, q + low), min(n, q + high + 1)):
             hit = doc[p] == w
             d = last.get(p - 1)
             if hit:
@@ -118,10 +118,13 @@ def align(doc: list[int], item: list[int], band: int) -> tuple[int, int, int, in
                     cell = (v[0] - 1, v[1], v[2], v[3])
             if cell:
                 row[p] = cell
-                if hit and cell[0] >= top:
-                    top, best = cell[0], (cell[1], p + 1, cell[2], q + 1, cell[3])
+                length = q + 1 - cell[2]
+                if hit and length >= least and cell[3] >= 0.75 * length:
+                    at = cell[1:3]
+                    if at not in best or cell[0] >= best[at][0]:
+                        best[at] = (cell[0], p + 1, q + 1, cell[3])
         last = row
-    return best
+    return [(p, e, q, f, k) for (p, q), (_, e, f, k) in best.items()]
 
 
 class Shard:
@@ -191,7 +194,7 @@ class Shard:
         item = p.symbols[k]
         m = len(item)
         slack = 4 + m // 8
-        # Groups of hits near one diagonal, at most a passage long.
+        # Chains of hits on near diagonals, of any length: windows of a passage's length are slid over a chain.
         diagonal = word - off
         order = np.argsort(diagonal, kind="stable")
         diagonal, word = diagonal[order], word[order]
@@ -200,22 +203,16 @@ class Shard:
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(diagonal)]):
             if hi - lo < need:
                 continue
-            base = int(np.median(diagonal[lo:hi]))
-            start = max(0, base - slack)
-            window = self.docs[d][start : base + m + slack]
-            band = slack + abs(base - start) + int(np.abs(diagonal[lo:hi] - base).max())
-            x = align(window.tolist(), item.tolist(), band)
-            length = x[3] - x[2]
-            wanted = min(p.least, m)
-            held = item[x[2] : x[3]]
-            scarce = p.rare[held]
-            if length < 0.9 * wanted or x[4] < 0.75 * length:
-                continue
-            kept = int(np.isin(held[scarce], window[x[0] : x[1]]).sum())
-            # More than half of the scarce words, or just half if they are two or more.
-            if 2 * kept < scarce.sum() + (kept < 2 and scarce.any()):
-                continue
-            spans.append((start + x[0], start + x[1], x[4]))
+            begin, end = int(diagonal[lo]), int(diagonal[hi - 1])
+            for base in range(begin, end + 1, m):
+                upto = min(base + m, end)
+                a, b = np.searchsorted(diagonal[lo:hi], (base - slack, upto + slack + 1))
+                if b - a < need:
+                    continue
+                start = max(0, base - slack)
+                window = self.docs[d][start : upto + m + slack]
+                for x in self._spans(window, item, base - 3 * slack - start, upto + slack - start, both=upto > base + slack):
+                    spans.append((start + x[0], start + x[1], x[4]))
         merged: list[list[int]] = []
         for a, b, n in sorted(spans):
             if merged and a <= merged[-1][1]:
@@ -225,6 +222,23 @@ class Shard:
         for a, b, n in merged:
             yield d, k, a, b, n
 
+    def _spans(self, window: np.ndarray, item: np.ndarray, low: int, high: int, both: bool) -> Iterator[tuple[int, int, int, int, int]]:
+        """Alignments that hold enough of a passage. Where several stretches may lie in the window, it is also
+        aligned from its end, as a stretch may have been joined to something before it that spoils it."""
+        p, n, m = self.p, len(window), len(item)
+        least = 0.9 * min(p.least, m)
+        found = set(align(window.tolist(), item.tolist(), low, high, least))
+        if both:
+            back = align(window[::-1].tolist(), item[::-1].tolist(), n - m - high, n - m - low, least)
+            found |= {(n - e, n - a, m - f, m - q, k) for a, e, q, f, k in back}
+        for x in found:
+            held = item[x[2] : x[3]]
+            scarce = p.rare[held]
+            kept = int(np.isin(held[scarce], window[x[0] : x[1]]).sum())
+            # More than half of the scarce words, or just half if they are two or more.
+            if 2 * kept >= scarce.sum() + (kept < 2 and scarce.any()):
+                yield x
+
 
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, *, seed: int = 4, least: int = 20, shard_words: int = 3_000_000, limit: int = 20_000) -> DataFrame:
     """docs against items (item_id, text). Gives id, item_id, first_word, last_word, begin, end (characters),

@@ -88,3 +88,16 @@ def test_changes_near_the_ends(spark):
     df = spark.createDataFrame([(1, "before it " + " ".join(cut) + " after it"), (2, "before it " + " ".join(w[4:20]) + " after it")], "id int, text string")
     items = spark.createDataFrame(list(ITEMS.items()), "item_id bigint, text string")
     assert [(r.id, r.item_id) for r in leaks(df, "id", "text", items).collect()] == [(1, 1)]
+
+
+def test_a_stretch_after_many_repeats(spark):
+    item = [f"w{k}" for k in range(69)]
+    repeats, stretch = item[:10] * 40, item[30:55]
+    docs = {
+        "after": repeats + stretch, "before": stretch + repeats, "between": repeats + stretch + repeats, "alone": repeats,
+        "both": item[30:55] + repeats + item[40:65], "joined": item[:15] + item[29:54] + item[:10] * 9,
+    }
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "id string, text string")
+    rows = leaks(df, "id", "text", spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    got = sorted((r.id, r.first_word, r.last_word) for r in rows)
+    assert got == [("after", 400, 424), ("before", 0, 24), ("between", 400, 424), ("both", 0, 24), ("both", 425, 449), ("joined", 15, 39)]
