@@ -537,12 +537,13 @@ def report_figures(spark: SparkSession, d: str) -> DataFrame:
 j AS (SELECT b.user_id, b.duration AS bd, a.duration AS ad, b.size AS bs, a.size AS az FROM p b JOIN p a ON a.user_id = b.user_id AND a.phase = 'after' WHERE b.phase = 'before')
 SELECT user_id, printf('%dm %ds', CAST(floor(bd / 60) AS BIGINT) , CAST(floor(bd % 60) AS BIGINT)) AS before_, CASE WHEN bd - ad > 1.0 THEN round(bd - ad, 4) END AS trimmed, CAST(bs / 1048576.0 AS DOUBLE) AS mb_before, CASE WHEN round(ad - bd, 6) >= 0 THEN '+' ELSE '' END || printf('%.1f', round(ad - bd, 6)) AS change FROM j WHERE bd >= 60 AND bd < 3600""")
 def before_after(spark: SparkSession, d: str) -> DataFrame:
-    """The report of a processing step: two phases of each item side by side."""
+    """The report of a processing step: two phases of each item side by side. The SQL has only the items from a
+    minute to under an hour."""
     e = table(spark, d, "events")
     phase = F.when(F.col("event_id") % 2 == 0, "before").otherwise("after")
     p = e.groupBy("user_id", phase.alias("phase")).agg(F.sum(F.when(F.col("value") > 0, F.col("value"))).alias("duration"), (F.count(F.lit(1)) * 1048576).alias("size"))
     b, a = (p.where(F.col("phase") == x).select("user_id", F.col("duration").alias(f"{x[0]}d"), F.col("size").alias(f"{x[0]}s")) for x in ("before", "after"))
-    j = b.join(a, "user_id").where("bd >= 60 AND bd < 3600")
+    j = b.join(a, "user_id")
     change = text.signed_change(F.lit(0.0), F.round(F.col("ad") - F.col("bd"), 6))
     return j.select("user_id", text.duration_label(F.col("bd")).alias("before_"), F.when(F.col("bd") - F.col("ad") > 1.0, F.round(F.col("bd") - F.col("ad"), 4)).alias("trimmed"), text.megabytes(F.col("bs")).alias("mb_before"), change.alias("change"))
 

@@ -43,3 +43,10 @@ def test_all_tracks_have_sources(spark, tmp_path):
     rows, got = tracks(spark, tmp_path, "waterfall_order_all")
     tried = lambda a, t, u: ["cdn resized", "cdn original"] * bool(u) + ["song exact"] + ["song cleaned"] * ((cleaned(a), cleaned(t)) != (a, t)) + ["album", "recording"]
     assert sorted(got) == [(i, ",".join(tried(a, t, u))) for i, a, t, u in rows]
+
+
+def test_report_of_short_and_long_items(spark, tmp_path):
+    values = {1: (45.5, 40.0), 2: (125.0, 125.0), 3: (7325.9, 7000.0), 4: (0.0, 2.0), 5: (59.9, 61.0), 6: (3600.0, 1.0)}
+    rows = [(2 * u + phase, u, v) for u, pair in values.items() for phase, v in enumerate(pair)] + [(100, 7, 5.0)]
+    got = run(spark, tmp_path, "events", rows, "event_id bigint, user_id bigint, value double", "before_after")
+    assert {r[0]: r[1:3] for r in got} == {1: ("45s", 5.5), 2: ("2m 5s", None), 3: ("2h 2m 5s", 325.9), 4: (None, None), 5: ("59s", None), 6: ("1h 0m 0s", 3599.0)}
