@@ -3,8 +3,8 @@
 A sequence is cut into blocks of its order. Within a block, neighbouring runs of the same
 event are joined; the summary of a block is its list of runs, of which only the first and the
 last can still grow. Joining two summaries joins those edges, which is associative, so edges
-are joined over blocks of blocks, level by level, until a level holds a whole sequence. Runs
-inside a block are final at once and are not sent on.
+are joined over blocks of ``fan`` blocks, level by level, until no sequence has more than ``fan`` blocks
+left, which the last level takes together. Runs inside a block are final at once and are not sent on.
 
 A block is at most ``width`` neighbouring positions, so a sequence that makes up a third of
 all rows is spread over as many tasks as it has blocks. Copies of one position are reduced on
@@ -71,10 +71,10 @@ class Same:
         return x[2][0] == y[2][0] and not (only and other) and all(within(v, w, self._allowed(v, w)) for v, w in zip(x[:2], y[:2]))
 
 
-def _encode(batches: Iterator[pa.RecordBatch | list], slips: int, edges: bool) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch | list], slips: int, edges: bool, whole: bool) -> Iterator[pa.RecordBatch]:
     """Joins neighbouring runs of each (seq, block); rows come sorted by seq, block, pos.
 
-    Of a block the runs are held until its end is known; where edges are joined, nothing is held.
+    Of a block the runs are held until its end is known; where blocks are whole sequences, nothing is held.
 
     edges: the rows are first (even pos) and last (odd pos) runs of blocks; a last run never
     joins the first one of its own block, as other runs lie between or they differ."""
@@ -85,7 +85,7 @@ def _encode(batches: Iterator[pa.RecordBatch | list], slips: int, edges: bool) -
     def close() -> None:
         nonlocal run
         if run:
-            (out if edges else done).append(run)
+            (out if whole else done).append(run)
         run = None
 
     def flush() -> list[list]:
@@ -144,9 +144,9 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], NAMES)
 
 
-def _level(summaries: DataFrame, slips: int, edges: bool) -> DataFrame:
+def _level(summaries: DataFrame, slips: int, edges: bool, whole: bool) -> DataFrame:
     ordered = summaries.repartition("seq", "block").sortWithinPartitions("seq", "block", "pos")
-    return ordered.mapInArrow(lambda it: _encode(it if edges else map(_single, it), slips, edges), SCHEMA)
+    return ordered.mapInArrow(lambda it: _encode(it if edges else map(_single, it), slips, edges, whole), SCHEMA)
 
 
 def _single(b: pa.RecordBatch) -> list:
@@ -156,9 +156,11 @@ def _single(b: pa.RecordBatch) -> list:
     return [seq, block, pos, None, ts, ts, pa.array(np.ones(n, np.int64)), a, t, a, t, a, t]
 
 
-def runs(events: DataFrame, *, width: int = 4096, slips: int = 2) -> DataFrame:
+def runs(events: DataFrame, *, width: int = 4096, slips: int = 2, fan: int = 1024) -> DataFrame:
     """``events``: seq, idx (position), ts, artist, title, received. Gives seq, first_ts, last_ts, n, artist, title
-    (of the run's first event) of every longest run, those of one event too."""
+    (of the run's first event) of every longest run, those of one event too. ``fan`` is 2 at least."""
+    if fan < 2:
+        raise ValueError("fan is 2 at least")
     last = (
         events.where("seq IS NOT NULL AND idx IS NOT NULL AND ts IS NOT NULL")
         .groupBy(F.col("seq").cast("string").alias("seq"), "idx")
@@ -167,11 +169,14 @@ def runs(events: DataFrame, *, width: int = 4096, slips: int = 2) -> DataFrame:
         .where("a <> '' OR t <> ''")
     )
     state = last.select("seq", F.floor(F.col("idx") / width).cast("bigint").alias("block"), F.col("idx").cast("bigint").alias("pos"), F.col("ts").cast("bigint").alias("ts"), "a", "t")
-    kept = None
-    for whole in (False, True):
-        state = cut(_level(state, slips, whole))
-        final = state if whole else state.where("NOT edge")
-        kept = final if kept is None else kept.unionByName(final)
-        # The edges of the blocks, in the order of blocks, are one block of the next level.
-        state = state.where("edge").withColumn("pos", F.col("block") * 2 + F.when(F.col("pos") > 0, 1).otherwise(0)).withColumn("block", F.lit(0).cast("bigint"))
+    state = cut(_level(state, slips, False, False))
+    kept, whole = state.where("NOT edge"), False
+    while not whole:
+        # The edges of neighbouring blocks, in the order of blocks, are one block of the next level.
+        state = state.where("edge").withColumn("pos", F.col("block") * 2 + F.when(F.col("pos") > 0, 1).otherwise(0))
+        blocks = state.groupBy("seq").agg(F.countDistinct("block").alias("n")).agg(F.max("n")).first()[0] or 0
+        whole = blocks <= fan
+        state = state.withColumn("block", F.lit(0).cast("bigint") if whole else F.floor(F.col("block") / fan).cast("bigint"))
+        state = cut(_level(state, slips, True, whole))
+        kept = kept.unionByName(state if whole else state.where("NOT edge"))
     return kept.select("seq", "first_ts", "last_ts", "n", "artist", "title")

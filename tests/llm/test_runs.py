@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from runweave.llm import runs as module
 from runweave.llm.names import within
 from runweave.llm.runs import Same, runs
 
@@ -90,3 +91,18 @@ def test_empty_and_long(spark):
 
 def test_only_one_field(spark):
     assert [r[1:4] for r in collapsed(spark, [("s", 0, "A", None, 1), ("s", 1, "A", "", 1), ("s", 2, "", "A", 1)])] == [(0, 30, 2), (60, 60, 1)]
+
+
+@pytest.mark.parametrize(("width", "fan"), [(1, 2), (2, 3), (3, 8)])
+def test_edges_are_joined_in_bounded_blocks(spark, monkeypatch, width, fan):
+    sizes, level = [], module._level
+
+    def spy(summaries, *rest):
+        sizes.append(summaries.groupBy("seq", "block").count().agg({"count": "max"}).first()[0])
+        return level(summaries, *rest)
+
+    monkeypatch.setattr(module, "_level", spy)
+    rnd = random.Random(3)
+    rows = [(s, i, "A", rnd.choice(["Some Title", "Other Song"]) if rnd.random() < 0.4 or 20 < i < 30 else "Some Title", 1) for s in ("a", "b") for i in range(-40, 60)]
+    assert collapsed(spark, rows, width=width, fan=fan) == brute(rows, Same(2))
+    assert len(sizes) >= 3 and sizes[0] <= width and max(sizes[1:]) <= 2 * fan
