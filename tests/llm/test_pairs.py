@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from runweave.llm.pairs import pairs, plain, scored
+from runweave.llm.pairs import block_pairs, pairs, plain, scored
 
 
 def brute(baskets, least):
@@ -43,3 +43,17 @@ def test_scores(spark):
 
 def test_plain(spark):
     assert [r[0] for r in spark.createDataFrame([("  A\t b ",), (None,), ("",)], "v string").select(plain(F.col("v"))).collect()] == ["a b", None, ""]
+
+
+def test_long_baskets_are_spread(spark):
+    rows = [(b, k) for b in ("one", "same") for k in range(700)] + [("short", k) for k in range(5)]
+    df = spark.createDataFrame(rows, "basket string, i bigint")
+    out = block_pairs(df, 64)
+    assert out.rdd.getNumPartitions() > 1 and sum(n > 0 for n in out.rdd.glom().map(len).collect()) > 1
+    got = [(r.w, r.x, r.y) for r in out.collect()]
+    assert max(len(x) for _, x, _ in got) < 2 * 64
+    each = Counter()
+    for w, x, y in got:
+        each.update({tuple(sorted(p)): w for p in (combinations(x, 2) if y is None else ((a, b) for a in x for b in y))})
+    assert each == Counter({(a, b): 2 + (b < 5) for a, b in combinations(range(700), 2)})
+    assert len(got) == 11 * 12 // 2 + 1
