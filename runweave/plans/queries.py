@@ -364,7 +364,17 @@ def clean_query_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""SELECT track_id, regexp_replace(coverart_url, '\d+x\d+(bb|cc)', '300x300\1', 'g') AS resized, regexp_replace('https://x/' || track_id || '/1000x1000-000.jpg', '/\d+x\d+-', '/600x600-', 'g') AS between_, replace('https://x/' || track_id || '/100x100bb.jpg', '100x100bb', '600x600bb') AS literal_ FROM tracks WHERE coverart_url IS NOT NULL""")
 def resize_url(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "tracks").where("coverart_url IS NOT NULL")
+    """The tracks with an address, as the SQL; ``resize_url_all`` has all."""
+    return _resized(table(spark, d, "tracks").where("coverart_url IS NOT NULL"))
+
+
+@query()
+def resize_url_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every track; without an address ``resized`` is null. No SQL: the one of ``resize_url`` stays as it is."""
+    return _resized(table(spark, d, "tracks"))
+
+
+def _resized(t: DataFrame) -> DataFrame:
     made = lambda tail: F.concat(F.lit("https://x/"), F.col("track_id").cast("string"), F.lit(tail))
     return t.select("track_id", text.resized(F.col("coverart_url"), 300).alias("resized"), text.resized_between(made("/1000x1000-000.jpg")).alias("between_"), text.resized_literal(made("/100x100bb.jpg")).alias("literal_"))
 
@@ -423,9 +433,21 @@ def catalogue_answers(spark: SparkSession, d: str) -> DataFrame:
  SELECT track_id, 2, 'cdn original', coverart_url FROM tracks WHERE track_id % 3 = 0 UNION ALL SELECT track_id, 3, 'album', album FROM tracks)
 SELECT track_id, arg_min(source, priority) FILTER (address IS NOT NULL AND address <> '') AS source, arg_min(address, priority) FILTER (address IS NOT NULL AND address <> '') AS address FROM e GROUP BY track_id""")
 def waterfall_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first address of each track; by modulo of its id a track is offered a part of the sources, as in the SQL.
+    ``waterfall_first_all`` offers all."""
+    return _first(spark, d, "track_id % 2 = 0", "track_id % 3 = 0")
+
+
+@query()
+def waterfall_first_all(spark: SparkSession, d: str) -> DataFrame:
+    """The first address of each track, every source offered. No SQL: the one of ``waterfall_first`` stays as it is."""
+    return _first(spark, d, "true", "true")
+
+
+def _first(spark: SparkSession, d: str, on_resized: str, on_original: str) -> DataFrame:
     t = table(spark, d, "tracks")
     one = lambda p, name, url, on: t.where(on).select("track_id", F.lit(p).alias("priority"), F.lit(name).alias("source"), url.alias("address"))
-    e = one(1, "cdn resized", text.resized(F.col("coverart_url")), "track_id % 2 = 0").unionByName(one(2, "cdn original", F.col("coverart_url"), "track_id % 3 = 0")).unionByName(one(3, "album", F.col("album"), "true"))
+    e = one(1, "cdn resized", text.resized(F.col("coverart_url")), on_resized).unionByName(one(2, "cdn original", F.col("coverart_url"), on_original)).unionByName(one(3, "album", F.col("album"), "true"))
     return choice.first_success(e, ["track_id"], "priority", "address", ["source", "address"])
 
 

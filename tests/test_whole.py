@@ -50,3 +50,18 @@ def test_report_of_short_and_long_items(spark, tmp_path):
     rows = [(2 * u + phase, u, v) for u, pair in values.items() for phase, v in enumerate(pair)] + [(100, 7, 5.0)]
     got = run(spark, tmp_path, "events", rows, "event_id bigint, user_id bigint, value double", "before_after")
     assert {r[0]: r[1:3] for r in got} == {1: ("45s", 5.5), 2: ("2m 5s", None), 3: ("2h 2m 5s", 325.9), 4: (None, None), 5: ("59s", None), 6: ("1h 0m 0s", 3599.0)}
+
+
+COVERS = [(1, "https://x/400x400bb.jpg", "L"), (2, "https://x/a.jpg", None), (3, None, "M"), (5, "", "N"), (6, None, None), (7, "https://x/1x1cc", None)]
+
+
+def test_every_source_is_offered(spark, tmp_path):
+    got = run(spark, tmp_path, "tracks", COVERS, "track_id bigint, coverart_url string, album string", "waterfall_first_all")
+    want = [(1, "cdn resized", "https://x/600x600bb.jpg"), (2, "cdn resized", "https://x/a.jpg"), (3, "album", "M"), (5, "album", "N"), (6, None, None), (7, "cdn resized", "https://x/600x600cc")]
+    assert sorted(got) == want
+
+
+def test_tracks_without_address_are_kept(spark, tmp_path):
+    got = run(spark, tmp_path, "tracks", COVERS, "track_id bigint, coverart_url string, album string", "resize_url_all")
+    resized = {1: "https://x/300x300bb.jpg", 2: "https://x/a.jpg", 3: None, 5: "", 6: None, 7: "https://x/300x300cc"}
+    assert sorted(got) == [(i, r, f"https://x/{i}/600x600-000.jpg", f"https://x/{i}/600x600bb.jpg") for i, r in resized.items()]
