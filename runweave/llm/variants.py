@@ -13,8 +13,8 @@ Only distinct names are rewritten, so a name in a third of all rows costs no mor
 one. The register may be large: it is never collected, and its forms are joined by shuffle.
 
 Edge cases: null and empty names give no rows; a name without letters or digits has no form; names
-over ``longest`` characters are compared without slips (their forms by equality only); numbers must
-agree; repeated register rows count once; empty tables give empty results; other columns are ignored.
+over ``longest`` characters are compared without slips (their forms by equality only); forms under ``shortest``
+letters and digits get neither the slip nor the sound rule, so a misspelled short act is not linked; numbers must agree; repeated register rows count once; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
