@@ -5,13 +5,13 @@ shards of about ``shard_items`` documents; a shard is packed by one task, of whi
 sizes are held, never texts. Containers of different shards are never joined, which leaves at
 most about one loose container per shard.
 
-Within a shard the largest open document begins a container. Its fillings are enumerated from the
-multiset of open sizes: sizes descend along a branch, and where one more document can be
-the last, only the largest that fits is tried, as every smaller one is dominated by it. The incumbent is
-the best-fit filling; a branch whose waste cannot fall under the incumbent's is cut, and waste 0
-ends the search. After ``nodes`` nodes the incumbent stands (nothing is left out by that, only
-tried less). A best-fit decreasing packing of the whole shard is made too; the one with fewer
-containers is kept.
+Within a shard the packing is made by a search over containers for a given number of them, beginning with a lower
+bound. A container is begun by the largest document at hand; its fillings are enumerated by growing waste,
+those dominated by another one (a part of the filling can be replaced by one document that is no smaller and left out) are
+passed over, and a branch ends where the waste so far, or the lower bound of the rest, exceeds what the number of
+containers leaves. Where a container has no filling left, the one before takes its next one. The best-fit packing is the
+incumbent: it bounds the search, and stands only where no search came to an end. ``made`` and ``proven`` say of each
+container which of the two made it and whether its shard is known to need that many.
 
 Edge cases: a document over the capacity is split into full containers and a rest that is packed
 like any other; only such a document is split; null and empty texts have size 0 and are put into the
@@ -25,7 +25,7 @@ import base64
 import importlib.util
 import os
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -68,7 +68,7 @@ class _Sizes:
 
     def __init__(self, sizes: list[int]) -> None:
         self.count: dict[int, int] = defaultdict(int)
-        self.bits, self.n = 0, len(sizes)
+        self.bits, self.n, self.sum = 0, len(sizes), sum(sizes)
         for s in sizes:
             self.count[s] += 1
             self.bits |= 1 << s
@@ -80,6 +80,7 @@ class _Sizes:
     def take(self, s: int) -> None:
         self.count[s] -= 1
         self.n -= 1
+        self.sum -= s
         if not self.count[s]:
             self.bits ^= 1 << s
 
@@ -88,54 +89,66 @@ class _Sizes:
             self.bits |= 1 << s
         self.count[s] += 1
         self.n += 1
+        self.sum += s
 
 
-def completion(open_sizes: _Sizes, room: int, nodes: int) -> list[int]:
-    """The filling of ``room`` with the least waste found; sizes descending."""
-    # Best fit first: always the largest that still fits.
-    best: list[int] = []
-    left = room
-    while (s := open_sizes.largest(left)) > 0:
-        open_sizes.take(s)
-        best.append(s)
-        left -= s
-    for s in best:
-        open_sizes.put(s)
-    waste = left
-    if not waste:
-        return best
-    budget = nodes
-    path: list[int] = []
+class Spent(Exception):
+    """The nodes of a search are used up."""
 
-    def branch(left: int, limit: int) -> bool:
-        """True where the search is over."""
-        nonlocal best, waste, budget
-        s = open_sizes.largest(min(left, limit))
-        if s <= 0:
-            if left < waste:
-                best, waste = list(path), left
-            return not waste
-        least = (open_sizes.bits & -open_sizes.bits).bit_length() - 1
-        while s > 0:
-            budget -= 1
-            if budget < 0:
-                return True
-            open_sizes.take(s)
-            path.append(s)
-            over = branch(left - s, s)
-            path.pop()
-            open_sizes.put(s)
-            if over:
-                return True
-            # A smaller size that leaves no room for another document is dominated by this one.
-            s = open_sizes.largest(min(s - 1, left - least))
-            # All that can follow, at this size or under it, cannot bring the waste under the incumbent's.
-            if s * open_sizes.n <= left - waste:
-                break
+
+def dominated(filling: list[int], waste: int, others: int) -> bool:
+    """Whether a size left out (the set bits of ``others``) can take the place of a part of the filling that is no larger than it. What
+    was packed around the exchanged filling can then be packed around the other, so this one need not be tried."""
+    none, one, more = 1, 0, 0  # sums of no, one, several members
+    for s in filling:
+        more |= (more << s) | (one << s)
+        one |= 1 << s
+    if more & others:
+        return True
+    if not waste:
         return False
+    # Sums that grow by 1 to ``waste``.
+    reach, done = (none | one | more) << 1, 1
+    while done < waste:
+        step = min(done, waste - done)
+        reach |= reach << step
+        done += step
+    return bool(reach & others)
+
+
+def fillings(at_hand: _Sizes, room: int, most: int, node: Callable[[], None]) -> Iterator[tuple[list[int], int]]:
+    """(sizes, waste) of every undominated filling of ``room`` that wastes ``most`` at most, little waste first. What is yielded is
+    taken out of ``at_hand`` until the next one is asked for."""
+    path: list[int] = []
 
-    branch(room, room)
-    return best
+    def wastes(low: int, high: int) -> Iterator[int]:
+        left = room
+        if low <= left <= high and not dominated(path, left, at_hand.bits):
+            yield left
+        s = at_hand.largest(left - low)
+        while True:
+            # What can follow, at this size or under it, has to bring the waste to ``high``.
+            if s > 0 and left - min(at_hand.sum, s * at_hand.n) <= high:
+                node()
+                at_hand.take(s)
+                path.append(s)
+                left -= s
+                if left <= high and not dominated(path, left, at_hand.bits):
+                    yield left
+                s = at_hand.largest(min(left - low, s))
+            elif path:
+                s = path.pop()
+                at_hand.put(s)
+                left += s
+                s = at_hand.largest(s - 1)
+            else:
+                return
+
+    low = high = max(0, room - at_hand.sum)
+    while low <= most:
+        for waste in wastes(low, min(high, most)):
+            yield list(path), waste
+        low, high = high + 1, 2 * high + 1
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -159,31 +172,105 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return out
 
 
-def pack(sizes: list[int], capacity: int, nodes: int = 400) -> list[list[int]]:
-    """Places of ``sizes`` (each from 1 to ``capacity``, descending) by container."""
+def least_containers(sizes: np.ndarray, capacity: int) -> int:
+    """A lower bound of the number of containers: sizes over half the capacity stand apart, and what is over the
+    room beside them needs containers of its own, looked at for every least size that counts."""
+    if not len(sizes):
+        return 0
+    s = np.sort(np.asarray(sizes, np.int64))
+    below = np.concatenate([[0], np.cumsum(s)])
+    half = int(np.searchsorted(s, capacity / 2, side="right"))
+    k = np.unique(np.append(s[:half], 0))
+    first = np.searchsorted(s, k)  # sizes of k and more
+    alone = np.searchsorted(s, capacity - k, side="right")  # sizes that no k fits beside
+    alone = np.maximum(alone, half)
+    beside = (alone - half) * capacity - (below[alone] - below[half])
+    rest = np.maximum(0, below[half] - below[np.minimum(first, half)] - beside)
+    return int((len(s) - half + -(-rest // capacity)).max())
+
+
+def search(sizes: list[int], capacity: int, target: int, node: Callable[[], None]) -> list[list[int]] | None:
+    """A packing of ``sizes`` into ``target`` containers, or None if there is none: each container is begun by the largest
+    size at hand and completed by one of its fillings; where the waste so far, or the least number of containers for
+    the rest, exceeds what the target leaves, the filling before is changed."""
+    at_hand = _Sizes(sizes)
+
+    def containers(allowed: int) -> Iterator[tuple[list[int], int]]:
+        s = at_hand.largest(capacity)
+        at_hand.take(s)
+        for filling, waste in fillings(at_hand, capacity - s, allowed, node):
+            yield [s, *filling], waste
+        at_hand.put(s)
+
+    allowed = [target * capacity - at_hand.sum]
+    if allowed[0] < 0:
+        return None
+    if not at_hand.n:
+        return []
+    open_levels, out = [containers(allowed[0])], []
+    while open_levels:
+        del out[len(open_levels) - 1 :]
+        del allowed[len(open_levels) :]
+        step = next(open_levels[-1], None)
+        if step is None:
+            open_levels.pop()
+            continue
+        out.append(step[0])
+        if not at_hand.n:
+            return out
+        if len(out) >= target:
+            continue
+        # The bound of the rest takes a pass over it, so a long rest is only looked at by its waste.
+        if at_hand.n <= BOUNDED and least_containers(np.repeat(*_counted(at_hand)), capacity) > target - len(out):
+            continue
+        allowed.append(allowed[-1] - step[1])
+        open_levels.append(containers(allowed[-1]))
+    return None
+
+
+#: Rests up to this many sizes are bounded at every node of the search.
+BOUNDED = 200
+
+
+def _counted(at_hand: _Sizes) -> tuple[np.ndarray, np.ndarray]:
+    held = [(s, n) for s, n in at_hand.count.items() if n]
+    return np.array([s for s, _ in held], np.int64), np.array([n for _, n in held], np.int64)
+
+
+def pack(sizes: list[int], capacity: int, nodes: int = 100_000) -> tuple[list[list[int]], str, bool]:
+    """Places of ``sizes`` (each from 1 to ``capacity``, descending) by container, what made them ('search' or 'best fit'), and
+    whether fewer containers are known to be impossible.
+
+    The number of containers that is looked for begins at the lower bound and grows by one where the search has shown that there is no such
+    packing. A search that has used up its nodes (``nodes`` and 64 per size) leaves the question open: ``proven`` is then false, and the number grows by an eighth of
+    what lies between it and the incumbent. The best-fit packing is the incumbent: it stands only where no search succeeded."""
     incumbent = best_fit(sizes, capacity)
-    bound = -(-sum(sizes) // capacity)
-    if len(incumbent) <= bound:
-        return incumbent
-    places: dict[int, list[int]] = defaultdict(list)
-    for i in range(len(sizes) - 1, -1, -1):
-        places[sizes[i]].append(i)
-    left = _Sizes(sizes)
-    out = []
-    while left.n:
-        s = left.largest(capacity)
-        left.take(s)
-        filling = completion(left, capacity - s, nodes)
-        for x in filling:
-            left.take(x)
-        out.append([places[x].pop() for x in (s, *filling)])
-        if len(out) >= len(incumbent):
-            return incumbent
-    return out
-
-
-SCHEMA = "container bigint, id {kind}, piece bigint, pieces bigint, first_token bigint, tokens bigint, at bigint"
-_NAMES = ["container", "id", "piece", "pieces", "first_token", "tokens", "at"]
+    target, proven = least_containers(np.array(sizes, np.int64), capacity), True
+    while target <= len(incumbent):
+        left = nodes + 64 * len(sizes)
+
+        def node() -> None:
+            nonlocal left
+            left -= 1
+            if left < 0:
+                raise Spent
+
+        try:
+            found = search(sizes, capacity, target, node)
+            step = 1
+        except Spent:
+            found, proven, step = None, False, max(1, (len(incumbent) - target) // 8)
+        if found is not None:
+            places: dict[int, list[int]] = defaultdict(list)
+            for i in range(len(sizes) - 1, -1, -1):
+                places[sizes[i]].append(i)
+            return [[places[s].pop() for s in c] for c in found], "search", proven
+        target += step
+    return incumbent, "best fit", proven
+
+
+SCHEMA = "container bigint, id {kind}, piece bigint, pieces bigint, first_token bigint, tokens bigint, at bigint, made string, proven boolean"
+_NAMES = ["container", "id", "piece", "pieces", "first_token", "tokens", "at", "made", "proven"]
 
 
 def _pack_shard(shard: int, ids: pa.Array, tokens: np.ndarray, capacity: int, nodes: int) -> Iterator[pa.RecordBatch]:
@@ -191,7 +278,8 @@ def _pack_shard(shard: int, ids: pa.Array, tokens: np.ndarray, capacity: int, no
     pieces = np.maximum(1, full + (rest > 0))
     item = np.flatnonzero(rest > 0)
     item = item[np.argsort(-rest[item], kind="stable")]
-    bins = pack(rest[item].tolist(), capacity, nodes)
+    bins, made, proven = pack(rest[item].tolist(), capacity, nodes)
+    packed = len(bins)
     rows: list[tuple] = []
     c = 0
     for places in bins:
@@ -212,13 +300,15 @@ def _pack_shard(shard: int, ids: pa.Array, tokens: np.ndarray, capacity: int, no
     for lo in range(0, len(col), 50_000):
         x = col[lo : lo + 50_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x[:, 0] + (shard << 32)), ids.take(pa.array(x[:, 1])), pa.array(x[:, 2] + 1), pa.array(pieces[x[:, 1]]), pa.array(x[:, 2] * capacity), pa.array(x[:, 3]), pa.array(x[:, 4])], _NAMES
+            [pa.array(x[:, 0] + (shard << 32)), ids.take(pa.array(x[:, 1])), pa.array(x[:, 2] + 1), pa.array(pieces[x[:, 1]]), pa.array(x[:, 2] * capacity), pa.array(x[:, 3]), pa.array(x[:, 4])]
+            + [pa.array(np.where(x[:, 0] < packed, made, "split")), pa.array(np.full(len(x), proven))],
+            _NAMES,
         )
 
 
-def fill(sized: DataFrame, capacity: int, *, shard_items: int = 50_000, nodes: int = 400) -> DataFrame:
+def fill(sized: DataFrame, capacity: int, *, shard_items: int = 50_000, nodes: int = 100_000) -> DataFrame:
     """sized: id, tokens. Gives container, id, piece (from 1), pieces, first_token (of the piece in its
-    document), tokens, at (where it begins in the container)."""
+    document), tokens, at (where it begins in the container), made ('search', 'best fit', or 'split' for a full piece), proven."""
     if capacity < 1:
         raise ValueError("the capacity must be at least 1")
     from runweave.session import cut

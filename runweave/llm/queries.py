@@ -113,11 +113,12 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """How full the containers are."""
-    each = p8_containers(spark, d).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    """How full the containers are, how many the search made, and how many lie in shards whose number of containers is not known to be the least."""
+    each = p8_containers(spark, d).groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.first("made").alias("made"), F.min("proven").alias("proven"))
     return each.agg(
         F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"),
         F.lit(CONTAINER_TOKENS).cast("bigint").alias("capacity"), F.max("tokens").alias("fullest"), F.round(F.sum("tokens") / (F.count(F.lit(1)) * CONTAINER_TOKENS), 6).alias("filled"),
+        F.count_if(F.col("made") == "search").alias("by_search"), F.count_if(F.col("made") == "best fit").alias("by_best_fit"), F.count_if(~F.col("proven")).alias("unproven"),
     )
 
 
