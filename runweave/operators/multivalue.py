@@ -2,18 +2,21 @@
 
 An Arrow batch's text is one byte buffer. Quote parity, delimiters and protected names are
 masks over that buffer; where delimiters begin and end gives the offsets of the children, and a
-gather gives the list array's values, flattened with the ordinal of the parent. Nothing
-is called per row.
+gather gives the list array's values, flattened with the ordinal of the parent. No step is done row by row.
 
-What parts values: the symbols , ; / | & + and the middle dot, line ends, and the words x, vs,
-and, with, b2b, feat, ft, featuring, w/ between blanks (also after an opening bracket). What does
-not: anything inside quotation marks put around a value, anything inside a protected name, a
-word with nothing on one side, and a comma before a single initial, article, prefix or given name
-("Derakost, Thomas"; "Motor Quartet, The").
+What parts values is a parameter (``Delimiters``): symbols, words that always part values, and words that do so only with a value
+on either side; words stand between blanks (also after an opening bracket). What does not part values: anything inside a pair
+of quotation marks put around a value, anything inside a protected name, a word with nothing on one side, and a comma
+before a single initial, article, prefix or given name ("Derakost, Thomas"; "Motor Quartet, The").
+
+Protected names come from a register of any size, which is joined and never collected: every stretch of a text's words that
+holds a delimiter is a row, as is every single word after a comma, and an equi-join finds those that are names of the register
+(or first words of several of its names). Of overlapping names the first one counts, and of those the longest.
+Only texts that hold a delimiter take part, each once; the rows are joined to their stretches with a salt.
 
 Edge cases: null and empty fields give no rows; a field with one value gives one row; empty
 values between delimiters are left out and take no position; an odd number of double
-quotes in a field means they are text; repeated rows are split alike; texts of any length
+quotes in a field means they are text, as does an opening mark without a closing one; repeated rows are split alike; texts of any length
 are handled by the same array steps; an empty table gives an empty table; a key
 column named pos, n or name gets an underscore behind its name in the result.
 """
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +34,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SYMBOLS = b",;/|&+\n"
-MIDDLE_DOT = "·".encode()
-#: Words that always part values, and words that do so only with a value on either side.
-ALWAYS = (b"feat.", b"feat", b"ft.", b"ft", b"featuring", b"w/", b"vs.", b"b2b")
-BETWEEN = (b"x", b"vs", b"and", b"with")
+from runweave.operators.joins import spread_join
+from runweave.session import cut
+
+
+@dataclass(frozen=True)
+class Delimiters:
+    """symbols: part values wherever they stand. always, between: words that part values, the latter only with a value on either
+    side. quotes: pairs of marks that keep what is between them whole, beside " and ' (which open and close alike)."""
+
+    symbols: tuple[str, ...] = (",", ";", "/", "|", "&", "+", "\n", "\\", "·", "•", "×", "，", "、", "；", "／", "｜", "＆", "＋")
+    always: tuple[str, ...] = ("feat.", "feat", "ft.", "ft", "featuring", "w/", "vs.", "b2b")
+    between: tuple[str, ...] = ("x", "vs", "and", "with", "versus", "meets", "pres.")
+    quotes: tuple[tuple[str, str], ...] = (("“", "”"), ("„", "“"), ("«", "»"), ("「", "」"))
+
+    def pattern(self) -> str:
+        """A Java pattern that finds something in every text that can be parted; it may find more."""
+        words = "|".join(map(re.escape, sorted({*self.always, *self.between})))
+        return rf"[{''.join(map(re.escape, self.symbols))}]|(?i)(?:[\s(\[{{]|^)(?:{words})\s"
+
+
+DEFAULT = Delimiters()
 PREFIXES = frozenset({"the", "dj", "mc", "les"})
 
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\r\n\x0b\x0c")] = True
-_SYMBOL = np.zeros(256, bool)
-_SYMBOL[list(SYMBOLS)] = True
 _OPEN = np.zeros(256, bool)
 _OPEN[list(b"([{")] = True
 _CLOSE = np.zeros(256, bool)
@@ -48,113 +66,213 @@ _CLOSE[list(b")]}")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 END = 0
+NAME, WORD = 0, 1
 
 
-def holds_delimiter(name: str) -> bool:
-    words = name.lower().encode().split()
-    return any(c in SYMBOLS for c in name.encode()) or "·" in name or any(w in ALWAYS or w in BETWEEN for w in words)
+def _find(buf: np.ndarray, text: bytes) -> np.ndarray:
+    """Where ``text`` stands in the buffer."""
+    if len(buf) < len(text):
+        return np.empty(0, np.int64)
+    at = np.flatnonzero(buf[: len(buf) - len(text) + 1] == text[0])
+    for k, c in enumerate(text[1:], 1):
+        at = at[buf[at + k] == c]
+    return at
+
+
+def _cover(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A mask of ``n`` bytes over the stretches."""
+    step = np.zeros(n + 1, np.int32)
+    np.add.at(step, begin, 1)
+    np.add.at(step, end, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+class _Buffer:
+    """The texts of a batch as bytes, with what stands where."""
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray, delimiters: Delimiters) -> None:
+        self.n_rows = len(at) - 1
+        sizes = np.diff(at)
+        # A zero byte ends each row, so that no look at a neighbour leaves the row.
+        self.starts = at[:-1] + np.arange(self.n_rows)
+        buf = self.buf = np.full(len(raw) + self.n_rows, END, np.uint8)
+        self.row = np.repeat(np.arange(self.n_rows), sizes + 1)
+        body = np.ones(len(buf), bool)
+        body[self.starts + sizes] = False
+        buf[body] = np.where(raw == END, 32, raw)
+        self.low, self.n = _LOWER[buf], len(buf)
+        self.prev, self.nxt = np.concatenate([[END], buf[:-1]]), np.concatenate([buf[1:], [END]])
+        self.symbol = np.zeros(self.n, bool)
+        for s in delimiters.symbols:
+            b = s.encode()
+            hit = _find(buf, b)
+            for k in range(len(b)):
+                self.symbol[hit + k] = True
+        self.stop = self.symbol | (buf == END) | _BLANK[buf]
+        self.after_stop = np.concatenate([[True], self.stop[:-1]])
+        self.before_stop = np.concatenate([self.stop[1:], [True]])
+
+    def words(self, first: np.ndarray, words: Iterable[str]) -> Iterator[tuple[np.ndarray, int]]:
+        """(places, length) of the delimiter words among the places ``first``; a blank follows them."""
+        for w in words:
+            b = w.lower().encode()
+            hit = first[first + len(b) < self.n]
+            for k, c in enumerate(b):
+                hit = hit[self.low[hit + k] == c]
+            yield hit[_BLANK[self.buf[hit + len(b)]]], len(b)
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and row of runs without blanks, symbols, brackets and quotation marks."""
+        free = ~(self.stop | _OPEN[self.buf] | _CLOSE[self.buf] | (self.buf == 34) | (self.buf == 39))
+        begin = np.flatnonzero(free & ~np.concatenate([[False], free[:-1]]))
+        end = np.flatnonzero(free & ~np.concatenate([free[1:], [False]])) + 1
+        return begin, end, self.row[begin]
+
+    def keys(self, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+        """The stretches in lower case with single blanks."""
+        blank = _BLANK[self.buf]
+        text = np.where(blank, 32, self.buf).astype(np.uint8)
+        return pc.utf8_lower(_gather(text, begin, end, ~(blank & np.concatenate([[False], blank[:-1]]))))
+
+
+def stretches(raw: np.ndarray, at: np.ndarray, longest: int, delimiters: Delimiters) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, kind, begin, end, key) of what a register may know: stretches of up to ``longest`` words that hold a delimiter, and
+    single words after a comma. Places count from the row's begin."""
+    b = _Buffer(raw, at, delimiters)
+    begin, end, row = b.tokens()
+    held = b.symbol.astype(np.int64)
+    for hit, _ in b.words(begin, (*delimiters.always, *delimiters.between)):
+        held[hit] = 1
+    last = np.flatnonzero(b.nxt == END)  # a word that ends its row has no blank behind it
+    for w in (*delimiters.always, *delimiters.between):
+        e = w.lower().encode()
+        tail = begin[(end - begin == len(e)) & np.isin(end - 1, last)]
+        for k, c in enumerate(e):
+            tail = tail[b.low[tail + k] == c]
+        held[tail] = 1
+    held = np.concatenate([[0], np.cumsum(held)])
+    lo, hi = [], []
+    for k in range(min(longest, len(begin))):
+        i = np.arange(len(begin) - k)
+        i = i[row[i] == row[i + k]]
+        if not i.size:
+            break
+        i = i[held[end[i + k]] > held[begin[i]]]
+        lo.append(begin[i])
+        hi.append(end[i + k])
+    names = (np.concatenate(lo), np.concatenate(hi)) if lo else (begin[:0], end[:0])
+    comma = np.flatnonzero((b.buf[:-1] == 44) & _BLANK[b.buf[1:]]) if b.n > 1 else np.empty(0, np.int64)
+    near = np.searchsorted(begin, comma)
+    comma, near = comma[near < len(begin)], near[near < len(begin)]
+    single = near[(begin[near] - comma <= 3) & (row[near] == b.row[comma])] if len(begin) else near
+    lo, hi = np.concatenate([names[0], begin[single]]), np.concatenate([names[1], end[single]])
+    kind = np.concatenate([np.full(len(names[0]), NAME), np.full(len(single), WORD)])
+    of = b.row[lo] if len(lo) else lo
+    return of, kind, lo - b.starts[of], hi - b.starts[of], b.keys(lo, hi)
+
+
+def cores(raw: np.ndarray, at: np.ndarray, delimiters: Delimiters) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, key, words) of names: from their first word to their last, as ``stretches`` has them."""
+    b = _Buffer(raw, at, delimiters)
+    begin, end, row = b.tokens()
+    if not len(begin):
+        return row, pa.array([], pa.string()), row
+    first = np.concatenate([[True], row[1:] != row[:-1]])
+    last = np.concatenate([row[1:] != row[:-1], [True]])
+    return row[first], b.keys(begin[first], end[last]), np.flatnonzero(last) - np.flatnonzero(first) + 1
 
 
 class Splitter:
-    """protected: names that are one value though they hold delimiters. given: single words that after a
-    comma belong to the value before it. Both are driver-side lists and must be small."""
+    """given: single words that after a comma belong to the value before it, beside those found in the register."""
 
-    def __init__(self, protected: Iterable[str] = (), given: Iterable[str] = ()) -> None:
-        names = sorted({n.strip().encode() for n in protected if n and holds_delimiter(n)}, key=lambda n: (-len(n), n))
-        blanks = [rb"[ \t]+".join(re.escape(bytes(_LOWER[np.frombuffer(w, np.uint8)])) for w in n.split()) for n in names]
-        self.pattern = re.compile(b"|".join(blanks)) if blanks else None
+    def __init__(self, given: Iterable[str] = (), delimiters: Delimiters = DEFAULT) -> None:
         self.given = pa.array(sorted({g.lower() for g in given} | PREFIXES), pa.string())
+        self.delimiters = delimiters
 
     # masks -----------------------------------------------------------------------------
 
-    def _quoted(self, buf: np.ndarray, row: np.ndarray, n_rows: int, edge_left: np.ndarray, edge_right: np.ndarray) -> np.ndarray:
+    def _quoted(self, b: _Buffer, edge_left: np.ndarray, edge_right: np.ndarray) -> np.ndarray:
         """Inside quotation marks. Double ones by parity within the row; single ones from one that opens a
-        value to the next that closes one."""
+        value to the next that closes one; pairs from an opening mark to the next closing one."""
+        buf, row = b.buf, b.row
         double = buf == 34
-        count = np.bincount(row[double], minlength=n_rows)
+        count = np.bincount(row[double], minlength=b.n_rows)
         double &= (count % 2 == 0)[row]
         running = np.cumsum(double)
         base = np.concatenate([[0], np.cumsum(np.where(count % 2 == 0, count, 0))])[:-1]
         inside = ((running - base[row]) % 2 == 1) | double
         single = np.flatnonzero((buf == 39) & ~inside)
-        if single.size:
-            opens, closes = single[edge_left[single] & ~edge_right[single]], single[edge_right[single] & ~edge_left[single]]
-            if opens.size and closes.size:
-                nxt = np.searchsorted(closes, opens)
-                ok = nxt < len(closes)
-                opens, nxt = opens[ok], nxt[ok]
-                ends = closes[nxt]
-                ok = row[opens] == row[ends]
-                # Of several openings before one closing the first counts.
-                opens, ends = opens[ok], ends[ok]
-                ends, first = np.unique(ends, return_index=True)
-                opens = opens[first]
-                step = np.zeros(len(buf) + 1, np.int32)
-                np.add.at(step, opens, 1)
-                np.add.at(step, ends + 1, -1)
-                inside |= np.cumsum(step[:-1]) > 0
+        opens, closes = single[edge_left[single] & ~edge_right[single]], single[edge_right[single] & ~edge_left[single]]
+        inside |= self._between(b, opens, closes, 1)
+        if (buf >= 0x80).any():
+            for o, c in self.delimiters.quotes:
+                inside |= self._between(b, _find(buf, o.encode()), _find(buf, c.encode()), len(c.encode()))
         return inside
 
-    def _protected(self, low: np.ndarray, edge_left: np.ndarray, edge_right: np.ndarray) -> np.ndarray:
-        mask = np.zeros(len(low) + 1, np.int32)
-        if self.pattern is not None:
-            last = len(low) - 1
-            for m in self.pattern.finditer(low.tobytes()):
-                a, b = m.span()
-                if edge_left[a] and edge_right[min(b - 1, last)]:
-                    mask[a] += 1
-                    mask[b] -= 1
-        return np.cumsum(mask[:-1]) > 0
-
-    def split(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-        """Bytes and row offsets to (parent row, value), in order."""
-        n_rows = len(at) - 1
-        sizes = np.diff(at)
-        # A zero byte ends each row, so that no look at a neighbour leaves the row.
-        starts = at[:-1] + np.arange(n_rows)
-        buf = np.full(len(raw) + n_rows, END, np.uint8)
-        row = np.repeat(np.arange(n_rows), sizes + 1)
-        body = np.ones(len(buf), bool)
-        body[starts + sizes] = False
-        buf[body] = np.where(raw == END, 32, raw)
-        low, n = _LOWER[buf], len(buf)
-        prev, nxt = np.concatenate([[END], buf[:-1]]), np.concatenate([buf[1:], [END]])
-        dot = np.zeros(n, bool)
-        if n > 1:
-            d = np.flatnonzero((buf[:-1] == MIDDLE_DOT[0]) & (buf[1:] == MIDDLE_DOT[1]))
-            dot[d] = dot[d + 1] = True
-        symbol = _SYMBOL[buf] | dot
-        stop = symbol | (buf == END) | _BLANK[buf]
-        edge_left = np.concatenate([[True], stop[:-1]]) | _OPEN[prev] | (prev == 34) | (prev == 39)
-        edge_right = np.concatenate([stop[1:], [True]]) | _CLOSE[nxt] | (nxt == 34) | (nxt == 39)
-        guarded = self._quoted(buf, row, n_rows, np.concatenate([[True], stop[:-1]]) | _OPEN[prev], np.concatenate([stop[1:], [True]]) | _CLOSE[nxt])
-        guarded |= self._protected(low, edge_left, edge_right)
-        cut = symbol & ~guarded
+    @staticmethod
+    def _between(b: _Buffer, opens: np.ndarray, closes: np.ndarray, length: int) -> np.ndarray:
+        """From each opening mark to the next closing one of its row; of several openings before one closing the first counts."""
+        if not (opens.size and closes.size):
+            return np.zeros(b.n, bool)
+        nxt = np.searchsorted(closes, opens, side="right")
+        opens, nxt = opens[nxt < len(closes)], nxt[nxt < len(closes)]
+        ends = closes[nxt]
+        ok = b.row[opens] == b.row[ends]
+        ends, first = np.unique(ends[ok], return_index=True)
+        return _cover(b.n, opens[ok][first], ends + length)
+
+    @staticmethod
+    def _first_names(begin: np.ndarray, end: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Places of the names that count, of those that overlap; begin and end count in the whole buffer."""
+        order = np.lexsort((-end, begin))
+        b, e, r = begin[order], end[order], row[order]
+        after = np.searchsorted(b, e)
+        kept = []
+        at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.empty(0, np.int64)
+        while at.size:
+            kept.append(at)
+            to = after[at]
+            ok = (to < len(r)) & (r[np.minimum(to, len(r) - 1)] == r[at])
+            at = to[ok]
+        return order[np.concatenate(kept)] if kept else order
+
+    def split(self, raw: np.ndarray, at: np.ndarray, known: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, pa.Array]:
+        """Bytes and row offsets to (parent row, value), in order. known: row, kind, begin, end of what the register knows."""
+        b = _Buffer(raw, at, self.delimiters)
+        buf, low, row, n, prev, stop = b.buf, b.low, b.row, b.n, b.prev, b.stop
+        guarded = self._quoted(b, b.after_stop | _OPEN[prev], b.before_stop | _CLOSE[b.nxt])
+        given_end = np.full(n, -1, np.int64)
+        if known is not None and len(known[0]):
+            of, kind, lo, hi = known
+            lo, hi = lo + b.starts[of], hi + b.starts[of]
+            given_end[lo[kind == WORD]] = hi[kind == WORD]
+            lo, hi, of = lo[kind == NAME], hi[kind == NAME], of[kind == NAME]
+            first = self._first_names(lo, hi, of)
+            guarded |= _cover(n, lo[first], hi[first])
+        cut = b.symbol & ~guarded
         # Words: only where a blank or bracket stands before them.
-        first = np.flatnonzero((_BLANK[prev] | _OPEN[prev] | (_SYMBOL[prev])) & ~stop & ~guarded)
+        first = np.flatnonzero((_BLANK[prev] | _OPEN[prev]) & ~stop & ~guarded)
         weak = np.zeros(n, bool)
-        for words, always in ((ALWAYS, True), (BETWEEN, False)):
-            for w in words:
-                hit = first[first + len(w) < n]
-                for k, c in enumerate(w):
-                    hit = hit[low[hit + k] == c]
-                after = hit + len(w)
-                hit = hit[_BLANK[buf[after]] & _BLANK[prev[hit]] | (_BLANK[buf[after]] & _OPEN[prev[hit]] if always else False)]
-                for k in range(len(w)):
+        for words, always in ((self.delimiters.always, True), (self.delimiters.between, False)):
+            for hit, length in b.words(first, words):
+                if not always:
+                    hit = hit[_BLANK[prev[hit]]]
+                for k in range(length):
                     cut[hit + k] = True
                     if not always:
                         weak[hit + k] = True
                 opened = hit[_OPEN[prev[hit]]] - 1
                 cut[opened] = True
-        cut = self._settle(cut, weak, buf, low, row)
+        cut = self._settle(cut, weak, buf, low)
         begin, end, parent = self._pieces(cut, buf, row)
-        glued = self._sort_forms(buf, cut, guarded, begin, end, parent)
+        glued = self._sort_forms(buf, cut, guarded, begin, end, parent, given_end)
         if glued.size:
             cut[glued] = False
             begin, end, parent = self._pieces(cut, buf, row)
-        return self._values(buf, begin, end, parent)
+        return self._values(b, begin, end, parent)
 
-    def _settle(self, cut: np.ndarray, weak: np.ndarray, buf: np.ndarray, low: np.ndarray, row: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _settle(cut: np.ndarray, weak: np.ndarray, buf: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Words that need a value on either side and have none are text; after a symbol only capitals are."""
         if not weak.any():
             return cut
@@ -172,10 +290,7 @@ class Splitter:
         on_right = ~no_right & cut[np.clip(q, 0, len(buf) - 1)]
         capital = buf[head] != low[head]
         text = no_left | no_right | on_right | (on_left & capital)
-        out = cut.copy()
-        for h, t in zip(head[text], tail[text]):
-            out[h : t + 1] = False
-        return out
+        return cut & ~_cover(len(buf), head[text], tail[text] + 1)
 
     @staticmethod
     def _pieces(cut: np.ndarray, buf: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +308,7 @@ class Splitter:
         trail = np.concatenate([g[1:] != g[:-1], [True]])
         return at[lead], at[trail] + 1, row[at[lead]]
 
-    def _sort_forms(self, buf: np.ndarray, cut: np.ndarray, guarded: np.ndarray, begin: np.ndarray, end: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    def _sort_forms(self, buf: np.ndarray, cut: np.ndarray, guarded: np.ndarray, begin: np.ndarray, end: np.ndarray, parent: np.ndarray, given_end: np.ndarray) -> np.ndarray:
         """Commas inside a name written with its first part last."""
         if len(begin) < 2:
             return np.empty(0, np.int64)
@@ -205,26 +320,16 @@ class Splitter:
         at = np.flatnonzero(ok)
         if not at.size:
             return at
-        texts = self._gather(buf, begin[right[at]], end[right[at]], None)
+        texts = _gather(buf, begin[right[at]], end[right[at]], None)
         low = pc.utf8_lower(texts)
         single = pc.or_(pc.is_in(low, self.given), pc.match_substring_regex(texts, r"^\p{L}\.?$"))
-        at = at[single.to_numpy(zero_copy_only=False)]
+        at = at[single.to_numpy(zero_copy_only=False) | (given_end[begin[right[at]]] == end[right[at]])]
         return end[left[at]]
 
-    @staticmethod
-    def _gather(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, keep: np.ndarray | None) -> pa.Array:
-        size = end - begin
-        off = np.concatenate([[0], np.cumsum(size)])
-        index = np.repeat(begin - off[:-1], size) + np.arange(off[-1])
-        if keep is not None:
-            held = keep[index]
-            off = np.concatenate([[0], np.cumsum(held)])[off]
-            index = index[held]
-        return pa.StringArray.from_buffers(len(begin), pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(buf[index].tobytes()))
-
-    def _values(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    def _values(self, b: _Buffer, begin: np.ndarray, end: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        buf = b.buf
         opened, closed = (np.concatenate([[0], np.cumsum(x[buf])]) for x in (_OPEN, _CLOSE))
-        end = end.copy()
+        begin, end = begin.copy(), end.copy()
         for _ in range(3):  # brackets that were opened before the delimiter
             loose = (end > begin) & _CLOSE[buf[np.maximum(end - 1, 0)]] & (closed[end] - closed[begin] > opened[end] - opened[begin])
             if not loose.any():
@@ -243,19 +348,39 @@ class Splitter:
                 inner = marks[np.maximum(end - 1, begin + 1)] - marks[np.minimum(begin + 1, end)]
                 doubled = twins[np.maximum(end - 1, begin + 1)] - twins[np.minimum(begin + 2, end)]
                 whole = (end - begin > 2) & (buf[begin] == q) & (buf[end - 1] == q) & (inner == 2 * doubled)
-                for a, b in zip(begin[whole], end[whole]):
-                    keep[a] = keep[b - 1] = False
-                    keep[a + 1 : b - 1] &= ~twin[a + 1 : b - 1]
-        texts = pc.utf8_trim(self._gather(buf, begin, end, keep), characters=" \t\r\n")
+                keep[begin[whole]] = keep[end[whole] - 1] = False
+                keep &= ~(twin & _cover(len(buf), begin[whole] + 1, end[whole] - 1))
+            if (buf >= 0x80).any():
+                for o, c in self.delimiters.quotes:
+                    o, c = o.encode(), c.encode()
+                    opens, closes = np.zeros(len(buf) + 1, bool), np.zeros(len(buf) + 1, bool)
+                    opens[_find(buf, o)] = True
+                    closes[_find(buf, c) + len(c)] = True
+                    many = np.cumsum(closes)
+                    whole = opens[begin] & closes[end] & (many[end] - many[begin] == 1) & (end - begin > len(o) + len(c))
+                    begin, end = begin + len(o) * whole, end - len(c) * whole
+        texts = pc.utf8_trim(_gather(buf, begin, end, keep), characters=" \t\r\n")
         return parent, texts
 
-    def lists(self, col: pa.Array) -> pa.ListArray:
+    def lists(self, col: pa.Array, known: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None) -> pa.ListArray:
         """The values of each row of a string column as a list array."""
-        parent, texts = self.split(*_buffers(col))
+        parent, texts = self.split(*_buffers(col), known)
         ends = np.cumsum(np.bincount(parent, minlength=len(col)))
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), texts)
 
 
+def _gather(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, keep: np.ndarray | None) -> pa.Array:
+    """The stretches as strings, without the bytes that ``keep`` leaves out."""
+    size = end - begin
+    off = np.concatenate([[0], np.cumsum(size)])
+    index = np.repeat(begin - off[:-1], size) + np.arange(off[-1])
+    if keep is not None:
+        held = keep[index]
+        off = np.concatenate([[0], np.cumsum(held)])[off]
+        index = index[held]
+    return pa.StringArray.from_buffers(len(begin), pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(buf[index].tobytes()))
+
+
 def _buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     col = col.cast(pa.string()).fill_null("") if col.null_count else col.cast(pa.string())
     if not len(col):
@@ -266,23 +391,89 @@ def _buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def split_values(df: DataFrame, key: str, field: str, *, protected: Iterable[str] = (), given: Iterable[str] = (), least: int = 1, whole: Iterable[str] = ()) -> DataFrame:
+_SPANS = "array<struct<kind:int,begin:int,end:int>>"
+
+
+def _as_table(names: DataFrame | Iterable[str], like: DataFrame) -> DataFrame | None:
+    """A column ``name`` of a table or of a few names at hand."""
+    if isinstance(names, DataFrame):
+        return names.select(F.col(names.columns[0]).cast("string").alias("name"))
+    names = sorted({n for n in names if n})
+    return like.sparkSession.createDataFrame([(n,) for n in names], "name string") if names else None
+
+
+def _core_rows(names: DataFrame, delimiters: Delimiters) -> DataFrame:
+    """key, words of the names that hold a delimiter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, key, words = cores(*_buffers(b.column(0)), delimiters)
+            yield pa.RecordBatch.from_arrays([key, pa.array(words, pa.int64())], ["key", "words"])
+
+    return names.where(F.concat(F.col("name"), F.lit(" ")).rlike(delimiters.pattern())).mapInArrow(run, "key string, words bigint").where("key <> ''").distinct()
+
+
+def _known(texts: DataFrame, names: DataFrame | None, given: DataFrame | None, delimiters: Delimiters) -> DataFrame:
+    """v, spans of the texts in which something of the register stands."""
+    keys = texts.sparkSession.createDataFrame([], "kind int, key string")
+    longest = 0
+    if names is not None:
+        held = cut(_core_rows(names, delimiters))
+        longest = held.agg(F.max("words")).first()[0] or 0
+        keys = keys.unionByName(held.select(F.lit(NAME).alias("kind"), "key").distinct())
+    if given is not None:
+        keys = keys.unionByName(given.select(F.lit(WORD).alias("kind"), F.lower("name").alias("key")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, kind, begin, end, key = stretches(*_buffers(b.column(0)), longest, delimiters)
+            ints = [pa.array(x, pa.int32()) for x in (kind, begin, end)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *ints, key], ["v", "kind", "begin", "end", "key"])
+
+    found = texts.select("v").mapInArrow(run, "v string, kind int, begin int, end int, key string").join(keys, ["kind", "key"])
+    return found.groupBy("v").agg(F.collect_list(F.struct("kind", "begin", "end")).alias("spans"))
+
+
+def _whole(texts: DataFrame, names: DataFrame, delimiters: Delimiters) -> DataFrame:
+    """The texts that are one of the names in any case, blanks and punctuation. Letters outside ASCII may stand for any letter of the name, as
+    long as some of the text is ASCII: such texts are met by their first three letters in ASCII in a row (or the first one) and the place of these."""
+    held = names.where(F.concat(F.col("name"), F.lit(" ")).rlike(delimiters.pattern())).select(letters(F.col("name")).alias("l")).where("l <> ''").distinct()
+    own = texts.select("v", letters(F.col("v")).alias("l"))
+    same = own.join(held, "l", "left_semi").select("v")
+    foreign = own.where(F.col("l").rlike(r"[^\x00-\x7F]") & F.col("l").rlike("[a-z]")).select("v", F.regexp_replace("l", r"[^\x00-\x7F]", "_").alias("wild"))
+    three = F.regexp_extract("wild", "[a-z0-9]{3}", 0)
+    foreign = foreign.withColumn("gram", F.when(three != "", three).otherwise(F.regexp_extract("wild", "[a-z0-9]", 0)))
+    foreign = foreign.select("v", "wild", "gram", F.instr("wild", F.col("gram")).alias("at"), F.length("wild").alias("n"))
+    places = held.select("l", F.length("l").alias("n"), F.explode(F.sequence(F.lit(1), F.length("l"))).alias("at"))
+    grams = places.select("l", "n", "at", F.explode(F.array(F.substring("l", F.col("at"), F.lit(1)), F.substring("l", F.col("at"), F.lit(3)))).alias("gram")).distinct()
+    loosely = foreign.join(grams, ["n", "at", "gram"]).where("l LIKE wild").select("v")
+    return same.unionByName(loosely).distinct()
+
+
+def split_values(
+    df: DataFrame, key: str, field: str, *, protected: DataFrame | Iterable[str] = (), given: DataFrame | Iterable[str] = (), least: int = 1, whole: DataFrame | Iterable[str] = (), delimiters: Delimiters = DEFAULT
+) -> DataFrame:
     """key, pos (from 1), n (values in the field), name; only fields with at least ``least`` values.
-    whole: fields whose letters and digits are those of one of these names are one value in any writing; this is
-    looked at only where ``least`` asks for several."""
-    splitter = Splitter(protected, given)
+
+    protected: names that are one value though they hold delimiters. given: words that after a comma belong to the value before it. whole:
+    fields that are one of these names in any writing are one value; this is looked at only where ``least`` asks for several. Each is a
+    table of any size, whose first column counts, or a few texts."""
     out_key = key + "_" if key in ("pos", "n", "name") else key
     source = df.select(F.col(key).alias("k"), F.col(field).cast("string").alias("v")).where("v IS NOT NULL AND v <> ''")
-    if least > 1 and (names := sorted({n for n in whole if n and holds_delimiter(n)})):
-        same = letters(F.col("v")).isin(sorted({letters_only(n) for n in names}))
-        # Letters outside ASCII may stand for any letter of the name, as long as some of the field is ASCII.
-        foreign = F.col("v").rlike(r"[^\x00-\x7F]") & F.col("v").rlike("[A-Za-z]") & F.col("v").rlike(loosely(names))
-        source = source.where(~(same | foreign))
     out = T.StructType([T.StructField(out_key, source.schema["k"].dataType), T.StructField("pos", T.LongType()), T.StructField("n", T.LongType()), T.StructField("name", T.StringType())])
+    names, few = _as_table(protected, df), () if isinstance(given, DataFrame) else tuple(given)
+    words = given if isinstance(given, DataFrame) else None
+    wholes = _as_table(whole, df) if least > 1 else None
+    splitter = Splitter(few, delimiters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = splitter.lists(b.column(1))
+            known = None
+            if b.num_columns > 2:
+                spans = b.column(2)
+                flat = pc.list_flatten(spans)
+                known = (pc.list_parent_indices(spans).to_numpy().astype(np.int64), *(flat.field(i).to_numpy().astype(np.int64) for i in range(3)))
+            lists = splitter.lists(b.column(1), known)
             rows = np.flatnonzero(pc.list_value_length(lists).to_numpy() >= max(1, least))
             if not rows.size:
                 continue
@@ -292,7 +483,19 @@ def split_values(df: DataFrame, key: str, field: str, *, protected: Iterable[str
             pos = np.arange(len(parent)) - np.repeat(np.cumsum(n) - n, n) + 1
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[parent])), pa.array(pos, pa.int64()), pa.array(n[parent]), pc.list_flatten(lists)], [out_key, "pos", "n", "name"])
 
-    return source.mapInArrow(run, out)
+    # A text without any delimiter is one value.
+    may = F.col("v").rlike(delimiters.pattern())
+    if names is None and words is None and wholes is None:
+        return source.where(may if least > 1 else F.lit(True)).mapInArrow(run, out)
+    texts = cut(source.where(may).select("v").distinct())
+    info = _known(texts, names, words, delimiters)
+    if wholes is not None:
+        info = info.join(_whole(texts, wholes, delimiters).withColumn("one", F.lit(True)), "v", "full")
+    else:
+        info = info.withColumn("one", F.lit(None).cast("boolean"))
+    rows = spread_join(source.where(may), info, "v", "k").where("one IS NULL").select("k", "v", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
+    parted = rows.mapInArrow(run, out)
+    return parted if least > 1 else parted.unionByName(source.where(~may).mapInArrow(run, out))
 
 
 def letters(text: Column) -> Column:
@@ -300,24 +503,24 @@ def letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
 
 
-def letters_only(text: str) -> str:
-    """``letters`` for one text on the driver."""
-    return "".join(c for c in text.lower() if c.isalnum())
-
-
-def loosely(names: Iterable[str]) -> str:
-    """A Java pattern for whole texts that are one of the names in any case, blanks and punctuation, where a letter may be
-    written as any sign outside ASCII and invisible signs may stand between."""
-    gap = r"[^\p{L}\p{N}]*"
-    letter = lambda c: rf"[{re.escape(c.lower())}{re.escape(c.upper()) if len(c.upper()) == 1 else ''}[^\x00-\x7F]]"
-    word = lambda w: r"\p{Cf}*".join(map(letter, w))
-    every = (gap.join(word(w) for w in re.findall(r"[^\W_]+", n)) for n in names)
-    return f"^{gap}(?:{'|'.join(every)}){gap}$"
-
-
 def given_names(names: Iterable[str], least: int = 2) -> set[str]:
-    """First words that begin several names of two words or more."""
+    """First words that begin several names of two words or more, of a few names at hand."""
     from collections import Counter
 
     count = Counter(n.split()[0].lower() for n in names if n and len(n.split()) > 1)
     return {w for w, k in count.items() if k >= least and w.isalpha()}
+
+
+def given_words(names: DataFrame, least: int = 2) -> DataFrame:
+    """The same of a register of any size: a column ``name``."""
+    word = F.lower(F.regexp_extract("name", r"(?U)^\s*(\p{L}+)\s+\S", 1))
+    return names.select(word.alias("name")).where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("name")
+
+
+def exchanged(rows: DataFrame, key: str, artist: str, title: str, register: DataFrame) -> DataFrame:
+    """key of the rows in which artist and title stand in each other's place, by what the row itself shows: the title is, in any writing, a name of
+    the register, and the artist is none. The register (its first column) is joined, never collected."""
+    names = register.select(letters(F.col(register.columns[0]).cast("string")).alias("l")).where("l <> ''").distinct()
+    own = rows.select(F.col(key).alias("k"), letters(F.coalesce(F.col(artist), F.lit(""))).alias("a"), letters(F.coalesce(F.col(title), F.lit(""))).alias("l"))
+    turned = spread_join(own.where("l <> ''"), names.withColumn("known", F.lit(True)), "l", "k").where("known")
+    return spread_join(turned.drop("known"), names.select(F.col("l").alias("a")), "a", "k", "left_anti").select(F.col("k").alias(key))

@@ -12,8 +12,6 @@ from runweave.session import checkpoint_dir
 from runweave.sources.tables import table
 from runweave.streaming import jobs
 
-#: The register is read to the driver; beyond this many names it would have to be joined instead.
-REGISTER_LIMIT = 200_000
 #: Stands for the present wherever a document needs a date, so that results can be repeated.
 NOW = "2026-01-31 20:00"
 HIT = ["title", "artist", "shazam_url", "album", "coverart_url"]
@@ -37,36 +35,34 @@ def query(sql: str | None = None):
 # Several acts in one field ------------------------------------------------------------
 
 
-def _register(spark: SparkSession, d: str) -> list[str]:
-    names = [r[0] for r in table(spark, d, "artists").select("name").where("name IS NOT NULL").limit(REGISTER_LIMIT + 1).collect()]
-    if len(names) > REGISTER_LIMIT:
-        raise ValueError(f"the register holds more than {REGISTER_LIMIT} names")
-    return names
-
-
 @query()
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Acts of the tracks with several. Where artist and title stand in each other's place, artist holds no
-    acts; that is so where the two texts are more often used the other way round in the whole table."""
-    names = _register(spark, d)
-    tracks = table(spark, d, "tracks")
-    acts = mv.split_values(tracks, "track_id", "artist", protected=names, given=mv.given_names(names), least=2, whole=names)
-    uses = tracks.select(F.explode(F.array(F.struct(mv.letters(F.col("artist")).alias("k"), F.lit(1).alias("a")), F.struct(mv.letters(F.col("title")).alias("k"), F.lit(0).alias("a")))).alias("u")).select("u.*")
-    # One more use as an artist than as a title counts +1.
-    lean = uses.where("k <> ''").groupBy("k").agg(F.sum(F.col("a") * 2 - 1).alias("lean"))
-    some = acts.select("track_id").distinct()
-    both = tracks.join(some, "track_id", "left_semi").select("track_id", mv.letters(F.col("artist")).alias("ka"), mv.letters(F.col("title")).alias("kt"))
-    of = lambda k, name: lean.select(F.col("k").alias(k), F.col("lean").alias(name))
-    leaning = both.join(of("ka", "la"), "ka", "left").join(of("kt", "lt"), "kt", "left")
-    swapped = leaning.where("coalesce(la, 0) < coalesce(lt, 0)").select("track_id")
-    return acts.join(swapped, "track_id", "left_anti").select("track_id", "pos", "name")
+    """Acts of the tracks with several. Where artist and title stand in each other's place, artist holds no acts."""
+    names, tracks = table(spark, d, "artists").select("name"), table(spark, d, "tracks")
+    acts = mv.split_values(tracks, "track_id", "artist", protected=names, given=mv.given_words(names), least=2, whole=names)
+    return acts.join(_exchanged(spark, d), "track_id", "left_anti").select("track_id", "pos", "name")
+
+
+def _exchanged(spark: SparkSession, d: str) -> DataFrame:
+    tracks = table(spark, d, "tracks").where(F.col("artist").rlike(mv.DEFAULT.pattern()))
+    return mv.exchanged(tracks, "track_id", "artist", "title", table(spark, d, "artists").select("name"))
+
+
+_ONLY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT {_ONLY.format('name')} AS l FROM artists WHERE name IS NOT NULL), t AS (SELECT track_id, {_ONLY.format("coalesce(artist, '')")} AS a, {_ONLY.format("coalesce(title, '')")} AS l FROM tracks WHERE regexp_matches(artist, '{mv.DEFAULT.pattern()}'))
+SELECT track_id FROM t WHERE l <> '' AND l IN (SELECT l FROM r) AND a NOT IN (SELECT l FROM r)""")
+def p5_exchanged(spark: SparkSession, d: str) -> DataFrame:
+    """The tracks whose artist looks like several acts, but whose title is a registered act."""
+    return _exchanged(spark, d)
 
 
 @query()
 def p5_acts(spark: SparkSession, d: str) -> DataFrame:
     """Every act of every track with its position."""
-    names = _register(spark, d)
-    return mv.split_values(table(spark, d, "tracks"), "track_id", "artist", protected=names, given=mv.given_names(names))
+    names = table(spark, d, "artists").select("name")
+    return mv.split_values(table(spark, d, "tracks"), "track_id", "artist", protected=names, given=mv.given_words(names))
 
 
 # Samples: last delivery, corrections, runs --------------------------------------------

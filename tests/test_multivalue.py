@@ -1,6 +1,6 @@
 import pytest
 
-from runweave.operators.multivalue import given_names, split_values
+from runweave.operators.multivalue import Delimiters, exchanged, given_names, given_words, split_values
 
 PROTECTED = ["Moss & Thread", "Salt, Ash and Bone", "Tide, Tide, Tide", "Vector X", "The And", "With Regards", "Lark vs the Machine", "Vex / Nil"]
 GIVEN = ["Thomas", "Marek"]
@@ -79,3 +79,44 @@ def test_very_long(spark):
 
 def test_given_names():
     assert given_names(["Ann Lee", "Ann Poe", "Bob Lee", "DJ X1", "Solo"]) == {"ann"}
+
+
+def test_delimiters_are_a_parameter(spark):
+    texts = ["Ａ＆Ｂ", "李，王、張", "A\\B × C • D", "“Bo, Ray” & C", "«Un, Deux», Trois", "„Eins & Zwei“ / Drei", "“Bo, Ray", "A versus B meets C", "A und B"]
+    got = split(spark, texts)
+    assert [[v for _, v in got[i]] for i in range(len(texts))] == [
+        ["Ａ", "Ｂ"], ["李", "王", "張"], ["A", "B", "C", "D"], ["Bo, Ray", "C"], ["Un, Deux", "Trois"], ["Eins & Zwei", "Drei"], ["“Bo", "Ray"], ["A", "B", "C"], ["A und B"],
+    ]
+    own = Delimiters(symbols=("~",), always=(), between=("und",), quotes=())
+    assert [v for _, v in split(spark, ["A und B~C, D"], delimiters=own)[0]] == ["A", "B", "C, D"]
+
+
+def test_register_of_any_size(spark):
+    """300,000 registered names: they are joined, so there is no limit, and only the texts' own stretches meet them."""
+    names = spark.range(300_000).selectExpr("concat('Act ', id, ' & The ', id * 7, ' Others') AS name")
+    df = spark.createDataFrame([(1, "act 5 & the 35  others"), (2, "Act 299999 & The 2099993 Others / B"), (3, "Act 5 & The 36 Others"), (4, "B & Act 7 & The 49 Others")], "id int, v string")
+    got = {}
+    for r in split_values(df, "id", "v", protected=names, given=given_words(names), least=2, whole=names).collect():
+        got.setdefault(r.id, {})[r.pos] = r["name"]
+    assert got == {2: {1: "Act 299999 & The 2099993 Others", 2: "B"}, 3: {1: "Act 5", 2: "The 36 Others"}, 4: {1: "B", 2: "Act 7 & The 49 Others"}}
+
+
+def test_given_words_of_a_table(spark):
+    names = spark.createDataFrame([("Ann Lee",), ("Ann Poe",), ("Bob Lee",), ("DJ X1",), ("Solo",), (None,), ("",)], "name string")
+    assert [r["name"] for r in given_words(names).collect()] == ["ann"]
+    df = spark.createDataFrame([(1, "Poe, Ann"), (2, "Poe, Bob")], "id int, v string")
+    assert {(r.id, r["name"]) for r in split_values(df, "id", "v", given=given_words(names)).collect()} == {(1, "Poe, Ann"), (2, "Poe"), (2, "Bob")}
+
+
+def test_exchanged_by_the_row_itself(spark):
+    names = spark.createDataFrame([("Noor & Co",), ("Solo",), (None,)], "name string")
+    rows = [(1, "Quiet, Slow", "noor - & CO"), (2, "Noor & Co", "Solo"), (3, "A, B", "Song"), (4, None, "Solo"), (5, "A, B", None), (6, "A, B", "")]
+    got = exchanged(spark.createDataFrame(rows, "id int, a string, t string"), "id", "a", "t", names)
+    assert {r.id for r in got.collect()} == {1, 4}
+
+
+def test_one_text_in_most_rows(spark):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 < 2 THEN 'Moss & Thread & Bo' ELSE concat('Act ', id, ', Bee') END AS v")
+    got = split_values(df, "id", "v", protected=PROTECTED, least=2)
+    assert got.groupBy("name").count().where("name IN ('Moss & Thread', 'Bo')").agg({"count": "sum"}).first()[0] == 4000
+    assert got.count() == 6000
