@@ -52,10 +52,11 @@ _ONLY = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 
 
 @query(f"""WITH r AS (SELECT DISTINCT {_ONLY.format('name')} AS l FROM artists WHERE name IS NOT NULL), t AS (SELECT track_id, {_ONLY.format("coalesce(artist, '')")} AS a, {_ONLY.format("coalesce(title, '')")} AS l FROM tracks WHERE regexp_matches(artist, '{mv.DEFAULT.pattern()}'))
-SELECT track_id FROM t WHERE l <> '' AND l IN (SELECT l FROM r) AND a NOT IN (SELECT l FROM r)""")
+SELECT track_id, l <> '' AND l IN (SELECT l FROM r) AND a NOT IN (SELECT l FROM r) AS exchanged FROM t""")
 def p5_exchanged(spark: SparkSession, d: str) -> DataFrame:
-    """The tracks whose artist looks like several acts, but whose title is a registered act."""
-    return _exchanged(spark, d)
+    """The tracks whose artist looks like several acts, and whether the title is the registered act instead."""
+    tracks = table(spark, d, "tracks").where(F.col("artist").rlike(mv.DEFAULT.pattern())).select("track_id")
+    return tracks.join(_exchanged(spark, d).withColumn("e", F.lit(True)), "track_id", "left").select("track_id", F.coalesce("e", F.lit(False)).alias("exchanged"))
 
 
 @query()
