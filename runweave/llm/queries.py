@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 
 from runweave.llm import copies, heavy, leaks, packing, pairs, plainform, quality, runs, variants
 from runweave.operators import multivalue
+from runweave.operators.joins import spread_join
 from runweave.sources.tables import table
 
 
-#: The register is read to the driver to find names that hold several acts; over this many is an error, not a cut.
-REGISTER_LIMIT = 200_000
-
-
 def _hit_fields() -> dict:
     return {"artist": F.col("hit.artist"), "title": F.col("hit.title")}
 
@@ -65,11 +62,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _one_act(spark: SparkSession, d: str, names: DataFrame) -> DataFrame:
     """The names that hold a single act."""
-    register = [r[0] for r in table(spark, d, "artists").select("name").where("name IS NOT NULL").limit(REGISTER_LIMIT + 1).collect()]
-    if len(register) > REGISTER_LIMIT:
-        raise ValueError(f"the register holds more than {REGISTER_LIMIT} names")
+    register = table(spark, d, "artists").select("name")
     twice = names.select(F.col("name").alias("whole"), F.col("name").alias("text"))
-    given = multivalue.given_names(register) | variants.FIRST
+    given = multivalue.given_words(register).unionByName(spark.createDataFrame([(n,) for n in sorted(variants.FIRST)], "name string"))
     several = multivalue.split_values(twice, "whole", "text", protected=register, given=given, least=2, whole=register).select(F.col("whole").alias("name")).distinct()
     return names.join(several, "name", "left_anti")
 
@@ -82,7 +77,7 @@ def p6_links(spark: SparkSession, d: str) -> DataFrame:
     distinct = held.select("name").distinct()
     single = _one_act(spark, d, distinct)
     found = variants.resolve(single, table(spark, d, "artists").select(F.col("artist_id").alias("id"), "name"))
-    return held.join(found, "name").select("track_id", "field", F.col("id").alias("artist_id"), "name", "rule", F.round("score", 6).alias("score"))
+    return spread_join(held, found, "name", "track_id", "inner").select("track_id", "field", F.col("id").alias("artist_id"), "name", "rule", F.round("score", 6).alias("score"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,20 +1,23 @@
 """Variant spellings of names: canonical rewritings joined by equality.
 
-Every name of the register is rewritten by the rules below (short first names, initials, short
-legal forms, prefixes, order of the parts, sound) and each rewriting is a row. A name as typed has one
-form; an equi-join finds the register names it can stand for. Slips of typing are rewritings too:
-a form with one letter left out, made for both sides, so that one letter more, less or other and two
-exchanged neighbours meet on an equal form; a join on those is then checked exactly.
+Every name of the register is rewritten by the rules below (short first names, initials, legal and other short
+forms, prefixes, order of the parts, sound, one slip) and each rewriting is a row. A name as typed has its own form,
+its sound, and the forms with one letter left out; one equi-join of all these finds the register names it can stand for. Two forms that meet without a letter
+are checked exactly afterwards, so that one letter more, less or other and two exchanged neighbours pass and nothing else does.
 
-Score: 1 / (register names that share the rewriting x (1 + cost of the rule)), so that rare and cheap
-rewritings count more. The best score decides; a name that then still stands for several register names is left open.
+Short first names come by rule (the first three letters or more of a name, and these with y, ie or i and a doubled last letter), from a table that is a
+parameter, and from the data: where names agree in all words but one, and a word unknown to the register stands for the same
+word of it in ``support`` names or more and in most of the names where it stands for any, it is a rewriting of that word.
+
+Score: log2(1 + names / names that give this form) / (1 + cost of the rule), so that rare and cheap rewritings count more; register names and typed
+names are counted alike. The best score decides; a name that then still stands for several register names is left open.
 
 Only distinct names are rewritten, so a name in a third of all rows costs no more than a rare
 one. The register may be large: it is never collected, and its forms are joined by shuffle.
 
-Edge cases: null and empty names give no rows; a name without letters or digits has no form; names
-over ``longest`` characters are compared without slips (their forms by equality only); forms under ``shortest``
-letters and digits get neither the slip nor the sound rule, so a misspelled short act is not linked; numbers must agree; repeated register rows count once; empty tables give empty results; other columns are ignored.
+Edge cases: null and empty names give no rows; a name without letters or digits has no form; names of any length and number of words are
+rewritten; forms over ``whole`` letters meet for slips by their halves, of which one slip spoils one only; forms of four and five letters bear a slip
+only behind an equal first letter, shorter ones none; numbers must agree; repeated register rows count once; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 
 from runweave.llm.names import VERSION_WORDS, within
 from runweave.llm.plainform import plain_column
+from runweave.session import cut
 
 # Short forms of first names.
 NICKNAMES = {
@@ -76,7 +80,16 @@ def sound(key: str) -> str:
     return re.sub(r"(.)\1+", r"\1", key)
 
 
-def rewritings(name: str) -> list[tuple[str, str, str, int]]:
+def short_names(given: str) -> set[str]:
+    """Short forms of a first name by rule: its first letters, at least three, and short ones with an ending."""
+    out = {given[:k] for k in range(3, len(given))}
+    for stem in {given[:3], given[:4]} & out:
+        double = stem if stem[-1] == stem[-2] or stem[-1] in "aeiouy" else stem + stem[-1]
+        out |= {x + end for x in (stem, double) for end in ("y", "ie", "i")}
+    return out - {given}
+
+
+def rewritings(name: str, nicknames: dict[str, str] = NICKNAMES, forms: dict[str, str] = FORMS) -> list[tuple[str, str, str, int]]:
     """(form, first word, rule, cost) of one register name, the cheapest rule of each form."""
     words = tokens(name)
     if not words:
@@ -101,7 +114,7 @@ def rewritings(name: str) -> list[tuple[str, str, str, int]]:
     for body, what, cost in list(bodies):
         # Short legal forms, with and without the article.
         for i, w in enumerate(body):
-            for short in FORMS.get(w, "").split():
+            for short in forms.get(w, "").split():
                 bodies.append((body[:i] + [short] + body[i + 1 :], "legal form", cost + 1))
     for body, what, cost in bodies:
         put(body, what or "as it is", cost)
@@ -112,18 +125,26 @@ def rewritings(name: str) -> list[tuple[str, str, str, int]]:
         put(bare.split(), "accents", 1)
     if "and" in words:
         put([w for w in words if w != "and"], "ampersand", 1)
-    person = len(words) in (2, 3) and not (prefixed or article) and not any(w.isdigit() for w in words) and words[-1] not in FORMS
+    person = len(words) > 1 and not (prefixed or article) and not any(w.isdigit() for w in words) and words[-1] not in forms
     if person:
         given, rest = words[0], words[1:]
         put(rest + [given], "order", 1, True)
+        put(words[-1:] + words[:-1], "order", 1, True)
         put([given[0]] + rest, "initial", 3)
         put(rest + [given[0]], "initial", 3, True)
+        if len(rest) > 1:
+            initials = [w[0] for w in words[:-1]]
+            put(initials + rest[-1:], "initial", 3)
+            put(rest[-1:] + initials, "initial", 3, True)
+            put([given, *initials[1:], rest[-1]], "initial", 3)
         if middle != name and len(rest) == 2:
             put([given[0], rest[1]], "initial", 4)
             put([rest[1], given], "order", 2, True)
-        for nick in NICKNAMES.get(given, "").split():
+        for nick in nicknames.get(given, "").split():
             put([nick] + rest, "nickname", 2)
             put(rest + [nick], "nickname", 3, True)
+        for nick in short_names(given):
+            put([nick] + rest, "nickname", 3)
         for p in PREFIXES:
             put([p] + words, "prefix", 2)
     return [(k, f, r, c) for k, (f, r, c) in out.items()]
@@ -139,21 +160,23 @@ def credit(title: Column) -> Column:
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """name -> name, form, first, last, sound of the typed names."""
+    """name -> name, form, first, last, sound, words of the typed names."""
     for b in batches:
         col = b.column(0)
         words = [tokens(x) for x in plain_column(col)[0].to_pylist()]
         keys = ["".join(w) for w in words]
-        yield pa.RecordBatch.from_arrays(
-            [col, pa.array(keys, pa.string()), pa.array([w[0] if w else "" for w in words], pa.string()), pa.array([w[-1] if w else "" for w in words], pa.string()), pa.array([sound(k) for k in keys], pa.string())],
-            ["name", "form", "first", "last", "heard"],
-        )
+        ends = [[w[k] if w else "" for w in words] for k in (0, -1)]
+        texts = [pa.array(x, pa.string()) for x in (keys, *ends, map(sound, keys))]
+        yield pa.RecordBatch.from_arrays([col, *texts, pa.array(words, pa.list_(pa.string()))], ["name", "form", "first", "last", "heard", "words"])
 
 
-def _forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        rows = [(i, n, k, first, rule, cost, sound(k)) for i, n in zip(f["id"], f["name"]) for k, first, rule, cost in rewritings(n)]
-        yield pd.DataFrame(rows, columns=["id", "known", "form", "first", "rule", "cost", "heard"])
+def _forms(nicknames: dict[str, str], forms: dict[str, str]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(i, k, first, rule, cost, sound(k)) for i, n in zip(f["id"], f["name"]) for k, first, rule, cost in rewritings(n, nicknames, forms)]
+            yield pd.DataFrame(rows, columns=["id", "form", "first", "rule", "cost", "heard"])
+
+    return run
 
 
 def _shorter(key: Column) -> Column:
@@ -161,45 +184,103 @@ def _shorter(key: Column) -> Column:
     return F.array_distinct(F.concat(F.array(key), F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.concat(F.substring(key, F.lit(1), i - 1), F.substring(key, i + 1, F.length(key))))))
 
 
-def _checked(typed: pd.Series, form: pd.Series, first: pd.Series, last: pd.Series, head: pd.Series) -> pd.Series:
+def _halves(key: Column) -> Column:
+    """Beginnings and ends of about half the length, for lengths that differ by one; of two keys with one slip between them one half is the same."""
+    n = F.length(key)
+    one = lambda m: F.array(F.concat(F.lit("<"), m.cast("string"), F.lit("<"), F.substring(key, F.lit(1), F.floor(m / 2).cast("int"))), F.concat(F.lit(">"), m.cast("string"), F.lit(">"), F.right(key, (m - F.floor(m / 2) - 1).cast("int"))))
+    return F.array_distinct(F.flatten(F.array(one(n - 1), one(n), one(n + 1))))
+
+
+def _slips(key: Column, whole: int) -> Column:
+    return F.when(F.length(key) < 4, F.array().cast("array<string>")).when(F.length(key) <= whole, _shorter(key)).otherwise(_halves(key))
+
+
+def _checked(kind: pd.Series, typed: pd.Series, form: pd.Series, first: pd.Series, last: pd.Series, head: pd.Series) -> pd.Series:
     out = []
-    for t, f, a, z, h in zip(typed, form, first, last, head):
+    for k, t, f, a, z, h in zip(kind, typed, form, first, last, head):
+        if k != SLIP:
+            out.append(t == f)
+            continue
         digits = re.sub(r"\D", "", t) == re.sub(r"\D", "", f)
         # A slip makes no other first name or initial of one.
         apart = h not in (a, z) and ((len(h) == 1) or any(x in FIRST or len(x) == 1 or x in PREFIXES for x in (a, z)))
-        out.append(bool(digits and not apart and within(t, f, 1)))
+        short = len(f) < 6 and t[:1] != f[:1]
+        out.append(bool(digits and not apart and not short and within(t, f, 1)))
     return pd.Series(out, dtype=bool)
 
 
-def resolve(typed: DataFrame, register: DataFrame, *, shortest: int = 6, longest: int = 200) -> DataFrame:
-    """typed: name. register: id, name. Gives name, id, rule, cost for each distinct typed name that stands for one register name and is written otherwise."""
-    from runweave.session import cut
+FORM, SOUND, SLIP = 0, 1, 2
+
+
+def _holes(words: Column) -> Column:
+    """Each word of a name of several words, with the others around its place."""
+    hole = lambda i: F.struct(F.array_join(F.transform(words, lambda w, k: F.when(k == i, F.lit("\x01")).otherwise(w)), " ").alias("around"), F.element_at(words, (i + 1).cast("int")).alias("word"))
+    return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 1), hole)).otherwise(F.array().cast("array<struct<around:string,word:string>>"))
+
+
+def learned_words(typed: DataFrame, known: DataFrame, support: int = 3, most: float = 0.6, shared: int = 3) -> DataFrame:
+    """written, word: words that the register does not have and that stand for one of its words. typed, known: words (of each distinct name).
+
+    Surroundings that more than ``shared`` register names have say nothing about a single word and are passed over."""
+    holes = lambda df: df.select(F.explode(_holes(F.col("words"))).alias("h")).select("h.around", "h.word").distinct()
+    of = holes(known)
+    telling = of.groupBy("around").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= shared).select("around")
+    vocabulary = known.select(F.explode("words").alias("written")).distinct()
+    new = holes(typed).where("length(word) > 1").withColumnRenamed("word", "written").join(vocabulary, "written", "left_anti")
+    pairs = new.join(of.join(telling, "around", "left_semi"), "around")
+    each = pairs.groupBy("written", "word").agg(F.countDistinct("around").alias("n"))
+    total = pairs.groupBy("written").agg(F.countDistinct("around").alias("all"))
+    return each.where(F.col("n") >= support).join(total, "written").where(F.col("n") >= most * F.col("all")).select("written", "word")
+
+
+def _near(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast where the rows were counted and are few, else joined by sorting; the optimizer's own estimate is no bound here."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
+#: Counted tables of short rows (under 200 bytes) up to this many rows are broadcast.
+BROADCAST_ROWS = 50_000
+
 
+def resolve(typed: DataFrame, register: DataFrame, *, whole: int = 60, support: int = 3, nicknames: dict[str, str] = NICKNAMES, short_forms: dict[str, str] = FORMS) -> DataFrame:
+    """typed: name. register: id, name. Gives name, id, rule, score for each distinct typed name that stands for one register name and is written otherwise."""
     id_type = register.schema["id"].dataType.simpleString()
     known = register.where("id IS NOT NULL AND name IS NOT NULL").select("id", "name").distinct()
-    forms = cut(known.mapInPandas(_forms, f"id {id_type}, known string, form string, first string, rule string, cost int, heard string"))
-    sharing = lambda c: forms.groupBy(c).agg(F.countDistinct("id").alias("n"))
-    by_text, by_ear = (forms.join(sharing(c).hint("merge"), c) for c in ("form", "heard"))
-    score = lambda extra: 1 / (F.col("n") * (1 + F.col("cost") + extra))
     names = cut(
         typed.where("name IS NOT NULL AND name <> ''").select("name").distinct()
-        .mapInArrow(_plain, "name string, form string, first string, last string, heard string").where("form <> ''")
+        .mapInArrow(_plain, "name string, form string, first string, last string, heard string, words array<string>").where("form <> ''")
     )
-    # What the forms take up is no multiple of what their source takes up, so the optimizer's estimate is no bound:
-    # they are never broadcast.
-    apart = lambda df: df.hint("merge")
+    own = known.select("name").mapInArrow(_plain, "name string, form string, first string, last string, heard string, words array<string>").where("form <> ''")
+    words = cut(known.join(own.select("name", "words").distinct(), "name").select("id", "words"))
+    written = cut(learned_words(names.select("words"), words.select("words").distinct(), support))
+    placed = words.select("id", "words", F.posexplode("words").alias("at", "word"))
+    replaced = placed.join(_near(written, written.count()), "word").select("id", F.transform("words", lambda w, k: F.when(k == F.col("at"), F.col("written")).otherwise(w)).alias("w"))
+    sounded = F.pandas_udf(lambda s: s.map(sound), "string")
+    taught = replaced.select("id", F.array_join("w", "").alias("form"), F.element_at("w", 1).alias("first"), F.lit("learned").alias("rule"), F.lit(2).alias("cost")).withColumn("heard", sounded("form"))
+    made = known.mapInPandas(_forms(nicknames, short_forms), f"id {id_type}, form string, first string, rule string, cost int, heard string")
+    # A form that several rules of one name give counts by its cheapest.
+    forms = cut(made.unionByName(taught).groupBy("id", "form", "heard").agg(F.min(F.struct("cost", "rule", "first")).alias("m")).select("id", "form", "heard", "m.first", "m.rule", "m.cost"))
+    n_forms, n_names = forms.count(), names.count()
+    # How many names give a form, those of the register and typed ones.
+    given = forms.select("form", "id", F.lit(None).cast("string").alias("name")).unionByName(names.select("form", F.lit(None).cast(id_type).alias("id"), "name"))
+    rarity = given.groupBy("form").agg((F.countDistinct("id") + F.countDistinct("name")).alias("n"))
+    total = float(n_names + known.count())
+    score = F.log2(1 + total / F.col("n")) / (1 + F.col("cost"))
+    forms = cut(forms.join(rarity.hint("merge"), "form"))
     same = forms.where("cost = 0").select("form").distinct()
-    new = names.join(apart(same), "form", "left_anti")
-    exact = new.join(apart(by_text.select("id", "form", "rule", score(0).alias("score"))), "form").select("name", "id", "rule", "score")
-    heard = by_ear.where(f"cost <= 1 AND length(form) >= {shortest}").select("id", "heard", F.lit("sound").alias("rule"), score(2).alias("score"))
-    sounds = new.where(f"length(form) >= {shortest}").join(apart(heard), "heard").select("name", "id", "rule", "score")
-    fits = f"length(form) BETWEEN {shortest} AND {longest}"
-    left = new.where(fits).select("name", F.col("form").alias("t"), F.col("first").alias("a"), "last", F.explode(_shorter(F.col("form"))).alias("s")).withColumn("s", F.xxhash64("s"))
-    right = by_text.where(fits).select("id", F.col("form").alias("f"), F.col("first").alias("h"), score(4).alias("score"), F.explode(_shorter(F.col("form"))).alias("s")).withColumn("s", F.xxhash64("s"))
-    met = left.join(apart(right), "s").select("name", "t", "a", "last", "id", "f", "h", "score").distinct()
+    new = names.join(_near(same, n_forms), "form", "left_anti")
+    # The three ways in which forms meet, each a row: as they are, by sound, without a letter.
+    row = lambda kind, text, keys, extra: F.struct(F.lit(kind).alias("kind"), text.alias("text"), keys.alias("keys"), F.lit(extra).alias("extra"))
+    form, heard = F.col("form"), F.col("heard")
+    none = F.array().cast("array<string>")
+    ways = lambda by_ear: F.explode(F.array(row(FORM, form, F.array(form), 0), row(SOUND, heard, F.when(by_ear, F.array(heard)).otherwise(none), 2), row(SLIP, form, _slips(form, whole), 4)))
+    keyed = lambda df, by_ear, *cols: df.select(*cols, ways(by_ear).alias("w")).select(*cols, "w.kind", "w.text", "w.extra", F.explode("w.keys").alias("k")).withColumn("k", F.xxhash64("kind", "k"))
+    long = F.length("form") >= 6
+    left = keyed(new, long, "name", "first", "last").select("name", F.col("first").alias("a"), "last", "kind", F.col("text").alias("t"), "k")
+    right = keyed(forms, long & (F.col("cost") <= 1), "id", "first", "rule", "cost", "n").select("id", F.col("first").alias("h"), "kind", F.col("text").alias("f"), F.col("cost") + F.col("extra"), F.when(F.col("kind") == SOUND, "sound").when(F.col("kind") == SLIP, "slip").otherwise(F.col("rule")).alias("rule"), "n", "k").toDF("id", "h", "kind", "f", "cost", "rule", "n", "k")
+    met = left.join(right.hint("merge"), ["kind", "k"]).select("name", "id", "kind", "t", "f", "a", "last", "h", "rule", score.alias("score")).distinct()
     check = F.pandas_udf(_checked, "boolean")
-    slips = met.where(check("t", "f", "a", "last", "h")).select("name", "id", F.lit("slip").alias("rule"), "score")
-    best = cut(exact.unionByName(sounds).unionByName(slips).groupBy("name", "id").agg(F.max(F.struct("score", "rule")).alias("b")))
+    best = cut(met.where(check("kind", "t", "f", "a", "last", "h")).groupBy("name", "id").agg(F.max(F.struct("score", "rule")).alias("b")))
     # The best score of a name decides, if it leads to one register name. Two names with equal scores are a list
     # of as many rows as register names share the form, so no window is needed.
     top = best.groupBy("name").agg(F.max("b.score").alias("top"))

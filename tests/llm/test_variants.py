@@ -46,3 +46,55 @@ def test_credit(spark):
     }
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "i int, t string")
     assert [r.c for r in df.select("i", credit(F.col("t")).alias("c")).orderBy("i").collect()] == list(cases.values())
+
+
+def found(spark, register, typed, **kw):
+    r = spark.createDataFrame(list(enumerate(register)), "id int, name string")
+    t = spark.createDataFrame([(x,) for x in typed], "name string")
+    return {x["name"]: (x.id, x.rule) for x in resolve(t, r, **kw).collect()}
+
+
+def test_short_names_that_no_list_holds(spark):
+    """Names of our own outside the tables: short forms that stand for one word often enough are learned, others come by rule."""
+    surnames = ["Quiroga", "Belmonte", "Valdivia", "Zamorano", "Etxeberria"]
+    others = ["Lombardo", "Ferrante", "Castelli", "Moretti", "Santoro"]
+    register = [f"Francisco {s}" for s in surnames] + [f"Giuseppe {s}" for s in others] + ["Wolfgang Ossietz", "Anna Maria Rossi", "Mary Louise Ann Parker", "Foo Records", "Bar Records", "Baz Records"]
+    typed = [f"Paco {s}" for s in surnames[:4]] + [f"Beppe {s}" for s in others[1:]] + ["Wolfi Ossietz", "A. M. Rossi", "Rossi, A. M.", "Parker, Mary Louise Ann", "M. L. A. Parker", "Mary Louise Parker", "Foo Recs", "Bar Recs", "Baz Recs"]
+    got = found(spark, register, typed)
+    assert all(got[f"Paco {s}"] == (i, "learned") for i, s in enumerate(surnames[:4]))
+    assert all(got[f"Beppe {s}"] == (6 + i, "learned") for i, s in enumerate(others[1:]))
+    assert got["Wolfi Ossietz"] == (10, "nickname") and got["A. M. Rossi"] == (11, "initial") and got["Rossi, A. M."] == (11, "initial")
+    assert got["Parker, Mary Louise Ann"] == (12, "order") and got["M. L. A. Parker"] == (12, "initial")
+    assert [got[f"{x} Recs"] for x in ("Foo", "Bar", "Baz")] == [(13, "learned"), (14, "learned"), (15, "learned")]
+
+
+def test_words_of_the_register_are_not_learned(spark):
+    """Other acts share all words but one, too: a word that the register knows, or that stands beside several words alike, is none."""
+    nouns = ["Lantern", "Harbour", "Meadow", "Skyline"]
+    register = [f"Hollow {n}" for n in nouns] + [f"Crooked {n}" for n in nouns] + ["Verdant Oak"]
+    got = found(spark, register, [f"Verdant {n}" for n in nouns] + [f"Sombre {n}" for n in nouns])
+    assert got == {}
+
+
+@pytest.mark.parametrize("length", [5, 70, 300])
+def test_slips_at_any_length(spark, length):
+    name = "".join(chr(97 + (k * k * 7 + 3 * k) % 26) for k in range(length))
+    for at in (1, length // 2 - 1, length // 2, length - 2):
+        variants = [name[:at] + name[at + 1 :], name[:at] + "z" + name[at:], name[:at] + name[at + 1] + name[at] + name[at + 2 :]]
+        got = found(spark, [name], [v for v in variants if v != name])
+        assert all(got.get(v) == (0, "slip") for v in variants if v != name), at
+        if length > 5:
+            break
+    assert found(spark, [name], ["z" + name[1:2] + "q" + name[3:]]) == {}
+
+
+def test_short_forms_keep_their_first_letter(spark):
+    assert found(spark, ["Elin", "Abc"], ["Elinn", "Olin", "Elim", "Abd", "Ab"]) == {"Elinn": (0, "slip"), "Elim": (0, "slip")}
+
+
+def test_rarity_counts_both_sides(spark):
+    """A form that many names give scores less than one that few give."""
+    r = spark.createDataFrame([(1, "Anton Veljanov"), (2, "Maria Quist")], "id int, name string")
+    t = spark.createDataFrame([(x,) for x in ["M. Quist", "M Quist", "M.Quist", "m. quist", "A. Veljanov"]], "name string")
+    score = {x["name"]: x.score for x in resolve(t, r).collect()}
+    assert len(score) == 5 and score["A. Veljanov"] > score["M. Quist"] == score["m. quist"]
