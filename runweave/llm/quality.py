@@ -2,16 +2,20 @@
 
 A batch's texts are one array of code points. Lines, words, their hashes, word classes and character
 classes are array operations over it. A text is cut into segments of neighbouring lines (blank lines
-part segments, and about ``window`` characters end one); each segment has three distributions:
+part segments, and about ``window`` characters end one); each segment has four distributions:
 word classes (kinds of function words of each language, content words, numbers, signs), how
-function and content words follow one another, and character classes. The segment takes the
+function and content words follow one another, character classes, and characters by the kind of their line (item, short, repeated, other). The segment takes the
 profile that is nearest by Jensen-Shannon divergence; profiles are those of prose in each language and of other
-structures (lists of names, tables, records, encoded data, signs, shuffled words). A document whose
-characters lie for more than half in segments that are no prose is not natural prose. Lines that are
-repeated within the document are counted apart, as a text of them alone says nothing.
+structures (lists of names, tables, records, encoded data, signs, shuffled words, items, short lines, repetition).
+
+A segment that is nearest to no prose, and in which few words are function words of the four languages, may be prose in another one. It is rated by
+what any language shows: the forms of words, how short and other words follow one another, where marks stand, characters and lines. Those profiles are measured by
+this module on public text in further languages and scripts, and on what ``samples.structures`` makes from it by rule.
+
+A document whose characters lie for less than half in segments of prose is not natural prose; no other rule decides.
 
 Edge cases: null and empty texts have all counts 0, null shares and profile 'empty', and are no prose but
-not reported as a case; texts in other languages are nearest to whatever they resemble; texts of any length are
+not reported as a case; meaningless words in an unknown language that look like prose pass for it; texts of any length are
 read whole; repeated documents are rated alike; an empty table gives no rows; other columns are ignored.
 """
 
@@ -26,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runweave.llm import samples
 from runweave.llm.arrowtext import string_buffers, to_codes
 from runweave.llm.plainform import TOP
 
@@ -84,16 +89,31 @@ PROFILES = {
     "scrambled": ((0.06, 0.02, 0.01, 0.05, 0.02, 0.02, 0.64, 0.06, 0.02, 0.10), (0.01, 0.05, 0.15, 0.15, 0.64), (0.76, 0.01, 0.16, 0.03, 0.03, 0.01)),
 }
 LANGUAGES = list(FUNCTION_WORDS)
+#: Visible characters by the line they stand in: an item (bulleted and under twelve words), under three words and not closed by a mark, as
+#: before in the document, any other. Lists and repetition are profiles of their own.
+LINES = {"prose": (0.01, 0.04, 0.02, 0.93), "names": (0.05, 0.1, 0.05, 0.8), "list": (0.3, 0.3, 0.05, 0.35), "items": (0.85, 0.05, 0.02, 0.08), "short lines": (0.02, 0.88, 0.02, 0.08), "repeated": (0.02, 0.04, 0.9, 0.04)}
 #: Prose in which four words in ten belong to names and titles.
 for _lang in LANGUAGES:
     PROFILES[f"prose with names {_lang}"] = tuple(tuple(0.6 * a + 0.4 * b for a, b in zip(x, y)) for x, y in zip(PROFILES[f"prose {_lang}"], PROFILES["names"]))
+    # The same words in items, in lines of one or two words, and said again and again.
+    for _kind in ("items", "short lines", "repeated"):
+        PROFILES[f"{_kind} {_lang}"] = PROFILES[f"prose {_lang}"]
 NAMES = list(PROFILES)
+#: Prose in a language without a profile of its own.
+OTHER_PROSE = len(NAMES)
+NAMES = [*NAMES, "prose other"]
 PROSE = np.array([n.startswith("prose") for n in NAMES])
+#: Segments with a smaller share of known function words than this are looked at by their forms alone.
+FOREIGN_SHARE = 0.25
 _LENGTH = 16
 _PRIME = np.uint64(1_099_511_628_211)
 _POWERS = np.array([pow(int(_PRIME), k, 2**64) for k in range(_LENGTH)], np.uint64)
 BULLETS = "-*•·–—‣▪◦"
-SENTENCE_MARKS = ".,;:!?'\"()-’“”«»¿¡…–"
+#: Signs that close a line.
+CLOSING = ".!?…:;\"”»"
+SENTENCE_MARKS = ".,;:!?'\"()-’“”«»¿¡…–。、，！？；：「」『』،؛؟।॥·"
+#: Marks behind which a capital letter begins a sentence.
+SENTENCE_ENDS = ".!?…:。！？؟।"
 
 
 def _hash(word: str) -> int:
@@ -179,8 +199,49 @@ def _bullets(text: np.ndarray, k: np.ndarray, seen: np.ndarray, line: np.ndarray
     return out
 
 
+SHORT, MIDDLE, LONG_WORD, BEGIN, CAPITAL, CAPITALS, DIGITS, MIXED_FORM, OTHER_SIGNS = range(9)
+#: Marks that stand behind a word and before a blank.
+STOPS = ".,;:!?…。，、；：！？،؛؟।॥"
+
+
+def _forms(seg: np.ndarray, n_segs: int, length: np.ndarray, first_up: np.ndarray, ups: np.ndarray, number: np.ndarray, mixed: np.ndarray, begins: np.ndarray, signs: np.ndarray, stopped: np.ndarray) -> list[np.ndarray]:
+    """Counts of word forms, of short and other words in a row, and of words by their marks, of each segment: what can be said of a text in any language.
+
+    Words are short (three letters at most, in lower case or without case), of middle length, long, with a capital at the begin of a sentence, with
+    one elsewhere, in capitals, numbers, mixed; runs of signs come beside. ``stopped``: 0 with a mark behind, 1 with one right before, 2 with none."""
+    c = np.select([mixed, number, (ups > 1) & (ups == length), first_up & begins, first_up, length <= 3, length <= 7], [MIXED_FORM, DIGITS, CAPITALS, BEGIN, CAPITAL, SHORT, MIDDLE], LONG_WORD)
+    counts = np.bincount(seg * 9 + c, minlength=n_segs * 9).reshape(n_segs, 9)
+    counts[:, OTHER_SIGNS] = signs
+    short = (c == SHORT).astype(np.int64)
+    both = seg[1:] == seg[:-1]
+    follow = np.bincount((seg[:-1] * 4 + short[:-1] * 2 + short[1:])[both], minlength=n_segs * 4).reshape(n_segs, 4) if len(seg) else np.zeros((n_segs, 4), np.int64)
+    return [counts, follow, np.bincount(seg * 3 + stopped, minlength=n_segs * 3).reshape(n_segs, 3)]
+
+
+@cache
+def _any_language() -> tuple[list[np.ndarray], np.ndarray]:
+    """Distributions of forms, of their order, of marks, of characters and of lines of prose in each language of the samples and of what is made from it by rule,
+    measured like any text; and which of them are prose."""
+    texts, prose = [], []
+    for text in samples.PROSE.values():
+        texts.append(text)
+        prose.append(True)
+        for made in samples.structures(text).values():
+            texts.append(made)
+            prose.append(False)
+    parts = [_measured(pa.array([t], pa.string()), 10**9)[1] for t in texts]
+    # A few counts of the even distribution, as the samples are short.
+    even = lambda x: (_shares(x) * 0.98 + 0.02 / x.shape[1])
+    return [np.concatenate([even(p[i].sum(axis=0, keepdims=True)) for p in parts]) for i in range(5)], np.array(prose)
+
+
 def measure(col: pa.Array, window: int = 400) -> dict[str, np.ndarray]:
     """All figures of each row of a string column."""
+    return _measured(col, window, rate=True)[0]
+
+
+def _measured(col: pa.Array, window: int, rate: bool = False) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """The figures of each row where ``rate`` asks for them, and counts of forms, their order, marks, characters and lines of each segment."""
     low, kind, upper, keys, classes = _tables()
     codes, at = to_codes(*string_buffers(col))
     n_docs = len(at) - 1
@@ -242,6 +303,39 @@ def measure(col: pa.Array, window: int = 400) -> dict[str, np.ndarray]:
     sign = (k == 4) & ~np.concatenate([[False], (k[1:] == 4) & (k[:-1] == 4)])
     word_seg = seg[s]
     word_doc = doc[s]
+    # Lines that stand in the document before, by a hash of their characters.
+    with np.errstate(over="ignore"):
+        rank = np.arange(n) - np.concatenate([[0], line_end[:-1] + 1])[line] if n_lines else np.empty(0, np.int64)
+        mix = (low[text].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * ((rank.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _PRIME)
+        mix ^= mix >> np.uint64(29)
+        line_hash = np.add.reduceat(mix, np.concatenate([[0], line_end[:-1] + 1])) if n_lines else np.empty(0, np.uint64)
+    order = np.lexsort((line_hash, line_doc))
+    again = np.zeros(n_lines, bool)
+    if n_lines > 1:
+        x, y = order[1:], order[:-1]
+        again[x] = (line_doc[x] == line_doc[y]) & (line_hash[x] == line_hash[y]) & full[x]
+    # The last sign of each line that is not blank.
+    last = np.maximum.accumulate(np.where(seen, np.arange(n), -1))[line_end] if n_lines else np.empty(0, np.int64)
+    closed = full & np.isin(text[np.maximum(last, 0)], np.array([ord(c) for c in CLOSING], np.uint32))
+    words_in_line = np.bincount(line[s], minlength=n_lines)
+    item = _bullets(text, k, seen, line, n_lines) & (words_in_line < 12)
+    line_kind = np.select([again, item, (words_in_line < 3) & ~closed], [2, 0, 1], 3)
+    by_line = np.bincount(seg_of_line * 4 + line_kind, weights=visible, minlength=n_segs * 4).reshape(n_segs, 4)
+    # Whether a sentence, line or segment ends before each word.
+    ends_sentence = np.isin(text, np.array([ord(x) for x in SENTENCE_ENDS], np.uint32)) | is_end
+    ended = np.cumsum(ends_sentence)
+    begins = np.ones(n_words, bool)
+    if n_words > 1:
+        begins[1:] = ended[s[1:]] > ended[s[:-1]]
+    signs = np.bincount(seg[np.flatnonzero(sign)], minlength=n_segs)
+    stop = np.isin(text, np.array([ord(x) for x in STOPS], np.uint32))
+    behind, before = s + length, s - 1
+    blank = (k == 2) | (k == 5)
+    marked = stop[np.minimum(behind, n - 1)] if n_words else np.empty(0, bool)
+    leading = stop[np.maximum(before, 0)] & (blank[np.maximum(before - 1, 0)] | (before < 1)) & (before >= 0) if n_words else np.empty(0, bool)
+    by_form = [*_forms(word_seg, n_segs, length, first_up, ups, number, mixed, begins, signs, np.where(leading, 1, np.where(marked, 0, 2))), chars, by_line]
+    if not rate:
+        return {}, by_form
     # A segment is rated in the language that most of its words are function words of.
     table = classes[found] if n_words else np.empty((0, len(LANGUAGES)), np.int8)
     is_function = known[:, None] & (table < CONTENT)
@@ -251,47 +345,35 @@ def measure(col: pa.Array, window: int = 400) -> dict[str, np.ndarray]:
     c = np.where(known, table[np.arange(n_words), language[word_seg]], CONTENT).astype(np.int64)
     c = np.where((c == CONTENT) & mixed, MIXED, np.where((c == CONTENT) & number, NUMBER, c))
     counts = np.bincount(word_seg * 10 + c, minlength=n_segs * 10).reshape(n_segs, 10)
-    counts[:, SIGNS] = np.bincount(seg[np.flatnonzero(sign)], minlength=n_segs)
+    counts[:, SIGNS] = signs
     f, nxt = c < CONTENT, np.append(c[1:], CONTENT)
     broken = ((c == DET) & np.isin(nxt, (PREP, CONJ, PRON, AUX))) | ((c == PREP) & np.isin(nxt, (PREP, AUX)))
     pair = np.where(broken, 0, np.where(f & (nxt < CONTENT), 1, np.where(f, 2, np.where(nxt < CONTENT, 3, 4))))
     both = np.append(word_seg[1:] == word_seg[:-1], False)[:n_words]
     follow = np.bincount(word_seg[both] * 5 + pair[both], minlength=n_segs * 5).reshape(n_segs, 5)
     follow[follow.sum(axis=1) == 0, 4] = 1
-    targets = [np.array([PROFILES[x][i] for x in NAMES], float) for i in range(3)]
+    kinds = [next((v for x, v in LINES.items() if p.startswith(x)), LINES["names"]) for p in PROFILES]
+    kinds = [LINES["prose"] if p in ("shuffled", "scrambled", "words", "encoded", "signs") else v for p, v in zip(PROFILES, kinds)]
+    targets = [np.array([PROFILES[x][i] for x in PROFILES], float) for i in range(3)] + [np.array(kinds, float)]
     targets = [x / x.sum(axis=1, keepdims=True) for x in targets]
-    score = divergence(_shares(counts), targets[0]) + 3 * divergence(_shares(follow), targets[1]) + 0.5 * divergence(_shares(chars), targets[2])
-    of_language = np.array([[not x.startswith("prose") or x.endswith(lang) for x in NAMES] for lang in LANGUAGES])
+    score = divergence(_shares(counts), targets[0]) + 3 * divergence(_shares(follow), targets[1]) + 0.5 * divergence(_shares(chars), targets[2]) + divergence(_shares(by_line), targets[3])
+    of_language = np.array([[not x.startswith(("prose", "items", "short lines", "repeated")) or x.endswith(lang) for x in PROFILES] for lang in LANGUAGES])
     score[~of_language[language]] = np.inf
-    # Four lines or more with under three words each are a list, whatever the words are.
-    lines_in = np.bincount(seg_of_line[full], minlength=n_segs)
-    words_in = np.bincount(word_seg, minlength=n_segs)
-    # So are two or more short lines of which most begin with a bullet.
-    bullets = np.bincount(seg_of_line[_bullets(text, k, seen, line, n_lines)], minlength=n_segs)
-    listed = (lines_in >= 2) & (2 * bullets > lines_in) & (words_in < 12 * lines_in)
-    score[np.ix_(listed | (lines_in >= 4) & (words_in < 3 * lines_in), PROSE)] = np.inf
     profile = score.argmin(axis=1)
+    # Segments with few function words of the known languages may be prose in another one.
+    words_in_seg = np.bincount(word_seg, minlength=n_segs)
+    strange = np.flatnonzero(~PROSE[profile] & (in_seg.max(axis=1) < FOREIGN_SHARE * words_in_seg))
+    if strange.size:
+        other, is_prose = _any_language()
+        far = sum(divergence(_shares(x[strange]), y) for x, y in zip(by_form, other))
+        profile[strange[is_prose[far.argmin(axis=1)]]] = OTHER_PROSE
     weight = chars[:, [0, 1, 3, 4]].sum(axis=1)
-    # Lines that stand in the document before, by a hash of their characters.
-    with np.errstate(over="ignore"):
-        rank = np.arange(n) - np.concatenate([[0], line_end[:-1] + 1])[line] if n_lines else np.empty(0, np.int64)
-        mix = (low[text].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * ((rank.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _PRIME)
-        mix ^= mix >> np.uint64(29)
-        line_hash = np.add.reduceat(mix, np.concatenate([[0], line_end[:-1] + 1])) if n_lines else np.empty(0, np.uint64)
-    order = np.lexsort((line_hash, line_doc))
-    again = np.zeros(n_lines, bool)
-    if n_lines > 1:
-        x, y = order[1:], order[:-1]
-        again[x] = (line_doc[x] == line_doc[y]) & (line_hash[x] == line_hash[y]) & full[x]
     total = np.bincount(seg_doc, weights=weight, minlength=n_docs)
     prose = np.bincount(seg_doc, weights=weight * PROSE[profile], minlength=n_docs)
     by_kind = np.zeros((n_docs, len(NAMES)))
     np.add.at(by_kind, (seg_doc, profile), weight)
     n_words_doc = np.bincount(word_doc, minlength=n_docs)
     lines_doc = np.bincount(line_doc[full], minlength=n_docs)
-    # The last sign of each line that is not blank.
-    last = np.maximum.accumulate(np.where(seen, np.arange(n), -1))[line_end] if n_lines else np.empty(0, np.int64)
-    closed = full & np.isin(text[np.maximum(last, 0)], np.array([ord(c) for c in ".!?…:;\"”»"], np.uint32))
     letters = np.bincount(doc[k == 0], minlength=n_docs)
     word_letters = np.bincount(word_doc, weights=length, minlength=n_docs)
     visible_doc = np.bincount(doc[seen], minlength=n_docs)
@@ -302,7 +384,7 @@ def measure(col: pa.Array, window: int = 400) -> dict[str, np.ndarray]:
         "common_words": function_share.max(axis=1) / np.maximum(n_words_doc, 1), "repeated_lines": np.bincount(line_doc[again], minlength=n_docs) / np.maximum(lines_doc, 1),
         "prose_share": prose / np.maximum(total, 1), "profile": np.where(total > 0, by_kind.argmax(axis=1), -1),
         "repeated_chars": np.bincount(line_doc, weights=visible * again, minlength=n_docs) / np.maximum(visible_doc, 1),
-    }
+    }, by_form
 
 
 FIGURES = {
@@ -331,7 +413,7 @@ def statistics(df: DataFrame, key: str, text: str, *, window: int = 400) -> Data
                 for name, t in FIGURES.items():
                     cols.append(pa.array(m[name].astype(np.int64)) if t == "bigint" else pa.array(m[name], mask=empty))
                 cols.append(pa.array([NAMES[p] if p >= 0 else "empty" for p in m["profile"]], pa.string()))
-                cols.append(pa.array(~empty & ((m["prose_share"] < 0.5) | (m["repeated_chars"] > 0.5))))
+                cols.append(pa.array(~empty & (m["prose_share"] < 0.5)))
                 yield pa.RecordBatch.from_arrays(cols, ["id", *FIGURES, "profile", "not_prose"])
                 lo = hi
 
