@@ -154,9 +154,12 @@ f AS (SELECT set_id, title FROM i JOIN c USING (title) WHERE n_i >= 5),
 ab AS (SELECT x.title AS title_a, y.title AS title_b, count(*) AS n_ab FROM f x JOIN f y ON x.set_id = y.set_id AND x.title < y.title GROUP BY 1, 2 HAVING count(*) >= 5),
 s AS (SELECT title_a, title_b, ca.n_i AS n_a, cb.n_i AS n_b, n_ab, n FROM ab JOIN c ca ON ca.title = title_a JOIN c cb ON cb.title = title_b CROSS JOIN n)"""
 
-_COPIES = r"""k AS (SELECT track_id, set_id, ts, regexp_replace(lower(nfc_normalize(coalesce(artist, '') || ' ' || coalesce(title, ''))), '[^\p{L}\p{N}]', '', 'g') AS s FROM tracks WHERE track_id IS NOT NULL),
-c AS (SELECT *, list_min(list_transform(range(0, length(s)), lambda i: substring(s, i + 1) || substring(s, 1, i))) AS canon FROM k WHERE s <> ''),
-m AS (SELECT track_id, min(track_id) OVER w AS keep_id, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY set_id, ts, canon))"""
+# Rows of one entry that share the joined text of their fields in either order, and what follows from them.
+_COPIES = r"""k AS (SELECT track_id, coalesce('=' || set_id, '-') || chr(1) || coalesce('=' || ts, '-') AS g, regexp_replace(lower(nfc_normalize(coalesce(artist, ''))), '[^\p{L}\p{N}]', '', 'g') AS a, regexp_replace(lower(nfc_normalize(coalesce(title, ''))), '[^\p{L}\p{N}]', '', 'g') AS t FROM tracks WHERE track_id IS NOT NULL),
+j AS (SELECT track_id, g, a || t AS s FROM k WHERE a || t <> '' UNION SELECT track_id, g, t || a FROM k WHERE a || t <> ''),
+e AS (SELECT DISTINCT x.track_id AS u, y.track_id AS v FROM j x JOIN j y ON x.g = y.g AND x.s = y.s),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+m AS (SELECT u AS track_id, min(v) AS keep_id, count(*) AS n FROM r GROUP BY u)"""
 
 # Lines, words and repeated lines as the operator counts them: tags are blanks, a word is a run of letters, marks and digits.
 _COUNTS = r"""t AS (SELECT doc_id, text, regexp_replace(text, '<(/|[A-Za-z])[^>]{0,58}>', ' ', 'g') AS bare FROM documents),
@@ -166,8 +169,8 @@ r AS (SELECT doc_id, count(*) AS k, count(DISTINCT lower(line)) AS u, count(*) F
 SQL = {
     "p10_counts": f"""WITH {_COUNTS} SELECT doc_id, length(coalesce(text, '')) AS n_chars, len(regexp_extract_all(coalesce(bare, ''), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS n_words, coalesce(k, 0) AS n_lines,
   round(CAST(k - u AS DOUBLE) / k, 6) AS repeated_lines, round(CAST(closed AS DOUBLE) / k, 6) AS closed_lines FROM t LEFT JOIN r USING (doc_id)""",
-    "p7_found": f"WITH {_COPIES} SELECT keep_id, track_id AS dup_id FROM m WHERE track_id <> keep_id",
-    "p7_copies": f"WITH {_COPIES} SELECT keep_id, n AS copies FROM m WHERE track_id = keep_id",
+    "p7_found": f"WITH RECURSIVE {_COPIES} SELECT keep_id, track_id AS dup_id FROM m WHERE track_id <> keep_id",
+    "p7_copies": f"WITH RECURSIVE {_COPIES} SELECT keep_id, n AS copies FROM m WHERE track_id = keep_id",
     "p1_found": f"""WITH v AS ({_VALUES}), t AS (SELECT field, count(*) AS total FROM v GROUP BY 1)
 SELECT field, item FROM v JOIN t USING (field) GROUP BY field, item, total HAVING count(*) * 1000 >= total * 8""",
     "p1_top": f"""WITH v AS ({_VALUES}), c AS (SELECT field, item, count(*) AS n FROM v GROUP BY 1, 2)
