@@ -12,19 +12,23 @@ and passage with so many hits on a chain of near diagonals are aligned word by w
 to removal spans in words and characters.
 
 Passages without the sentences that begin several of them (instructions) are compared. As passages may be
-built on common sentence patterns, more than half of the words that few passages share must agree (just half, if two or more do).
+built on common sentence patterns, a stretch is weighed by its phrases of three words that at most two passages have (its own ones): the fewer
+of its words agree, the more of its own phrases must. A stretch with seven words in eight needs a third of them, one with three in four needs six in ten. Of a stretch
+without own phrases the words alone decide. A pattern filled with other words keeps its words, but hardly an own phrase.
+
+There may be any number of passages: their words, own phrases and instructions are found by aggregations, and they are searched in blocks of about ``block``, each
+against all documents; only one block is ever on the driver and in the tasks.
 
 Edge cases: null and empty texts hold nothing; case, punctuation, layout and markup tags are no part of
 a word; a passage under ``least`` words is found when all of it is there, one word in eight aside; repeated documents
 are each reported; a passage that occurs twice in a document gives two spans and one leak; documents of any
-length are indexed whole; other columns are ignored. The passages are read to the driver and sent to the tasks; over
-``limit`` of them is an error, not a cut.
+length are indexed whole; other columns are ignored; a passage whose id comes twice is each of its texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -34,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runweave.llm.fmindex import FMIndex
+from runweave.session import cut
 
 _WORD = re.compile(r"[^\W_]+")
 _TAGGED = re.compile(r"<[^<>]{1,80}>|[^\W_]+")
@@ -52,32 +57,48 @@ def word_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _TAGGED.finditer(text.lower()) if m.group()[0] != "<"]
 
 
-def without_instructions(texts: dict[int, str], shared: int = 3) -> dict[int, list[str]]:
-    """Words of each passage, without first sentences that begin at least ``shared`` passages."""
-    rest = dict(texts)
+def _rest(text: str) -> tuple[str | None, str]:
+    """The first sentence as words (None if there is no other), and what follows it."""
+    p = _END.split(text.strip(), maxsplit=1)
+    return (" ".join(words(p[0])), p[1]) if len(p) == 2 else (None, "")
+
+
+def prepared(items: DataFrame, shared: int = 3) -> DataFrame:
+    """item_id, words, own (whether the phrase of three words at each place is in two passages at most), without first sentences that begin
+    at least ``shared`` passages."""
+    first = F.udf(_rest, "struct<sentence:string,rest:string>")
+    rows = cut(items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text", F.monotonically_increasing_id().alias("n")))
     while True:
-        first = {i: _END.split(t.strip(), maxsplit=1) for i, t in rest.items() if t}
-        count = Counter(tuple(words(p[0])) for p in first.values() if len(p) == 2)
-        cut = {i for i, p in first.items() if len(p) == 2 and count[tuple(words(p[0]))] >= shared}
-        if not cut:
-            return {i: words(t) for i, t in rest.items()}
-        for i in cut:
-            rest[i] = first[i][1]
+        split = cut(rows.select("item_id", "n", "text", first("text").alias("f")).select("item_id", "n", "text", "f.sentence", "f.rest"))
+        often = cut(split.where("sentence IS NOT NULL").groupBy("sentence").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= shared).select("sentence", F.lit(True).alias("o")))
+        if not often.count():
+            break
+        rows = split.join(often, "sentence", "left").select("item_id", "n", F.when(F.col("o"), F.col("rest")).otherwise(F.col("text")).alias("text"))
+    listed = cut(rows.select("item_id", "n", F.udf(words, "array<string>")("text").alias("words")).where("size(words) > 0"))
+    w = F.col("words")
+    phrases = F.transform(F.sequence(F.lit(1), F.size(w) - OWN + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, OWN), " ")))
+    each = listed.where(F.size(w) >= OWN).select("n", F.posexplode(phrases).alias("at", "h"))
+    own = each.join(each.dropDuplicates(["n", "h"]).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c <= 2"), "h")
+    return listed.join(own.groupBy("n").agg(F.collect_list("at").alias("own")), "n", "left").select("item_id", "words", F.coalesce("own", F.array().cast("array<int>")).alias("own"))
+
+
+#: Words of the phrases that tell a passage from others on the same pattern.
+OWN = 3
 
 
 class Passages:
-    """The passages as symbols, and their phrases. 0 ends a text, 1 parts stretches, words begin at 2."""
+    """A block of passages as symbols, and their phrases. 0 ends a text, 1 parts stretches, words begin at 2."""
 
-    def __init__(self, texts: dict[int, str], seed: int, least: int) -> None:
+    def __init__(self, rows: list[tuple[int, list[str], list[int]]], seed: int, least: int) -> None:
         self.seed, self.least = seed, least
-        items = without_instructions(texts)
-        self.ids = sorted(i for i, w in items.items() if w)
-        spread = Counter(w for i in self.ids for w in set(items[i]))
-        self.vocabulary = {w: k + 2 for k, w in enumerate(sorted(spread))}
-        self.symbols = [np.array([self.vocabulary[w] for w in items[i]], np.int64) for i in self.ids]
-        self.rare = np.zeros(len(self.vocabulary) + 2, bool)
-        for w, n in spread.items():
-            self.rare[self.vocabulary[w]] = n <= 2
+        rows = sorted(rows)
+        self.ids = [r[0] for r in rows]
+        self.vocabulary = {w: k + 2 for k, w in enumerate(sorted({w for _, ws, _ in rows for w in ws}))}
+        self.symbols = [np.array([self.vocabulary[w] for w in ws], np.int64) for _, ws, _ in rows]
+        self.own = []
+        for s, (_, _, places) in zip(self.symbols, rows):
+            self.own.append(np.zeros(len(s), bool))
+            self.own[-1][places] = True
         places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for k, s in enumerate(self.symbols):
             for p in range(len(s) - seed + 1):
@@ -88,6 +109,22 @@ class Passages:
         self.offset = np.array([p for _, p in flat], np.int64)
         self.begin = np.concatenate([[0], np.cumsum([len(v) for v in places.values()])]).astype(np.int64)
 
+    def codes(self, symbols: np.ndarray) -> np.ndarray:
+        """A number for the phrase of ``OWN`` words at each place."""
+        out = np.zeros(max(0, len(symbols) - OWN + 1), np.int64)
+        for k in range(OWN):
+            out = out * (len(self.vocabulary) + 2) + symbols[k : len(symbols) - OWN + 1 + k]
+        return out
+
+    def belongs(self, k: int, begin: int, end: int, window: np.ndarray, matches: int) -> bool:
+        """Whether the words from begin to end of passage k are that passage's and no mere pattern, as far as ``window`` has them."""
+        held = self.symbols[k][begin:end]
+        own = self.codes(held)[self.own[k][begin : max(begin, end - OWN + 1)]]
+        if not len(own):
+            return True
+        share = matches / max(len(held), len(window))
+        return np.isin(own, self.codes(window)).mean() >= 0.6 - 2 * (min(share, 1) - 0.75)
+
     def hits_needed(self, k: int) -> int:
         n = min(self.least, len(self.symbols[k]))
         return max(1, n - self.seed + 1 - self.seed * -(-n // 8))
@@ -211,7 +248,7 @@ class Shard:
                     continue
                 start = max(0, base - slack)
                 window = self.docs[d][start : upto + m + slack]
-                for x in self._spans(window, item, base - 3 * slack - start, upto + slack - start, both=upto > base + slack):
+                for x in self._spans(window, k, base - 3 * slack - start, upto + slack - start, both=upto > base + slack):
                     spans.append((start + x[0], start + x[1], x[4]))
         merged: list[list[int]] = []
         for a, b, n in sorted(spans):
@@ -222,31 +259,35 @@ class Shard:
         for a, b, n in merged:
             yield d, k, a, b, n
 
-    def _spans(self, window: np.ndarray, item: np.ndarray, low: int, high: int, both: bool) -> Iterator[tuple[int, int, int, int, int]]:
+    def _spans(self, window: np.ndarray, k: int, low: int, high: int, both: bool) -> Iterator[tuple[int, int, int, int, int]]:
         """Alignments that hold enough of a passage. Where several stretches may lie in the window, it is also
         aligned from its end, as a stretch may have been joined to something before it that spoils it."""
+        item = self.p.symbols[k]
         p, n, m = self.p, len(window), len(item)
         least = 0.9 * min(p.least, m)
         found = set(align(window.tolist(), item.tolist(), low, high, least))
         if both:
             back = align(window[::-1].tolist(), item[::-1].tolist(), n - m - high, n - m - low, least)
-            found |= {(n - e, n - a, m - f, m - q, k) for a, e, q, f, k in back}
+            found |= {(n - e, n - a, m - f, m - q, same) for a, e, q, f, same in back}
         for x in found:
-            held = item[x[2] : x[3]]
-            scarce = p.rare[held]
-            kept = int(np.isin(held[scarce], window[x[0] : x[1]]).sum())
-            # More than half of the scarce words, or just half if they are two or more.
-            if 2 * kept >= scarce.sum() + (kept < 2 and scarce.any()):
+            if p.belongs(k, x[2], x[3], window[x[0] : x[1]], x[4]):
                 yield x
 
 
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, *, seed: int = 4, least: int = 20, shard_words: int = 3_000_000, limit: int = 20_000) -> DataFrame:
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, *, seed: int = 4, least: int = 20, shard_words: int = 3_000_000, block: int = 10_000) -> DataFrame:
     """docs against items (item_id, text). Gives id, item_id, first_word, last_word, begin, end (characters),
     matched (words) of every removal span."""
-    rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"over {limit} passages: run them in parts")
-    passages = Passages({r[0]: r[1] for r in rows}, seed, least)
+    passages = cut(prepared(items))
+    blocks = max(1, -(-passages.count() // block))
+    out = None
+    for b in range(blocks):
+        rows = [tuple(r) for r in passages.where(F.pmod(F.xxhash64("item_id", F.size("words")), F.lit(blocks)) == b).collect()]
+        found = _block_leaks(docs, key, text, Passages(rows, seed, least), shard_words)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _block_leaks(docs: DataFrame, key: str, text: str, passages: Passages, shard_words: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     ids = passages.ids
 

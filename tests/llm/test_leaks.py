@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from runweave.llm.fmindex import FMIndex, suffix_array
-from runweave.llm.leaks import leaks, without_instructions, words
+from runweave.llm.leaks import leaks, prepared, words
 
 ITEMS = {
     1: "Answer using the text. The drone known as Quojomeax was first interrupted at 123 beats in Dafoklom although the Hezigoush logbook gives a different ladder and nobody ever asked the keeper why it hung there",
@@ -56,14 +56,85 @@ def test_small_shards_and_repeats(spark):
     a = sorted(map(tuple, leaks(df, "id", "text", items, shard_words=40).collect()))
     assert a == sorted(map(tuple, leaks(df, "id", "text", items).collect())) and len(a) == 7
     assert leaks(df.limit(0), "id", "text", items).count() == 0 and leaks(df, "id", "text", items.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        leaks(df, "id", "text", items, limit=2)
-
-
-def test_instructions():
-    got = without_instructions({i: t for i, t in ITEMS.items() if i < 4})
-    assert got[1][:3] == ["the", "drone", "known"] and got[2][0] == "because"
-    assert without_instructions({1: "A b. c d", 2: "A b. e f"})[1] == ["a", "b", "c", "d"]
+    assert a == sorted(map(tuple, leaks(df, "id", "text", items, block=1).collect()))
+
+
+def bodies(spark, texts):
+    return {r.item_id: r for r in prepared(spark.createDataFrame(list(texts.items()), "item_id int, text string")).collect()}
+
+
+def test_instructions(spark):
+    got = bodies(spark, {i: t for i, t in ITEMS.items() if i < 4})
+    assert got[1].words[:3] == ["the", "drone", "known"] and got[2].words[0] == "because"
+    assert bodies(spark, {1: "A b. c d", 2: "A b. e f"})[1].words == ["a", "b", "c", "d"]
+    twice = bodies(spark, {i: f"Read this. Then that. Body number {i} here" for i in range(3)})
+    assert twice[2].words == ["body", "number", "2", "here"] and sorted(twice[2].own) == [0, 1]
+
+
+def planted(spark, rnd, passages, length, change, n=60):
+    """Share of stretches found, each changed by ``change``, in a document of other words."""
+    docs = []
+    for k in range(n):
+        i = rnd.randrange(len(passages))
+        p = passages[i]
+        at = rnd.randrange(len(p) - length + 1)
+        noise = [f"n{rnd.randrange(500)}" for _ in range(80)]
+        docs.append((k, " ".join(noise[:40] + change(p[at : at + length]) + noise[40:]), i))
+    items = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id int, text string")
+    found = {(r.id, r.item_id) for r in leaks(spark.createDataFrame([d[:2] for d in docs], "id int, text string"), "id", "text", items).collect()}
+    return sum((k, i) in found for k, _, i in docs) / n
+
+
+def one_in_eight(rnd):
+    def change(ws):
+        ws = list(ws)
+        for at in sorted(rnd.sample(range(1, len(ws) - 1), round(len(ws) / 8)), reverse=True):
+            ws[at : at + 1] = rnd.choice([[], ["other"], [ws[at], "more"]])
+        return ws
+
+    return change
+
+
+def test_passages_of_few_words(spark):
+    """Passages from 60 common words with three scarce ones each: stretches with just these changed, and with changes anywhere."""
+    rnd = random.Random(5)
+    common = [f"w{k}" for k in range(60)]
+    passages = []
+    for k in range(40):
+        p = [rnd.choice(common) for _ in range(40)]
+        for j, at in enumerate((12, 18, 26)):
+            p[at] = f"scarce{k}x{j}"
+        passages.append(p)
+    swap = lambda ws: [w if not w.startswith("scarce") else "other" for w in ws]
+    assert planted(spark, rnd, [p[8:30] for p in passages], 22, swap) == 1
+    assert planted(spark, rnd, passages, 20, one_in_eight(rnd)) >= 0.95
+
+
+def test_passages_of_many_words(spark):
+    rnd = random.Random(6)
+    passages = [[f"w{int(2000 * rnd.random() ** 2)}" for _ in range(60)] for _ in range(40)]
+    assert planted(spark, rnd, passages, 20, one_in_eight(rnd)) >= 0.95
+    assert planted(spark, rnd, passages, 13, lambda ws: ws) == 0
+
+
+def test_patterns_are_no_passages(spark):
+    """Documents that fill a pattern of many passages with other words."""
+    rnd = random.Random(7)
+    name = lambda: "".join(rnd.choice("bdfgklmnprst") + rnd.choice("aeiou") for _ in range(4))
+    make = lambda: f"{name()} claimed that {rnd.randrange(10, 99)} of the {name()} samples kept in the {name()} tunnel had been {name()} for no clear reason by a label owner named {name()}"
+    texts = [make() for _ in range(30)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    docs = spark.createDataFrame([(k, make()) for k in range(200)] + [(1000, texts[3]), (1001, "Said " + texts[4].replace("kept", "left").replace("clear", "good"))], "id int, text string")
+    assert {(r.id, r.item_id) for r in leaks(docs, "id", "text", items).collect()} == {(1000, 3), (1001, 4)}
+
+
+def test_any_number_of_passages(spark):
+    """25,000 passages in blocks, none of which is ever on the driver with another."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{rnd.randrange(30_000)}" for _ in range(24)) for _ in range(25_000)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    docs = spark.createDataFrame([(k, f"so {texts[k]} then") for k in (0, 9_999, 24_999)] + [(7, "nothing")], "id int, text string")
+    assert {(r.id, r.item_id) for r in leaks(docs, "id", "text", items, block=9_000).collect()} == {(0, 0), (9_999, 9_999), (24_999, 24_999)}
 
 
 @pytest.mark.parametrize("seed", range(8))
