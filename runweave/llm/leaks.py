@@ -13,7 +13,7 @@ to removal spans in words and characters.
 
 Passages without the sentences that begin several of them (instructions) are compared. As passages may be
 built on common sentence patterns, a stretch is weighed by its phrases of three words that at most two passages have (its own ones): the fewer
-of its words agree, the more of its own phrases must. A stretch with seven words in eight needs a third of them, one with three in four needs six in ten. Of a stretch
+of its words agree, the more of its own phrases must. A stretch with seven words in eight needs four in ten of them, one with three in four needs two thirds. Of a stretch
 without own phrases the words alone decide. A pattern filled with other words keeps its words, but hardly an own phrase.
 
 There may be any number of passages: their words, own phrases and instructions are found by aggregations, and they are searched in blocks of about ``block``, each
@@ -123,7 +123,7 @@ class Passages:
         if not len(own):
             return True
         share = matches / max(len(held), len(window))
-        return np.isin(own, self.codes(window)).mean() >= 0.6 - 2 * (min(share, 1) - 0.75)
+        return np.isin(own, self.codes(window)).mean() >= 0.65 - 2 * (min(share, 1) - 0.75)
 
     def hits_needed(self, k: int) -> int:
         n = min(self.least, len(self.symbols[k]))
