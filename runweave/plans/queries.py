@@ -95,9 +95,11 @@ def latest_samples(spark: SparkSession, d: str, fields: list[str] = HIT) -> Data
     return runs.latest(s, ["set_id", "sample_idx"], ["received_at", "ts", *fields], ["ts", *fields])
 
 
-def _collapsed(rows_: DataFrame) -> DataFrame:
+def _collapsed(spark: SparkSession, d: str, then=None) -> DataFrame:
+    """Runs of the last delivery of each sample; the samples are read and moved once."""
+    s = table(spark, d, "samples").select("set_id", "sample_idx", "ts", "received_at", *[F.col(f"hit.{c}").alias(c) for c in ("title", "artist")])
     key = F.when(~rows.is_unidentified(F.col("artist"), F.col("title")), text.recording_key(F.col("artist"), F.col("title")))
-    out = runs.collapse(rows_, "set_id", "sample_idx", key, ["ts", "artist", "title"])
+    out = runs.collapse(s, "set_id", "sample_idx", key, ["ts", "artist", "title"], order=["received_at", "ts", "title", "artist"], then=then)
     named = lambda c: F.when(F.col("matched"), F.col(c)).otherwise("").alias(c)
     return out.select("set_id", "sample_idx", F.col("ts").cast("bigint").alias("ts"), named("artist"), named("title"), "run")
 
@@ -108,14 +110,14 @@ _K0 = "CASE WHEN coalesce(artist, '') <> '' OR coalesce(title, '') <> '' THEN lo
 @query(f"WITH {_LATEST}, {_DIMENSION}, x AS (SELECT set_id, sample_idx, ts, CASE WHEN c.cor_key IS NULL THEN s.artist ELSE ca END AS artist, CASE WHEN c.cor_key IS NULL THEN s.title ELSE ct END AS title FROM s LEFT JOIN c ON c.cor_key = {_key('s.artist', 's.title')} AND s.title IS NOT NULL), y AS (SELECT *, {_K0} FROM x), {_runs_sql('y')}")
 def dedup_samples(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: last delivery of each sample, corrections applied, one-off matches suppressed, runs collapsed with gaps."""
-    s = latest_samples(spark, d, ["title", "artist"]).withColumns({"original_artist": F.lit(None).cast("string"), "original_title": F.lit(None).cast("string")})
-    fixed = corrections.apply(s, corrections.dimension(table(spark, d, "corrections")), skip_unidentified=False, only=F.col("title").isNotNull())
-    return _collapsed(fixed)
+    log = corrections.dimension(table(spark, d, "corrections"))
+    empty = {c: F.lit(None).cast("string") for c in ("original_artist", "original_title")}
+    return _collapsed(spark, d, lambda s: corrections.apply(s.withColumns(empty), log, skip_unidentified=False, only=F.col("title").isNotNull()))
 
 
 @query(f"WITH {_LATEST}, y AS (SELECT *, {_K0} FROM s), {_runs_sql('y')}")
 def dedup_raw(spark: SparkSession, d: str) -> DataFrame:
-    return _collapsed(latest_samples(spark, d, ["title", "artist"]))
+    return _collapsed(spark, d)
 
 
 @query("""WITH y AS (SELECT user_id AS set_id, event_id AS sample_idx, event_id AS ts, '' AS artist, event_type AS title, CASE WHEN event_type <> 'error' THEN lower(event_type) END AS k0 FROM events), """ + _runs_sql("y"))
