@@ -6,9 +6,9 @@ last can still grow. Joining two summaries joins those edges, which is associati
 are joined over blocks of ``fan`` blocks, level by level, until no sequence has more than ``fan`` blocks
 left, which the last level takes together. Runs inside a block are final at once and are not sent on.
 
-A block is at most ``width`` neighbouring positions, so a sequence that makes up a third of
-all rows is spread over as many tasks as it has blocks. Copies of one position are reduced on
-the map side before anything is moved.
+A block is a range of at most ``width`` neighbouring positions, so a sequence that makes up a third of
+all rows is spread over as many tasks as it has blocks. The rows are moved once, by sequence and block, and sorted there;
+copies of a position are removed in that order.
 
 Neighbours are the same event if both fields agree in letters and digits after look-alike
 characters are made plain, or differ by ``slips`` slips of typing at most (fewer in short names), and the numbers and
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runweave.llm.names import key, marks, within
@@ -144,8 +144,14 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], NAMES)
 
 
-def _level(summaries: DataFrame, slips: int, edges: bool, whole: bool) -> DataFrame:
-    ordered = summaries.repartition("seq", "block").sortWithinPartitions("seq", "block", "pos")
+def _level(rows: DataFrame, slips: int, edges: bool, whole: bool) -> DataFrame:
+    """The runs of each (seq, block), of events or of edges. Rows are moved once; of several events at a position the one
+    received last counts, which the order that the runs need tells."""
+    laid = rows.repartition("seq", "block")
+    if not edges:
+        last = Window.partitionBy("seq", "block", "pos").orderBy(*[F.col(c).desc_nulls_last() for c in ("received", "ts", "artist", "title")])
+        laid = laid.withColumn("rn", F.row_number().over(last)).where("rn = 1").select("seq", "block", "pos", "ts", F.coalesce("artist", F.lit("")).alias("a"), F.coalesce("title", F.lit("")).alias("t")).where("a <> '' OR t <> ''")
+    ordered = laid.sortWithinPartitions("seq", "block", "pos")
     return ordered.mapInArrow(lambda it: _encode(it if edges else map(_single, it), slips, edges, whole), SCHEMA)
 
 
@@ -161,15 +167,10 @@ def runs(events: DataFrame, *, width: int = 4096, slips: int = 2, fan: int = 102
     (of the run's first event) of every longest run, those of one event too. ``fan`` is 2 at least."""
     if fan < 2:
         raise ValueError("fan is 2 at least")
-    last = (
-        events.where("seq IS NOT NULL AND idx IS NOT NULL AND ts IS NOT NULL")
-        .groupBy(F.col("seq").cast("string").alias("seq"), "idx")
-        .agg(F.max(F.struct("received", "ts", "artist", "title")).alias("e"))
-        .select("seq", "idx", "e.ts", F.coalesce("e.artist", F.lit("")).alias("a"), F.coalesce("e.title", F.lit("")).alias("t"))
-        .where("a <> '' OR t <> ''")
+    rows = events.where("seq IS NOT NULL AND idx IS NOT NULL AND ts IS NOT NULL").select(
+        F.col("seq").cast("string").alias("seq"), F.floor(F.col("idx") / width).cast("bigint").alias("block"), F.col("idx").cast("bigint").alias("pos"), F.col("ts").cast("bigint").alias("ts"), "artist", "title", "received"
     )
-    state = last.select("seq", F.floor(F.col("idx") / width).cast("bigint").alias("block"), F.col("idx").cast("bigint").alias("pos"), F.col("ts").cast("bigint").alias("ts"), "a", "t")
-    state = cut(_level(state, slips, False, False))
+    state = cut(_level(rows, slips, False, False))
     kept, whole = state.where("NOT edge"), False
     while not whole:
         # The edges of neighbouring blocks, in the order of blocks, are one block of the next level.

@@ -106,3 +106,27 @@ def test_edges_are_joined_in_bounded_blocks(spark, monkeypatch, width, fan):
     rows = [(s, i, "A", rnd.choice(["Some Title", "Other Song"]) if rnd.random() < 0.4 or 20 < i < 30 else "Some Title", 1) for s in ("a", "b") for i in range(-40, 60)]
     assert collapsed(spark, rows, width=width, fan=fan) == brute(rows, Same(2))
     assert len(sizes) >= 3 and sizes[0] <= width and max(sizes[1:]) <= 2 * fan
+
+
+def test_levels_of_bounded_blocks(spark):
+    """An endless sequence at a small width needs four levels; no task of a level sees more than two rows per block that it joins."""
+    from unittest.mock import patch
+
+    from runweave.llm import runs as module
+
+    names = ["aaaa bbbb", "cccc dddd"]
+    rows = [("endless", k, 30 * k, names[k // 70 % 2], "t", 1) for k in range(1200)]
+    events = spark.createDataFrame(rows, "seq string, idx bigint, ts int, artist string, title string, received int")
+    want = [(30 * k, 30 * (k + 69), 70) for k in range(0, 1190, 70)] + [(1190 * 30, 1199 * 30, 10)]
+    seen = []
+    level = module._level
+
+    def counted(summaries, slips, edges, whole):
+        if edges:
+            seen.append(summaries.groupBy("seq", "block").count().agg({"count": "max"}).first()[0])
+        return level(summaries, slips, edges, whole)
+
+    with patch.object(module, "_level", counted):
+        got = sorted((r.first_ts, r.last_ts, r.n) for r in module.runs(events, width=10, fan=4).collect())
+    assert got == want
+    assert len(seen) == 4 and max(seen) <= 2 * 4
