@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runweave.functions import audio, rows, text
-from runweave.operators import choice, corrections, documents, runs, signals
+from runweave.operators import corrections, documents, runs, signals
+from runweave.operators.covers import covers
 from runweave.session import cut
-from runweave.sources.providers import Provider, ask, waterfall
+from runweave.sources.providers import Provider, ask
 
 HIT = ["title", "artist", "shazam_url", "album", "coverart_url"]
 
@@ -57,18 +58,17 @@ def chapter_plan(texts: DataFrame, extra: DataFrame, sets: DataFrame, make: Call
     each = made.select("set_id", F.explode(F.arrays_zip("chapters", "tracks")).alias("z")).select("set_id", "z.chapters.*", F.col("z.tracks.ts").alias("ts"), F.col("z.tracks.artist").alias("artist"), F.col("z.tracks.title").alias("track_title"))
     covered = documents.sidecar(each, extra, ["set_id", "ts"], "coverart_url", ["seq"])
     named = ~rows.is_unidentified(F.col("artist"), F.col("track_title"))
-    tried = covered.withColumn("candidates", F.when(named, choice.candidates(F.col("artist"), F.col("track_title"), F.col("coverart_url"))))
-    # Settled, as the contents below would ask the sources again.
-    images = cut(waterfall(tried, "candidates", make)).select("set_id", "pos", "element_id", "start_ms", "end_ms", "title", "source", F.col("data").alias("image"))
+    images = covers(covered, "artist", "track_title", "coverart_url", make, wanted=named).select("set_id", "pos", "element_id", "start_ms", "end_ms", "title", "source", F.col("data").alias("image"))
     first = F.min_by("image", F.when(F.col("image").isNotNull(), F.col("pos")))
     contents = images.groupBy("set_id").agg(F.array_sort(F.collect_list(F.struct("pos", "element_id"))).alias("c"), first.alias("episode_image"))
     return images, contents.select("set_id", F.transform("c", lambda x: x["element_id"]).alias("child_element_ids"), "episode_image")
 
 
-def processing_plan(jobs: DataFrame, config: dict[str, Column], output: Column) -> DataFrame:
-    """jobs: job_id, inputs (array of paths). Gives the steps on offer, the filter chain and the encoder's arguments of each."""
+def processing_plan(jobs: DataFrame, config: dict[str, Column], output: Column, folder: str = "") -> DataFrame:
+    """jobs: job_id, inputs (array of paths). Gives the steps on offer, the filter chain and the encoder's arguments of each.
+    folder: where the encoder finds the listing files, with a slash at its end."""
     chain = audio.filter_chain(config)
-    listing = F.concat(F.lit("/tmp/"), F.col("job_id").cast("string"), F.lit(".txt"))
+    listing = F.concat(F.lit(folder), F.col("job_id").cast("string"), F.lit(".txt"))
     return jobs.select(
         "job_id", audio.stages(config, F.size("inputs") > 1).alias("stages"), chain.alias("chain"),
         audio.arguments(F.col("inputs"), listing, chain, config["bitrate"], output).alias("arguments"), F.array_join(F.transform("inputs", audio.listing_line), "\n").alias("listing"),

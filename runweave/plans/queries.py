@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.functions import audio, rows, text
-from runweave.operators import choice, corrections, documents, edits, runs, signals
+from runweave.operators import choice, corrections, covers, documents, edits, runs, signals
 from runweave.operators import multivalue as mv
 from runweave.session import checkpoint_dir
 from runweave.sources.tables import table
 from runweave.streaming import jobs
 
 #: Stands for the present wherever a document needs a date, so that results can be repeated.
-NOW = "2026-01-31 20:00"
+NOW = "2025-05-04 12:00"
 HIT = ["title", "artist", "shazam_url", "album", "coverart_url"]
 
 QUERIES: dict = {}
@@ -293,7 +293,7 @@ def export_json_rows(spark: SparkSession, d: str) -> DataFrame:
     return out.select("set_id", "r.*")
 
 
-@query()
+@query(f"WITH {_LISTS} SELECT set_id, CAST(to_json(list_transform(tracks, lambda t: {{'timestamp': t.ts, 'time': {_T_SQL}, 'artist': t.artist, 'title': t.title, 'rejected': coalesce(t.rejected, false), 'shazam_url': t.shazam_url, 'album': t.album, 'coverart_url': t.coverart_url}})) AS VARCHAR) AS json FROM k")
 def export_json_text(spark: SparkSession, d: str) -> DataFrame:
     return _lists(spark, d).select("set_id", documents.json_text(F.col("tracks")).alias("json"))
 
@@ -348,53 +348,36 @@ def numbered_labels(spark: SparkSession, d: str) -> DataFrame:
 # Search terms, answers of services, choice -----------------------------------------------
 
 
-@query(r"""WITH n AS (SELECT DISTINCT title FROM tracks WHERE title IS NOT NULL) SELECT title, regexp_replace(regexp_replace(regexp_replace(title, '\s*[(\[][^)\]]*[)\]]', '', 'g'), '(?i)\s+(?:feat\.?|ft\.?|featuring)\s+.*', '', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM n WHERE regexp_full_match(title, '[ -~]*')""")
-def clean_query(spark: SparkSession, d: str) -> DataFrame:
-    """The titles in printable ASCII, as the SQL; ``clean_query_all`` has all."""
-    return clean_query_all(spark, d).where(F.col("title").rlike("^[ -~]*$"))
+# Blanks as the operator has them; DuckDB's own class of blanks is ASCII only.
+_BLANKS = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 
-@query()
-def clean_query_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every title with its cleaned form. No SQL: DuckDB's classes of blanks are ASCII only."""
+def _clean_sql(column: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace({column}, '{_BLANKS}*[(\[][^)\]]*[)\]]', '', 'g'), '(?i){_BLANKS}+(?:feat\.?|ft\.?|featuring){_BLANKS}+.*', '', 'g'), '^{_BLANKS}+|{_BLANKS}+$', '', 'g')"
+
+
+@query(f"WITH n AS (SELECT DISTINCT title FROM tracks WHERE title IS NOT NULL) SELECT title, {_clean_sql('title')} AS cleaned FROM n")
+def clean_query(spark: SparkSession, d: str) -> DataFrame:
+    """Every title with its cleaned form."""
     names = table(spark, d, "tracks").select("title").where("title IS NOT NULL").distinct()
     return names.select("title", text.search_name(F.col("title")).alias("cleaned"))
 
 
-@query(r"""SELECT track_id, regexp_replace(coverart_url, '\d+x\d+(bb|cc)', '300x300\1', 'g') AS resized, regexp_replace('https://x/' || track_id || '/1000x1000-000.jpg', '/\d+x\d+-', '/600x600-', 'g') AS between_, replace('https://x/' || track_id || '/100x100bb.jpg', '100x100bb', '600x600bb') AS literal_ FROM tracks WHERE coverart_url IS NOT NULL""")
+@query(r"""SELECT track_id, regexp_replace(coverart_url, '\d+x\d+(bb|cc)', '300x300\1', 'g') AS resized, regexp_replace('https://x/' || track_id || '/1000x1000-000.jpg', '/\d+x\d+-', '/600x600-', 'g') AS between_, replace('https://x/' || track_id || '/100x100bb.jpg', '100x100bb', '600x600bb') AS literal_ FROM tracks""")
 def resize_url(spark: SparkSession, d: str) -> DataFrame:
-    """The tracks with an address, as the SQL; ``resize_url_all`` has all."""
-    return _resized(table(spark, d, "tracks").where("coverart_url IS NOT NULL"))
-
-
-@query()
-def resize_url_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every track; without an address ``resized`` is null. No SQL: the one of ``resize_url`` stays as it is."""
-    return _resized(table(spark, d, "tracks"))
-
-
-def _resized(t: DataFrame) -> DataFrame:
+    """Every track; without an address ``resized`` is null."""
     made = lambda tail: F.concat(F.lit("https://x/"), F.col("track_id").cast("string"), F.lit(tail))
-    return t.select("track_id", text.resized(F.col("coverart_url"), 300).alias("resized"), text.resized_between(made("/1000x1000-000.jpg")).alias("between_"), text.resized_literal(made("/100x100bb.jpg")).alias("literal_"))
+    return table(spark, d, "tracks").select("track_id", text.resized(F.col("coverart_url"), 300).alias("resized"), text.resized_between(made("/1000x1000-000.jpg")).alias("between_"), text.resized_literal(made("/100x100bb.jpg")).alias("literal_"))
 
 
-@query("""WITH n AS (SELECT track_id, artist, title FROM tracks WHERE regexp_full_match(artist || title, '[ -~]*') AND NOT regexp_matches(artist || title, '["''*~%+]'))
+@query("""WITH n AS (SELECT track_id, coalesce(artist, '') AS artist, coalesce(title, '') AS title FROM tracks)
 SELECT track_id, 'https://itunes.apple.com/search?term=' || replace(url_encode(artist || ' ' || title), '%20', '+') || '&entity=song&limit=1' AS song,
+ 'https://api.deezer.com/search?q=' || replace(url_encode('artist:"' || artist || '" track:"' || title || '"'), '%20', '+') AS album,
  'https://musicbrainz.org/ws/2/recording?query=' || replace(url_encode('artist:"' || artist || '" AND recording:"' || title || '"'), '%20', '+') || '&fmt=json&limit=1' AS recording FROM n""")
 def search_addresses(spark: SparkSession, d: str) -> DataFrame:
-    """The tracks in printable ASCII without the signs that DuckDB encodes otherwise, as the SQL; ``search_addresses_all`` has all."""
-    return _addresses(table(spark, d, "tracks").where(F.concat("artist", "title").rlike("^[ -~]*$") & ~F.concat("artist", "title").rlike("[\"'*~%+]")))
-
-
-@query()
-def search_addresses_all(spark: SparkSession, d: str) -> DataFrame:
-    """The addresses of every track; a null name counts as empty. No SQL: DuckDB encodes some signs otherwise."""
-    return _addresses(table(spark, d, "tracks"))
-
-
-def _addresses(tracks: DataFrame) -> DataFrame:
+    """The addresses of every track in three catalogues; a null name counts as empty."""
     names = [F.coalesce(c, F.lit("")) for c in ("artist", "title")]
-    return tracks.select("track_id", text.search_address("song", *names).alias("song"), text.search_address("recording", *names).alias("recording"))
+    return table(spark, d, "tracks").select("track_id", *[text.search_address(c, *names).alias(c) for c in ("song", "album", "recording")])
 
 
 _ANSWERED = """a AS (SELECT set_id, sample_idx, received_at, CASE WHEN hit IS NULL THEN '{"matches": []}' ELSE CAST(to_json({'track': {'title': hit.title, 'subtitle': hit.artist, 'url': hit.shazam_url, 'images': {'coverarthq': '', 'coverart': hit.coverart_url}, 'sections': [{'metadata': [{'text': hit.album}]}]}}) AS VARCHAR) END AS answer FROM samples)"""
@@ -428,45 +411,63 @@ def catalogue_answers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tracks").select("track_id", rows.song_cover(a1).alias("song"), rows.album_cover(a2).alias("album"), rows.release_id(a3).alias("release"))
 
 
-@query(r"""WITH e AS (SELECT track_id, 1 AS priority, 'cdn resized' AS source, regexp_replace(coverart_url, '\d+x\d+(bb|cc)', '600x600\1', 'g') AS address FROM tracks WHERE track_id % 2 = 0 UNION ALL
- SELECT track_id, 2, 'cdn original', coverart_url FROM tracks WHERE track_id % 3 = 0 UNION ALL SELECT track_id, 3, 'album', album FROM tracks)
+@query(r"""WITH e AS (SELECT track_id, 1 AS priority, 'cdn resized' AS source, regexp_replace(coverart_url, '\d+x\d+(bb|cc)', '600x600\1', 'g') AS address FROM tracks UNION ALL
+ SELECT track_id, 2, 'cdn original', coverart_url FROM tracks UNION ALL SELECT track_id, 3, 'album', album FROM tracks)
 SELECT track_id, arg_min(source, priority) FILTER (address IS NOT NULL AND address <> '') AS source, arg_min(address, priority) FILTER (address IS NOT NULL AND address <> '') AS address FROM e GROUP BY track_id""")
 def waterfall_first(spark: SparkSession, d: str) -> DataFrame:
-    """The first address of each track; by modulo of its id a track is offered a part of the sources, as in the SQL.
-    ``waterfall_first_all`` offers all."""
-    return _first(spark, d, "track_id % 2 = 0", "track_id % 3 = 0")
-
-
-@query()
-def waterfall_first_all(spark: SparkSession, d: str) -> DataFrame:
-    """The first address of each track, every source offered. No SQL: the one of ``waterfall_first`` stays as it is."""
-    return _first(spark, d, "true", "true")
-
-
-def _first(spark: SparkSession, d: str, on_resized: str, on_original: str) -> DataFrame:
+    """The first address of each track, every source offered; those without an address fall through."""
     t = table(spark, d, "tracks")
-    one = lambda p, name, url, on: t.where(on).select("track_id", F.lit(p).alias("priority"), F.lit(name).alias("source"), url.alias("address"))
-    e = one(1, "cdn resized", text.resized(F.col("coverart_url")), on_resized).unionByName(one(2, "cdn original", F.col("coverart_url"), on_original)).unionByName(one(3, "album", F.col("album"), "true"))
+    one = lambda p, name, url: t.select("track_id", F.lit(p).alias("priority"), F.lit(name).alias("source"), url.alias("address"))
+    e = one(1, "cdn resized", text.resized(F.col("coverart_url"))).unionByName(one(2, "cdn original", F.col("coverart_url"))).unionByName(one(3, "album", F.col("album")))
     return choice.first_success(e, ["track_id"], "priority", "address", ["source", "address"])
 
 
-@query(r"""WITH n AS (SELECT track_id, artist, title, coverart_url FROM tracks WHERE regexp_full_match(coalesce(artist, '') || coalesce(title, ''), '[ -~]*')),
-c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(artist, '\s*[(\[][^)\]]*[)\]]', '', 'g'), '(?i)\s+(?:feat\.?|ft\.?|featuring)\s+.*', '', 'g'), '^\s+|\s+$', '', 'g') AS ca, regexp_replace(regexp_replace(regexp_replace(title, '\s*[(\[][^)\]]*[)\]]', '', 'g'), '(?i)\s+(?:feat\.?|ft\.?|featuring)\s+.*', '', 'g'), '^\s+|\s+$', '', 'g') AS ct FROM n)
+@query(f"""WITH c AS (SELECT *, {_clean_sql('artist')} AS ca, {_clean_sql('title')} AS ct FROM tracks)
 SELECT track_id, CASE WHEN coverart_url <> '' THEN 'cdn resized,cdn original,' ELSE '' END || 'song exact,' || CASE WHEN ca <> artist OR ct <> title THEN 'song cleaned,' ELSE '' END || 'album,recording' AS tried FROM c""")
 def waterfall_order(spark: SparkSession, d: str) -> DataFrame:
-    """Which sources are tried for a cover, in order, of the tracks in printable ASCII, as the SQL; ``waterfall_order_all`` has all."""
-    return _tried(table(spark, d, "tracks").where(F.concat(F.coalesce("artist", F.lit("")), F.coalesce("title", F.lit(""))).rlike("^[ -~]*$")))
+    """Which sources are tried for a cover, in order, of every track."""
+    c = choice.candidates(F.col("artist"), F.col("title"), F.col("coverart_url"))
+    return table(spark, d, "tracks").select("track_id", F.array_join(F.transform(c, lambda x: x["source"]), ",").alias("tried"))
 
 
-@query()
-def waterfall_order_all(spark: SparkSession, d: str) -> DataFrame:
-    """Which sources are tried for a cover, in order, of every track. No SQL: DuckDB's classes of blanks are ASCII only."""
-    return _tried(table(spark, d, "tracks"))
+class _Recorded:
+    """Answers as three catalogues and an image store give them, by the length of what is asked. An image store gives no JSON, a catalogue no image."""
 
+    def call(self, request: str) -> str | bytes:
+        import json
+        from urllib.parse import parse_qs, urlsplit
 
-def _tried(n: DataFrame) -> DataFrame:
-    c = choice.candidates(F.col("artist"), F.col("title"), F.col("coverart_url"))
-    return n.select("track_id", F.array_join(F.transform(c, lambda x: x["source"]), ",").alias("tried"))
+        at = urlsplit(request)
+        asked = parse_qs(at.query, keep_blank_values=True)
+        n = len(next(iter(asked.values()))[0]) if asked else 0
+        if at.netloc == "itunes.apple.com":
+            return json.dumps({"resultCount": 0, "results": []} if n % 3 else {"resultCount": 1, "results": [{"artworkUrl100": f"https://img/s{n}/100x100bb.jpg"}]})
+        if at.netloc == "api.deezer.com":
+            return json.dumps({"data": []} if n % 2 else {"data": [{"album": {"cover_xl": "", "cover_big": f"https://img/a{n}/500x500-0.jpg"}}]})
+        if at.netloc == "musicbrainz.org":
+            return json.dumps({"recordings": [] if n % 5 == 0 else [{"releases": [{"id": f"r{n}"}]}]})
+        if len(request) % 7 == 0:
+            raise RuntimeError("no such image")
+        return f"image of {request}".encode()
+
+
+def _covers_sql() -> str:
+    fetched = lambda c: f"({c} IS NOT NULL AND length({c}) % 7 <> 0)"
+    song = lambda a, t: f"CASE WHEN length({a} || ' ' || {t}) % 3 = 0 THEN 'https://img/s' || length({a} || ' ' || {t}) || '/600x600bb.jpg' END"
+    return f"""WITH n AS (SELECT track_id, coalesce(artist, '') AS artist, coalesce(title, '') AS title, nullif(coverart_url, '') AS url FROM tracks),
+c AS (SELECT *, {_clean_sql('artist')} AS ca, {_clean_sql('title')} AS ct FROM n),
+e AS (SELECT track_id, regexp_replace(url, '\\d+x\\d+(bb|cc)', '600x600\\1', 'g') AS u1, url AS u2, {song('artist', 'title')} AS u3, CASE WHEN ca <> artist OR ct <> title THEN {song('ca', 'ct')} END AS u4,
+ CASE WHEN (length(artist) + length(title) + 18) % 2 = 0 THEN 'https://img/a' || (length(artist) + length(title) + 18) || '/600x600-0.jpg' END AS u5,
+ CASE WHEN (length(artist) + length(title) + 26) % 5 <> 0 THEN 'https://coverartarchive.org/release/r' || (length(artist) + length(title) + 26) || '/front-500' END AS u6 FROM c)
+SELECT track_id, CASE WHEN {fetched('u1')} THEN 'cdn resized' WHEN {fetched('u2')} THEN 'cdn original' WHEN {fetched('u3')} THEN 'song exact' WHEN {fetched('u4')} THEN 'song cleaned' WHEN {fetched('u5')} THEN 'album' WHEN {fetched('u6')} THEN 'recording' END AS source,
+ 'image of ' || CASE WHEN {fetched('u1')} THEN u1 WHEN {fetched('u2')} THEN u2 WHEN {fetched('u3')} THEN u3 WHEN {fetched('u4')} THEN u4 WHEN {fetched('u5')} THEN u5 WHEN {fetched('u6')} THEN u6 END AS image FROM e"""
+
+
+@query(_covers_sql())
+def covers_fetched(spark: SparkSession, d: str) -> DataFrame:
+    """The cover of every track by search, answer and download, with recorded answers."""
+    t = table(spark, d, "tracks").select("track_id", "artist", "title", "coverart_url")
+    return covers.covers(t, "artist", "title", "coverart_url", _Recorded).select("track_id", "source", F.col("data").cast("string").alias("image"))
 
 
 @query("SELECT set_id, arg_min(coverart_url, CAST(ts AS BIGINT) * 10000000000 + track_id) FILTER (coverart_url <> '') AS episode_image, count(*) FILTER (coverart_url <> '') AS images FROM tracks GROUP BY set_id")
@@ -521,13 +522,13 @@ def filter_chain(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d).select("n", audio.filter_chain(_config(F.col("n"))).alias("chain"))
 
 
-@query(f"""WITH {_ITEMS} SELECT i AS n, concat_ws(' ', 'ffmpeg -y', CASE WHEN i % 2 = 0 THEN '-i /in/' || name || '.wav' ELSE '-f concat -safe 0 -i /tmp/list.txt' END, CASE WHEN {_CHAIN} <> '' THEN '-af ' || {_CHAIN} END, '-c:a libmp3lame -b:a 192k /out.mp3') AS command,
+@query(f"""WITH {_ITEMS} SELECT i AS n, concat_ws(' ', 'ffmpeg -y', CASE WHEN i % 2 = 0 THEN '-i /in/' || name || '.wav' ELSE '-f concat -safe 0 -i /work/list.txt' END, CASE WHEN {_CHAIN} <> '' THEN '-af ' || {_CHAIN} END, '-c:a libmp3lame -b:a 192k /out.mp3') AS command,
  'file ''' || replace('/in/' || name || '.wav', '''', '''\\''''') || '''' AS listing FROM it""")
 def encoder_arguments(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n")
     path = F.concat(F.lit("/in/"), F.col("name"), F.lit(".wav"))
     inputs = F.when(n % 2 == 0, F.array(path)).otherwise(F.array(path, path))
-    args = audio.arguments(inputs, F.lit("/tmp/list.txt"), audio.filter_chain(_config(n)), F.lit("192k"), F.lit("/out.mp3"))
+    args = audio.arguments(inputs, F.lit("/work/list.txt"), audio.filter_chain(_config(n)), F.lit("192k"), F.lit("/out.mp3"))
     return _items(spark, d).select("n", F.array_join(args, " ").alias("command"), audio.listing_line(path).alias("listing"))
 
 
@@ -556,10 +557,9 @@ def report_figures(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'before' ELSE 'after' END AS phase, sum(CASE WHEN value > 0 THEN value END) AS duration, count(*) AS files, count(*) * 1048576 AS size FROM events GROUP BY 1, 2),
 j AS (SELECT b.user_id, b.duration AS bd, a.duration AS ad, b.size AS bs, a.size AS az FROM p b JOIN p a ON a.user_id = b.user_id AND a.phase = 'after' WHERE b.phase = 'before')
-SELECT user_id, printf('%dm %ds', CAST(floor(bd / 60) AS BIGINT) , CAST(floor(bd % 60) AS BIGINT)) AS before_, CASE WHEN bd - ad > 1.0 THEN round(bd - ad, 4) END AS trimmed, CAST(bs / 1048576.0 AS DOUBLE) AS mb_before, CASE WHEN round(ad - bd, 6) >= 0 THEN '+' ELSE '' END || printf('%.1f', round(ad - bd, 6)) AS change FROM j WHERE bd >= 60 AND bd < 3600""")
+SELECT user_id, CASE WHEN bd >= 3600 THEN printf('%dh %dm %ds', CAST(floor(bd / 3600) AS BIGINT), CAST(floor(bd % 3600 / 60) AS BIGINT), CAST(floor(bd % 60) AS BIGINT)) WHEN bd >= 60 THEN printf('%dm %ds', CAST(floor(bd / 60) AS BIGINT), CAST(floor(bd % 60) AS BIGINT)) WHEN bd IS NOT NULL THEN printf('%ds', CAST(floor(bd) AS BIGINT)) END AS before_, CASE WHEN bd - ad > 1.0 THEN round(bd - ad, 4) END AS trimmed, CAST(bs / 1048576.0 AS DOUBLE) AS mb_before, CASE WHEN round(ad - bd, 6) >= 0 THEN '+' ELSE '' END || printf('%.1f', round(ad - bd, 6)) AS change FROM j""")
 def before_after(spark: SparkSession, d: str) -> DataFrame:
-    """The report of a processing step: two phases of each item side by side. The SQL has only the items from a
-    minute to under an hour."""
+    """The report of a processing step: two phases of each item side by side."""
     e = table(spark, d, "events")
     phase = F.when(F.col("event_id") % 2 == 0, "before").otherwise("after")
     p = e.groupBy("user_id", phase.alias("phase")).agg(F.sum(F.when(F.col("value") > 0, F.col("value"))).alias("duration"), (F.count(F.lit(1)) * 1048576).alias("size"))

@@ -28,19 +28,20 @@ def tracks(spark, folder, name):
 
 
 def test_all_titles_are_cleaned(spark, tmp_path):
-    rows, got = tracks(spark, tmp_path, "clean_query_all")
+    rows, got = tracks(spark, tmp_path, "clean_query")
     assert sorted(got) == sorted({(t, cleaned(t)) for _, _, t, _ in rows})
 
 
 def test_all_tracks_have_addresses(spark, tmp_path):
-    rows, got = tracks(spark, tmp_path, "search_addresses_all")
+    rows, got = tracks(spark, tmp_path, "search_addresses")
     song = lambda a, t: f"https://itunes.apple.com/search?term={quote_plus(f'{a} {t}')}&entity=song&limit=1"
     recording = lambda a, t: "https://musicbrainz.org/ws/2/recording?query=" + quote_plus(f'artist:"{a}" AND recording:"{t}"') + "&fmt=json&limit=1"
-    assert sorted(got) == [(i, song(a, t), recording(a, t)) for i, a, t, _ in rows]
+    album = lambda a, t: "https://api.deezer.com/search?q=" + quote_plus(f'artist:"{a}" track:"{t}"')
+    assert sorted(got) == [(i, song(a, t), album(a, t), recording(a, t)) for i, a, t, _ in rows]
 
 
 def test_all_tracks_have_sources(spark, tmp_path):
-    rows, got = tracks(spark, tmp_path, "waterfall_order_all")
+    rows, got = tracks(spark, tmp_path, "waterfall_order")
     tried = lambda a, t, u: ["cdn resized", "cdn original"] * bool(u) + ["song exact"] + ["song cleaned"] * ((cleaned(a), cleaned(t)) != (a, t)) + ["album", "recording"]
     assert sorted(got) == [(i, ",".join(tried(a, t, u))) for i, a, t, u in rows]
 
@@ -56,12 +57,12 @@ COVERS = [(1, "https://x/400x400bb.jpg", "L"), (2, "https://x/a.jpg", None), (3,
 
 
 def test_every_source_is_offered(spark, tmp_path):
-    got = run(spark, tmp_path, "tracks", COVERS, "track_id bigint, coverart_url string, album string", "waterfall_first_all")
+    got = run(spark, tmp_path, "tracks", COVERS, "track_id bigint, coverart_url string, album string", "waterfall_first")
     want = [(1, "cdn resized", "https://x/600x600bb.jpg"), (2, "cdn resized", "https://x/a.jpg"), (3, "album", "M"), (5, "album", "N"), (6, None, None), (7, "cdn resized", "https://x/600x600cc")]
     assert sorted(got) == want
 
 
 def test_tracks_without_address_are_kept(spark, tmp_path):
-    got = run(spark, tmp_path, "tracks", COVERS, "track_id bigint, coverart_url string, album string", "resize_url_all")
+    got = run(spark, tmp_path, "tracks", COVERS, "track_id bigint, coverart_url string, album string", "resize_url")
     resized = {1: "https://x/300x300bb.jpg", 2: "https://x/a.jpg", 3: None, 5: "", 6: None, 7: "https://x/300x300cc"}
     assert sorted(got) == [(i, r, f"https://x/{i}/600x600-000.jpg", f"https://x/{i}/600x600bb.jpg") for i, r in resized.items()]
