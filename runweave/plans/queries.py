@@ -631,25 +631,30 @@ def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").select("set_id", "sample_idx", "received_at")
 
 
-@query("SELECT set_id, time_bucket(INTERVAL '30 seconds', received_at) AS window_start, count(*) AS n FROM samples GROUP BY 1, 2")
+def _arriving(spark: SparkSession, d: str, at: str, columns: DataFrame, files: int = 3) -> DataFrame:
+    """The samples as files in the order in which they were received, streamed one after the other."""
+    columns.repartitionByRange(files, "received_at").write.parquet(f"{at}/in")
+    return jobs.stream(spark, f"{at}/in", columns, 1)
+
+
+@query("""WITH w AS (SELECT set_id, time_bucket(INTERVAL '30 seconds', received_at) AS window_start, count(*) AS n FROM samples WHERE set_id IS NOT NULL GROUP BY 1, 2)
+SELECT * FROM w WHERE window_start + INTERVAL '30 seconds' <= (SELECT max(received_at) - INTERVAL '10 minutes' FROM samples)""")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of the clock over a stream. The delay allowed covers edits that come weeks late."""
+    """Windows of the clock over a stream in several batches, each given once, when the watermark has passed its end; files come in the order of arrival, so none is late."""
     at = _work_folder(spark, "tumbling")
-    counts = jobs.tumbling(_sample_stream(spark, d, 1000), "received_at", "set_id", late="3650 days")
-    jobs.run_available(counts, lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out"), f"{at}/offsets", mode="complete")
-    return spark.read.parquet(f"{at}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    rows_ = table(spark, d, "samples").where("set_id IS NOT NULL").select("set_id", "received_at")
+    counts = jobs.tumbling(_arriving(spark, d, at, rows_), "received_at", "set_id", late="10 minutes")
+    jobs.run_available(counts, jobs.append_to(f"{at}/out"), f"{at}/offsets")
+    return spark.read.parquet(f"{at}/out").select("set_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
 @query(f"WITH {_LATEST}, y AS (SELECT *, {_K0} FROM s), {_runs_sql('y')}")
 def stream_collapse(spark: SparkSession, d: str) -> DataFrame:
-    """The collapse kept up to date by a stream: a batch collapses the sets again that it touches."""
+    """The collapse kept up to date by a stream of several batches: each collapses the sets again that it touches."""
     at = _work_folder(spark, "collapse")
-
-    def all_rows() -> DataFrame:
-        s = table(spark, d, "samples")
-        return s.select("set_id", "sample_idx", "received_at", F.col("ts").cast("bigint").alias("ts"), F.col("hit.artist").alias("artist"), F.col("hit.title").alias("title"))
-
+    s = table(spark, d, "samples").where("set_id IS NOT NULL AND sample_idx IS NOT NULL")
+    s = s.select("set_id", "sample_idx", "received_at", F.col("ts").cast("bigint").alias("ts"), F.col("hit.artist").alias("artist"), F.col("hit.title").alias("title"))
     key = lambda: F.when(~rows.is_unidentified(F.col("artist"), F.col("title")), text.recording_key(F.col("artist"), F.col("title")))
-    jobs.run_available(_sample_stream(spark, d, 1000).select("set_id"), jobs.collapse_touched(all_rows, f"{at}/out", key, ["ts", "artist", "title"]), f"{at}/offsets")
+    jobs.run_available(_arriving(spark, d, at, s), jobs.collapse_arrived(f"{at}/store", f"{at}/out", key, ["ts", "artist", "title"]), f"{at}/offsets")
     named = lambda c: F.when(F.col("matched"), F.col(c)).otherwise("").alias(c)
     return spark.read.parquet(f"{at}/out").select("set_id", "sample_idx", "ts", named("artist"), named("title"), "run")

@@ -26,7 +26,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share. Taken from ``spark.checkpoint.dir``; only where that
-    is unset (tests, one machine) a temporary folder is made."""
+    is unset and the session runs on one machine (tests) a temporary folder is made. On a cluster it is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -35,6 +35,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     have = sc.getCheckpointDir()
     if not have:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="runweave-checkpoint-"))
         have = sc.getCheckpointDir()
     return have

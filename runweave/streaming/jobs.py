@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.operators.runs import collapse, latest
+from runweave.session import cut
+from runweave.sources.files import exists
 
 
 def stream(spark: SparkSession, folder: str, like: DataFrame, files_per_trigger: int | None = None) -> DataFrame:
@@ -20,7 +22,8 @@ def stream(spark: SparkSession, folder: str, like: DataFrame, files_per_trigger:
 
 
 def tumbling(rows: DataFrame, time: str, group: str, *, length: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
-    """Counts per group and window; rows later than ``late`` are dropped once their window is closed."""
+    """Counts per group and window. In append mode a window is given once, when the watermark (the latest time seen less ``late``) has passed its
+    end, its state is dropped, and rows that come for it afterwards are left out; in complete mode nothing is ever dropped."""
     timed = rows.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", late)
     return timed.groupBy(group, F.window("_at", length).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(group, F.col("w.start").alias("window_start"), "n")
 
@@ -45,45 +48,71 @@ def collapse_touched(all_rows: Callable[[], DataFrame], folder: str, key: Callab
         rows = latest(all_rows().join(touched, "set_id", "left_semi"), ["set_id", "sample_idx"], ["received_at"], ["received_at", *carry])
         out = collapse(rows, "set_id", "sample_idx", key(), carry)
         part = F.pmod(F.xxhash64("set_id"), F.lit(64)).alias("part")
-        try:
-            before = batch.sparkSession.read.parquet(folder).where("true")
+        if exists(batch.sparkSession, folder):
+            before = batch.sparkSession.read.parquet(folder)
             keep = before.join(touched.withColumn("part", F.pmod(F.xxhash64("set_id"), F.lit(64))).select("part").distinct(), "part", "left_semi").join(touched, "set_id", "left_anti")
             out = out.select(*out.columns, part).unionByName(keep.select(*out.columns, "part"))
-            out = _settled(out)
-        except Exception as e:  # the first batch finds no results yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+            out = cut(out)
+        else:  # the first batch finds no results yet
             out = out.select(*out.columns, part)
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(folder)
 
     return sink
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Materialised in the shared folder before its own source is overwritten."""
-    from runweave.session import cut
+PARTS = 64
 
-    return cut(df)
 
+def collapse_arrived(store: str, folder: str, key: Callable[[], object], carry: list[str]) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps what has arrived in ``store``, laid out by a hash of the set, and collapses the touched sets again from
+    the parts of it that hold them. A batch that is done twice replaces itself."""
 
-def running_collapse(rows: DataFrame, group: str, position: str, key: str) -> DataFrame:
-    """Run starts as they arrive, with a state per group: the last key. Provisional, as whether a key occurs only once in a set
-    is known at the set's end; rows of a batch are ordered by position, and late ones are compared to the state at hand."""
+    def sink(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        part = F.pmod(F.xxhash64("set_id"), F.lit(PARTS)).alias("part")
+        batch.select("*", part).write.mode("overwrite").partitionBy("part").parquet(f"{store}/batch={number}")
+        parts = [r[0] for r in batch.select(part).distinct().collect()]
+        if parts:
+            collapse_touched(lambda: spark.read.parquet(store).where(F.col("part").isin(parts)), folder, key, carry)(batch, number)
+
+    return sink
+
+
+def running_collapse(rows: DataFrame, group: str, position: str, key: str, *, closing: str | None = None) -> DataFrame:
+    """Run starts as they arrive: group, position, key and kind, with a state per group.
+
+    A 'start' is provisional, as whether a key occurs only once in a set is known at the set's end. The end is a row whose column ``closing`` is true;
+    then every start of a key that occurred once is given again as 'withdrawn', and the state
+    is dropped. Without such a column, sets never end and nothing is withdrawn. The state holds the last key and each key's count and first position.
+
+    Rows of a batch are ordered by position, and late ones are compared to the state at hand. A batch's rows of one set are in one task at once: the
+    stream's files (or bytes) per trigger bound them."""
+    ends = closing or "_end"
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        last, keys, counts, places = state.get if state.exists else (None, [], [], [])
+        seen = {x: [n, i] for x, n, i in zip(keys, counts, places)}
+        out: list[tuple] = []
         f = pd.concat(list(frames)).sort_values(position)
-        names = f[key]
-        known = names.notna()
-        held = f[known]
+        held = f[f[key].notna()]
         if len(held):
             prior = held[key].shift()
             prior.iloc[0] = last
+            last = held[key].iloc[-1]
             begins = held[held[key] != prior]
-            state.update((held[key].iloc[-1],))
-            if len(begins):
-                yield pd.DataFrame({group: k[0], position: begins[position].to_numpy(), key: begins[key].to_numpy()})
+            out += [(i, x, "start") for i, x in zip(begins[position], begins[key])]
+            for x, n, i in held.groupby(key, sort=False)[position].agg(["size", "min"]).itertuples():
+                seen.setdefault(x, [0, int(i)])[0] += int(n)
+        if f[ends].fillna(False).astype(bool).any():
+            out += [(i, x, "withdrawn") for x, (n, i) in seen.items() if n == 1]
+            state.remove()
+        else:
+            state.update((last, list(seen), [v[0] for v in seen.values()], [v[1] for v in seen.values()]))
+        if out:
+            yield pd.DataFrame({group: k[0], position: [x[0] for x in out], key: [x[1] for x in out], "kind": [x[2] for x in out]})
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    out = f"`{group}` {types[group]}, `{position}` {types[position]}, `{key}` {types[key]}"
-    return rows.select(group, position, key).groupBy(group).applyInPandasWithState(step, out, "last string", "append", "NoTimeout")
+    made = f"`{group}` {types[group]}, `{position}` {types[position]}, `{key}` {types[key]}, kind string"
+    source = rows.select(group, position, key, F.col(closing).cast("boolean").alias(ends) if closing else F.lit(False).alias(ends))
+    held = "last string, keys array<string>, counts array<bigint>, places array<bigint>"
+    return source.groupBy(group).applyInPandasWithState(step, made, held, "append", "NoTimeout")

@@ -17,10 +17,48 @@ def test_audio_files(spark, tmp_path):
     assert [(r.stem, r.suffix, r.size) for r in got] == [("a", ".wav", 2), ("b", ".mp3", 2)]
 
 
+def test_audio_files_missing_and_twice(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(b"xy")
+    with pytest.warns(UserWarning, match="nowhere"):
+        got = files.audio_files(spark, [str(tmp_path), str(tmp_path / "a.wav"), str(tmp_path), str(tmp_path / "nowhere")]).collect()
+    assert [r.stem for r in got] == ["a"]
+    with pytest.warns(UserWarning):
+        assert files.audio_files(spark, [str(tmp_path / "nowhere")]).count() == 0
+
+
 def test_progress(spark):
-    df = spark.createDataFrame([("s", '[[0,{"title":"T","artist":"A"}],[30,null]]'), ("t", None), ("u", "bad")], "k string, value string")
+    df = spark.createDataFrame([("s", '[[0,{"title":"T","artist":"A"}],[30,null]]'), ("t", None)], "k string, value string")
     got = sorted(files.progress(df, F.col("k")).collect())
     assert [(r.set_id, r.sample_idx, r.ts, r.hit and r.hit.title) for r in got] == [("s", 0, 0, "T"), ("s", 1, 30, None)]
+    bad = df.unionByName(spark.createDataFrame([("u", "not valid json {{{")], "k string, value string"))
+    assert files.progress(bad, F.col("k"), strict=False).count() == 2
+    with pytest.raises(Exception, match="corrupt progress log of u"):
+        files.progress(bad, F.col("k")).collect()
+
+
+def test_progress_is_written_in_parts(spark, tmp_path):
+    at = str(tmp_path / "log")
+    assert files.read_progress(spark, at, 30).count() == 0
+    schema = f"set_id string, sample_idx bigint, ts int, hit {files.HIT}"
+    hit = lambda k: ('T "q" \\ é', "A", None, None, f"u{k}") if k % 3 else None
+    rows = [("s", k, 30 * k, hit(k)) for k in range(25) if k != 7] + [("t", 0, 0, None)]
+    files.write_progress(spark.createDataFrame(rows, schema), at, width=10)
+    assert sorted(map(tuple, files.read_progress(spark, at, 30).collect())) == sorted(rows)
+    files.write_progress(spark.createDataFrame([("s", 20, 600, hit(1))], schema), at, width=10)
+    got = sorted(map(tuple, files.read_progress(spark, at, 30).collect()))
+    assert got == sorted([r for r in rows if not (r[0] == "s" and r[1] >= 20)] + [("s", 20, 600, hit(1))])
+
+
+def test_one_save_of_an_editor(spark, tmp_path):
+    track = "struct<ts:int,artist:string,title:string,rejected:boolean,shazam_url:string,album:string,coverart_url:string>"
+    lists = spark.createDataFrame([("s", "m.mp3", None, [(0, "A", "One", False, None, None, None)])], f"set_id string, source_file string, generated_on string, tracks array<{track}>")
+    edits = spark.createDataFrame([("A", "One", "a", "oen"), ("B", "Two", None, None)], "artist string, title string, original_artist string, original_title string")
+    log = spark.createDataFrame([("a|||oen", "old", "old", "a", "oen", "2020"), ("k|||k", "K", "K", "k", "k", "2020")], "cor_key string, artist string, title string, original_artist string, original_title string, corrected_at string")
+    for _ in range(2):
+        files.save_lists(lists, edits, log, str(tmp_path), F.lit("2025"))
+    read = lambda kind: {r.document: r.value for r in spark.read.text(str(tmp_path / kind), wholetext=True).collect()}
+    assert read("markdown")["s"].startswith("# Tracklist: m.mp3") and '"artist":"A"' in read("json")["s"]
+    assert sorted((r.cor_key, r.artist) for r in spark.read.parquet(str(tmp_path / "corrections")).collect()) == [("a|||oen", "A"), ("k|||k", "K")]
 
 
 def test_documents_are_replaced_by_key(spark, tmp_path):
@@ -111,8 +149,34 @@ def test_running_collapse(spark, tmp_path):
     go()
     put(("a", 3, "x"), ("a", 4, "y"))
     go()
-    got = sorted((r.g, r.i, r.k) for r in spark.read.parquet(out).collect())
-    assert got == [("a", 0, "x"), ("a", 4, "y")]
+    got = sorted((r.g, r.i, r.k, r.kind) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 0, "x", "start"), ("a", 4, "y", "start")]
+
+
+def test_the_end_of_a_set_withdraws_what_came_once(spark, tmp_path):
+    src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    schema = "g string, i bigint, k string, done boolean"
+    put = lambda *r: spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(src)
+    go = lambda: jobs.run_available(jobs.running_collapse(jobs.stream(spark, src, spark.createDataFrame([], schema)), "g", "i", "k", closing="done"), jobs.append_to(out), mark)
+    put(("a", 0, "x", None), ("a", 1, "x", None), ("a", 2, "y", None))
+    go()
+    put(("a", 3, "z", False), ("a", 4, None, True))
+    go()
+    got = sorted((r.i, r.k, r.kind) for r in spark.read.parquet(out).where("g = 'a'").collect())
+    assert got == [(0, "x", "start"), (2, "y", "start"), (2, "y", "withdrawn"), (3, "z", "start"), (3, "z", "withdrawn")]
+
+
+def test_late_rows_are_left_out_once_their_window_is_closed(spark, tmp_path):
+    src, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
+    put = lambda *t: spark.createDataFrame([("s", x) for x in t], "g string, x string").selectExpr("g", "CAST(x AS timestamp_ntz) AS at").coalesce(1).write.mode("append").parquet(src)
+    like = spark.sql("SELECT 's' AS g, timestamp_ntz'2026-01-01 00:00:00' AS at")
+    go = lambda: jobs.run_available(jobs.tumbling(jobs.stream(spark, src, like), "at", "g", late="1 minute"), jobs.append_to(out), mark)
+    put("2026-01-01 00:00:10", "2026-01-01 00:05:00")
+    go()
+    put("2026-01-01 00:00:20", "2026-01-01 00:04:40", "2026-01-01 00:20:00")
+    go()
+    got = sorted((str(r.window_start), r.n) for r in spark.read.parquet(out).collect())
+    assert got == [("2026-01-01 00:00:00", 1), ("2026-01-01 00:04:30", 1), ("2026-01-01 00:05:00", 1)]
 
 
 def test_late_rows_and_windows(spark, tmp_path):
