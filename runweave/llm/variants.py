@@ -17,7 +17,7 @@ one. The register may be large: it is never collected, and its forms are joined
 
 Edge cases: null and empty names give no rows; a name without letters or digits has no form; names of any length and number of words are
 rewritten; forms over ``whole`` letters meet for slips by their halves, of which one slip spoils one only; forms of four and five letters bear a slip
-only behind an equal first letter, shorter ones none; numbers must agree; repeated register rows count once; empty tables give empty results; other columns are ignored.
+only behind an equal first letter, shorter ones none; short first names by rule bear none, as they are many; numbers must agree; repeated register rows count once; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def rewritings(name: str, nicknames: dict[str, str] = NICKNAMES, forms: dict[str
             put([nick] + rest, "nickname", 2)
             put(rest + [nick], "nickname", 3, True)
         for nick in short_names(given):
-            put([nick] + rest, "nickname", 3)
+            put([nick] + rest, "nickname", 4)
         for p in PREFIXES:
             put([p] + words, "prefix", 2)
     return [(k, f, r, c) for k, (f, r, c) in out.items()]
@@ -212,22 +212,24 @@ def _checked(kind: pd.Series, typed: pd.Series, form: pd.Series, first: pd.Serie
 FORM, SOUND, SLIP = 0, 1, 2
 
 
-def _holes(words: Column) -> Column:
-    """Each word of a name of several words, with the others around its place."""
-    hole = lambda i: F.struct(F.array_join(F.transform(words, lambda w, k: F.when(k == i, F.lit("\x01")).otherwise(w)), " ").alias("around"), F.element_at(words, (i + 1).cast("int")).alias("word"))
-    return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 1), hole)).otherwise(F.array().cast("array<struct<around:string,word:string>>"))
+def _holes(df: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """around, word: words of names of several words, with the others around their place. known: words that are passed over."""
+    each = df.where(F.size("words") > 1).select("words", F.posexplode("words").alias("at", "word"))
+    if known is not None:
+        each = each.where("length(word) > 1").join(known, "word", "left_anti")
+    around = F.concat_ws(" ", F.slice("words", F.lit(1), F.col("at")), F.lit("\x01"), F.slice("words", F.col("at") + 2, F.size("words")))
+    return each.select(around.alias("around"), "word").distinct()
 
 
 def learned_words(typed: DataFrame, known: DataFrame, support: int = 3, most: float = 0.6, shared: int = 3) -> DataFrame:
     """written, word: words that the register does not have and that stand for one of its words. typed, known: words (of each distinct name).
 
     Surroundings that more than ``shared`` register names have say nothing about a single word and are passed over."""
-    holes = lambda df: df.select(F.explode(_holes(F.col("words"))).alias("h")).select("h.around", "h.word").distinct()
-    of = holes(known)
-    telling = of.groupBy("around").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= shared).select("around")
-    vocabulary = known.select(F.explode("words").alias("written")).distinct()
-    new = holes(typed).where("length(word) > 1").withColumnRenamed("word", "written").join(vocabulary, "written", "left_anti")
-    pairs = new.join(of.join(telling, "around", "left_semi"), "around")
+    of = _holes(known)
+    telling = of.groupBy("around").agg(F.collect_set("word").alias("to"), F.count(F.lit(1)).alias("n")).where(F.col("n") <= shared)
+    vocabulary = known.select(F.explode("words").alias("word")).distinct()
+    new = _holes(typed, vocabulary).withColumnRenamed("word", "written")
+    pairs = new.join(telling, "around").select("around", "written", F.explode("to").alias("word"))
     each = pairs.groupBy("written", "word").agg(F.countDistinct("around").alias("n"))
     total = pairs.groupBy("written").agg(F.countDistinct("around").alias("all"))
     return each.where(F.col("n") >= support).join(total, "written").where(F.col("n") >= most * F.col("all")).select("written", "word")
@@ -250,9 +252,12 @@ def resolve(typed: DataFrame, register: DataFrame, *, whole: int = 60, support:
         typed.where("name IS NOT NULL AND name <> ''").select("name").distinct()
         .mapInArrow(_plain, "name string, form string, first string, last string, heard string, words array<string>").where("form <> ''")
     )
-    own = known.select("name").mapInArrow(_plain, "name string, form string, first string, last string, heard string, words array<string>").where("form <> ''")
-    words = cut(known.join(own.select("name", "words").distinct(), "name").select("id", "words"))
-    written = cut(learned_words(names.select("words"), words.select("words").distinct(), support))
+    own = known.select("name").distinct().mapInArrow(_plain, "name string, form string, first string, last string, heard string, words array<string>").where("form <> ''")
+    words = cut(known.join(own.select("name", "form", "words"), "name").select("id", "form", "words"))
+    n_known = words.count()
+    # Names as the register has them are no variants.
+    new = cut(names.join(_near(words.select("form").distinct(), n_known), "form", "left_anti"))
+    written = cut(learned_words(new.select("words"), words.select("words").distinct(), support))
     placed = words.select("id", "words", F.posexplode("words").alias("at", "word"))
     replaced = placed.join(_near(written, written.count()), "word").select("id", F.transform("words", lambda w, k: F.when(k == F.col("at"), F.col("written")).otherwise(w)).alias("w"))
     sounded = F.pandas_udf(lambda s: s.map(sound), "string")
@@ -260,24 +265,21 @@ def resolve(typed: DataFrame, register: DataFrame, *, whole: int = 60, support:
     made = known.mapInPandas(_forms(nicknames, short_forms), f"id {id_type}, form string, first string, rule string, cost int, heard string")
     # A form that several rules of one name give counts by its cheapest.
     forms = cut(made.unionByName(taught).groupBy("id", "form", "heard").agg(F.min(F.struct("cost", "rule", "first")).alias("m")).select("id", "form", "heard", "m.first", "m.rule", "m.cost"))
-    n_forms, n_names = forms.count(), names.count()
     # How many names give a form, those of the register and typed ones.
     given = forms.select("form", "id", F.lit(None).cast("string").alias("name")).unionByName(names.select("form", F.lit(None).cast(id_type).alias("id"), "name"))
     rarity = given.groupBy("form").agg((F.countDistinct("id") + F.countDistinct("name")).alias("n"))
-    total = float(n_names + known.count())
+    total = float(names.count() + n_known)
     score = F.log2(1 + total / F.col("n")) / (1 + F.col("cost"))
-    forms = cut(forms.join(rarity.hint("merge"), "form"))
-    same = forms.where("cost = 0").select("form").distinct()
-    new = names.join(_near(same, n_forms), "form", "left_anti")
+    counted = forms.join(rarity.hint("merge"), "form")
     # The three ways in which forms meet, each a row: as they are, by sound, without a letter.
     row = lambda kind, text, keys, extra: F.struct(F.lit(kind).alias("kind"), text.alias("text"), keys.alias("keys"), F.lit(extra).alias("extra"))
     form, heard = F.col("form"), F.col("heard")
     none = F.array().cast("array<string>")
-    ways = lambda by_ear: F.explode(F.array(row(FORM, form, F.array(form), 0), row(SOUND, heard, F.when(by_ear, F.array(heard)).otherwise(none), 2), row(SLIP, form, _slips(form, whole), 4)))
-    keyed = lambda df, by_ear, *cols: df.select(*cols, ways(by_ear).alias("w")).select(*cols, "w.kind", "w.text", "w.extra", F.explode("w.keys").alias("k")).withColumn("k", F.xxhash64("kind", "k"))
+    ways = lambda by_ear, slips: F.explode(F.array(row(FORM, form, F.array(form), 0), row(SOUND, heard, F.when(by_ear, F.array(heard)).otherwise(none), 2), row(SLIP, form, F.when(slips, _slips(form, whole)).otherwise(none), 4)))
+    keyed = lambda df, by_ear, slips, *cols: df.select(*cols, ways(by_ear, slips).alias("w")).select(*cols, "w.kind", "w.text", "w.extra", F.explode("w.keys").alias("k")).withColumn("k", F.xxhash64("kind", "k"))
     long = F.length("form") >= 6
-    left = keyed(new, long, "name", "first", "last").select("name", F.col("first").alias("a"), "last", "kind", F.col("text").alias("t"), "k")
-    right = keyed(forms, long & (F.col("cost") <= 1), "id", "first", "rule", "cost", "n").select("id", F.col("first").alias("h"), "kind", F.col("text").alias("f"), F.col("cost") + F.col("extra"), F.when(F.col("kind") == SOUND, "sound").when(F.col("kind") == SLIP, "slip").otherwise(F.col("rule")).alias("rule"), "n", "k").toDF("id", "h", "kind", "f", "cost", "rule", "n", "k")
+    left = keyed(new, long, F.lit(True), "name", "first", "last").select("name", F.col("first").alias("a"), "last", "kind", F.col("text").alias("t"), "k")
+    right = keyed(counted, long & (F.col("cost") <= 1), F.col("cost") < 4, "id", "first", "rule", "cost", "n").select("id", F.col("first").alias("h"), "kind", F.col("text").alias("f"), F.col("cost") + F.col("extra"), F.when(F.col("kind") == SOUND, "sound").when(F.col("kind") == SLIP, "slip").otherwise(F.col("rule")).alias("rule"), "n", "k").toDF("id", "h", "kind", "f", "cost", "rule", "n", "k")
     met = left.join(right.hint("merge"), ["kind", "k"]).select("name", "id", "kind", "t", "f", "a", "last", "h", "rule", score.alias("score")).distinct()
     check = F.pandas_udf(_checked, "boolean")
     best = cut(met.where(check("kind", "t", "f", "a", "last", "h")).groupBy("name", "id").agg(F.max(F.struct("score", "rule")).alias("b")))
