@@ -36,7 +36,20 @@ GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικορυνχ", "ABEZHIKMNOPTYX
 FOREIGN = "ЅІЈѕіјҺԚԜһԁԛԝӏ"
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 HYPHENS = "\u2010\u2011\u2012\u2212\ufe63\uff0d"
-INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe0e\ufe0f\ufeff"
+#: Ignorable code points that are no format characters: joiners of graphemes, fillers, inherent vowels, unassigned ones that are ignored, variation selectors.
+FILLERS = ((0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x2065, 0x2065), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0xE0100, 0xE01EF))
+#: Format characters that are seen: signs before numbers.
+SEEN = ((0x600, 0x605), (0x6DD, 0x6DD), (0x70F, 0x70F), (0x890, 0x891), (0x8E2, 0x8E2), (0x110BD, 0x110BD), (0x110CD, 0x110CD))
+TAGS = (0xE0020, 0xE007F)
+BLACK_FLAG = 0x1F3F4
+
+
+def invisible() -> list[int]:
+    """What is not seen, by rule: format characters but those that are seen, and the ignorable others."""
+    seen = {cp for lo, hi in SEEN for cp in range(lo, hi + 1)}
+    formats = [cp for cp in range(0xAD, 0xE0080) if unicodedata.category(chr(cp)) == "Cf" and cp not in seen]
+    return sorted({*formats, *(cp for lo, hi in FILLERS for cp in range(lo, hi + 1))})
+
 
 LATIN, CYR, GRE, OTHER = 1, 2, 3, 4
 
@@ -76,8 +89,8 @@ class Tables:
             self._put(ord(c), " ", pool)
         for c in HYPHENS:
             self._put(ord(c), "-", pool)
-        for c in INVISIBLE:
-            self._put(ord(c), "", pool)
+        for cp in invisible():
+            self._put(cp, "", pool)
         self.pool = np.array(pool, np.uint32)
         self.nfd_start, self.nfd_length = nfd_start, nfd_length
         self.keys = np.array(sorted(pairs), np.int64)
@@ -174,6 +187,11 @@ def _without_invisible(t: Tables, codes: np.ndarray, rows: np.ndarray) -> np.nda
         keep |= (codes[odd] <= 0x200D) & t.joins[b] & t.joins[a]
         keep |= (codes[odd] >= 0xFE0E) & t.selected[b] & (b != 0xFE0F) & (b != 0xFE0E)
         length[odd[keep]] = 1
+    tag = (codes >= TAGS[0]) & (codes <= TAGS[1])
+    if tag.any():
+        # Tags behind a flag name a region; anywhere else they are hidden text.
+        base = np.maximum.accumulate(np.where(tag, -1, np.arange(len(codes))))
+        length[tag & (base >= 0) & (rows[np.maximum(base, 0)] == rows) & (codes[np.maximum(base, 0)] == BLACK_FLAG)] = 1
     return length
 
 

@@ -62,3 +62,11 @@ def test_changed_with_clashing_names(spark, key):
 def test_normalised_keeps_the_rest(spark):
     df = spark.createDataFrame([(1, "ａ", [1]), (2, None, None)], "id int, t string, plain array<int>")
     assert sorted(map(tuple, normalised(df, ["t"]).collect())) == [(1, "a", [1]), (2, None, None)]
+
+
+def test_invisible_signs_by_rule():
+    cases = {"a\U000e0041b": "ab", "a︀b": "ab", "a⁪b": "ab", "aㅤb": "ab", "a￹b": "ab", "a\U0001d173b": "ab", "a᠎b": "ab", "x\U000e0100": "x", "؀١": "؀١"}
+    flag = "\U0001f3f4\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f"
+    cases[flag] = flag
+    cases[f"{flag}a\U000e0067"] = f"{flag}a"
+    assert plain_column(pa.array(list(cases), pa.string()))[0].to_pylist() == list(cases.values())
