@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from runweave.session import cut
 
-BITS = (14, 28, 64)
+BITS = (14, 28)
 #: Surviving prefixes up to this many are joined by broadcast (16 bytes each); more by shuffle.
 BROADCAST_PREFIXES = 100_000
 

@@ -28,20 +28,30 @@ def _baskets(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("NOT coalesce(t.rejected, false)").select("basket", pairs.plain(F.col("t.title")).alias("item"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _pairs(spark: SparkSession, d: str, least: int = 5) -> DataFrame:
     n = table(spark, d, "tracklists").agg(F.countDistinct("set_id").alias("n"))
-    return pairs.pairs(_baskets(spark, d), min_count=5).crossJoin(F.broadcast(n))
+    return pairs.pairs(_baskets(spark, d), min_count=least).crossJoin(F.broadcast(n))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).where("n_ab * n >= 5 * n_a * n_b").select(F.col("item_a").alias("title_a"), F.col("item_b").alias("title_b"))
 
 
-def p2_scores(spark: SparkSession, d: str) -> DataFrame:
-    out = pairs.scored(_pairs(spark, d), F.col("n"))
+def _scores(found: DataFrame) -> DataFrame:
+    out = pairs.scored(found, F.col("n"))
     return out.select(F.col("item_a").alias("title_a"), F.col("item_b").alias("title_b"), "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction"))
 
 
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of five sets or more."""
+    return _scores(_pairs(spark, d))
+
+
+def p2_all_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that occurs at all."""
+    return _scores(_pairs(spark, d, 1))
+
+
 def p3_plain(spark: SparkSession, d: str) -> DataFrame:
     return plainform.changed(table(spark, d, "tracks"), "track_id", ["artist", "title"])
 
@@ -139,21 +149,23 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_statistics(spark, d).where("not_prose").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p3_found, p3_plain, p4_found, p4_runs, p6_found, p6_links, p7_found, p7_copies, p8_containers, p8_fill, p9_found, p9_spans, p10_found, p10_statistics, p10_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top, p2_found, p2_scores, p2_all_scores, p3_found, p3_plain, p4_found, p4_runs, p6_found, p6_links, p7_found, p7_copies, p8_containers, p8_fill, p9_found, p9_spans, p10_found, p10_statistics, p10_counts)}
 
 _VALUES = """SELECT 'artist' AS field, hit.artist AS item FROM samples WHERE hit.artist <> ''
   UNION ALL SELECT 'title', hit.title FROM samples WHERE hit.title <> ''"""
 
-_PAIRS = r"""it AS (
+_PAIRS_FROM = r"""it AS (
   SELECT DISTINCT set_id, trim(regexp_replace(lower(t.title), '\s+', ' ', 'g')) AS title
   FROM (SELECT set_id, unnest(tracks) AS t FROM tracklists) WHERE NOT coalesce(t.rejected, false)
 ), i AS (SELECT * FROM it WHERE title <> '' AND set_id IS NOT NULL),
 c AS (SELECT title, count(*) AS n_i FROM i GROUP BY 1),
 n AS (SELECT count(DISTINCT set_id) AS n FROM tracklists),
-f AS (SELECT set_id, title FROM i JOIN c USING (title) WHERE n_i >= 5),
-ab AS (SELECT x.title AS title_a, y.title AS title_b, count(*) AS n_ab FROM f x JOIN f y ON x.set_id = y.set_id AND x.title < y.title GROUP BY 1, 2 HAVING count(*) >= 5),
+f AS (SELECT set_id, title FROM i JOIN c USING (title) WHERE n_i >= LEAST_SETS),
+ab AS (SELECT x.title AS title_a, y.title AS title_b, count(*) AS n_ab FROM f x JOIN f y ON x.set_id = y.set_id AND x.title < y.title GROUP BY 1, 2 HAVING count(*) >= LEAST_SETS),
 s AS (SELECT title_a, title_b, ca.n_i AS n_a, cb.n_i AS n_b, n_ab, n FROM ab JOIN c ca ON ca.title = title_a JOIN c cb ON cb.title = title_b CROSS JOIN n)"""
 
+_PAIRS, _ALL_PAIRS = (_PAIRS_FROM.replace("LEAST_SETS", n) for n in ("5", "1"))
+
 # Rows of one entry that share the joined text of their fields in either order, and what follows from them.
 _COPIES = r"""k AS (SELECT track_id, coalesce('=' || set_id, '-') || chr(1) || coalesce('=' || ts, '-') AS g, regexp_replace(lower(nfc_normalize(coalesce(artist, ''))), '[^\p{L}\p{N}]', '', 'g') AS a, regexp_replace(lower(nfc_normalize(coalesce(title, ''))), '[^\p{L}\p{N}]', '', 'g') AS t FROM tracks WHERE track_id IS NOT NULL),
 j AS (SELECT track_id, g, a || t AS s FROM k WHERE a || t <> '' UNION SELECT track_id, g, t || a FROM k WHERE a || t <> ''),
@@ -178,5 +190,8 @@ SELECT * FROM (SELECT field, item, n, row_number() OVER (PARTITION BY field ORDE
     "p2_found": f"WITH {_PAIRS} SELECT title_a, title_b FROM s WHERE n_ab * n >= 5 * n_a * n_b",
     "p2_scores": f"""WITH {_PAIRS} SELECT title_a, title_b, n_a, n_b, n_ab,
   round(CAST(n_ab * n AS DOUBLE) / (n_a * n_b), 6) AS lift,
+  round(CASE WHEN n_a > n_ab THEN CAST(n_a * (n - n_b) AS DOUBLE) / (n * (n_a - n_ab)) END, 6) AS conviction FROM s""",
+    "p2_all_scores": f"""WITH {_ALL_PAIRS} SELECT title_a, title_b, n_a, n_b, n_ab,
+  round(CAST(n_ab * n AS DOUBLE) / (n_a * n_b), 6) AS lift,
   round(CASE WHEN n_a > n_ab THEN CAST(n_a * (n - n_b) AS DOUBLE) / (n * (n_a - n_ab)) END, 6) AS conviction FROM s""",
 }
