@@ -44,15 +44,16 @@ def parsed(texts: DataFrame, key: str, text: str) -> DataFrame:
     source = F.coalesce(strip(F.replace(first(TITLE_MARK), F.lit(TITLE_MARK), F.lit(""))), F.lit(""))
     date = empty_to_null(F.regexp_extract(first("*Generated on"), DATE_LINE, 1))
 
+    # Each line is matched once: what its groups hold comes out behind a mark that lines do not contain.
+    mark = "\x02"
+    matched = F.transform(lines, lambda x: F.regexp_replace(strip(F.replace(x, F.lit(mark), F.lit(""))), rf"{TRACK_LINE}[\s\S]*$", rf"{mark}$3{mark}$1{mark}$2"))
+
     def track(x: Column) -> Column:
-        artist, title = F.regexp_extract(x, TRACK_LINE, 1), F.regexp_extract(x, TRACK_LINE, 2)
+        p = F.split(x, mark)
         before = lambda v: F.when(v != "", strip(v))
-        return F.struct(
-            seconds_of(F.regexp_extract(x, TRACK_LINE, 3)).cast("int").alias("ts"), strip(artist).alias("artist"), strip(title).alias("title"),
-            before(artist).alias("original_artist"), before(title).alias("original_title"),
-        )
+        return F.struct(seconds_of(p[1]).cast("int").alias("ts"), strip(p[2]).alias("artist"), strip(p[3]).alias("title"), before(p[2]).alias("original_artist"), before(p[3]).alias("original_title"))
 
-    rows = F.transform(F.filter(F.transform(lines, strip), lambda x: x.rlike(TRACK_LINE)), track)
+    rows = F.transform(F.filter(matched, lambda x: x.startswith(mark)), track)
     return texts.select(F.col(key), source.alias("source_file"), date.alias("generated_on"), rows.alias("tracks"))
 
 

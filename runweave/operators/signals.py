@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from runweave.operators.runs import numbered
 
 
-def slices(df: DataFrame, duration_ms: str, step_ms: int = 30_000) -> DataFrame:
-    """Consecutive windows of ``step_ms``, the last one short: the columns of ``df``, sample_idx, ts (whole seconds), start_ms, end_ms."""
+def slices(df: DataFrame, duration_ms: str, step_ms: int = 30_000, block: int = 4096) -> DataFrame:
+    """Consecutive windows of ``step_ms``, the last one short: the columns of ``df``, sample_idx, ts (whole seconds), start_ms, end_ms.
+
+    A signal of any length is spread: a row per ``block`` windows is moved, and its windows are made where it lands."""
     d = F.col(duration_ms).cast("bigint")
-    starts = F.when(d > 0, F.sequence(F.lit(0).cast("bigint"), d - 1, F.lit(step_ms).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
-    out = df.select("*", F.posexplode(starts).alias("sample_idx", "start_ms"))
-    return out.select(*df.columns, F.col("sample_idx").cast("bigint").alias("sample_idx"), F.floor(F.col("start_ms") / 1000).cast("bigint").alias("ts"), "start_ms", F.least(F.col("start_ms") + step_ms, d).alias("end_ms"))
+    last = F.floor((d - 1) / step_ms)
+    blocks = df.where(d > 0).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / block))).alias("_block")).repartition(duration_ms, "_block")
+    inside = F.sequence(F.col("_block") * block, F.least(last, (F.col("_block") + 1) * block - 1))
+    out = blocks.select(*df.columns, F.explode(inside).alias("sample_idx")).withColumn("start_ms", F.col("sample_idx") * step_ms)
+    return out.select(*df.columns, "sample_idx", F.floor(F.col("start_ms") / 1000).cast("bigint").alias("ts"), "start_ms", F.least(F.col("start_ms") + step_ms, d).alias("end_ms"))
 
 
 def unfinished(parts: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
