@@ -70,14 +70,10 @@ FUNCTION_WORDS = {
         "ne n pas plus très aussi bien déjà encore toujours jamais alors ici là puis trop peu seulement presque moins même tard directement",
     ),
 }
-#: Word classes (in the order above), follow-on classes (a determiner before what is no part of its group or two prepositions and the like, other function before
+#: Structures: word classes (in the order above), follow-on classes (a determiner before what is no part of its group or two prepositions and the like, other function before
 #: function, function before content, content before function, content before content) and
 #: character classes (letters, digits, blanks, sentence marks, other signs, line ends).
 PROFILES = {
-    "prose en": ((0.12, 0.13, 0.06, 0.09, 0.08, 0.05, 0.44, 0.005, 0.015, 0.01), (0.02, 0.26, 0.27, 0.27, 0.18), (0.795, 0.01, 0.165, 0.022, 0.004, 0.004)),
-    "prose de": ((0.14, 0.12, 0.06, 0.06, 0.08, 0.05, 0.46, 0.005, 0.015, 0.01), (0.03, 0.20, 0.28, 0.28, 0.21), (0.82, 0.01, 0.145, 0.02, 0.003, 0.002)),
-    "prose es": ((0.15, 0.15, 0.07, 0.06, 0.04, 0.04, 0.46, 0.005, 0.015, 0.01), (0.03, 0.21, 0.28, 0.28, 0.20), (0.80, 0.01, 0.165, 0.02, 0.003, 0.002)),
-    "prose fr": ((0.17, 0.14, 0.06, 0.05, 0.05, 0.05, 0.45, 0.005, 0.015, 0.01), (0.03, 0.22, 0.28, 0.28, 0.19), (0.79, 0.01, 0.165, 0.03, 0.003, 0.002)),
     "names": ((0.05, 0.03, 0.02, 0.005, 0.01, 0.01, 0.81, 0.005, 0.05, 0.01), (0.002, 0.01, 0.10, 0.08, 0.808), (0.79, 0.03, 0.14, 0.03, 0.005, 0.005)),
     "list": ((0.04, 0.03, 0.01, 0.005, 0.01, 0.005, 0.55, 0.005, 0.16, 0.185), (0.002, 0.01, 0.09, 0.08, 0.818), (0.60, 0.08, 0.18, 0.05, 0.06, 0.03)),
     "words": ((0.0, 0.0, 0.0, 0.0, 0.0, 0.01, 0.94, 0.005, 0.035, 0.01), (0.0, 0.0, 0.01, 0.01, 0.98), (0.82, 0.02, 0.13, 0.005, 0.005, 0.02)),
@@ -92,13 +88,10 @@ LANGUAGES = list(FUNCTION_WORDS)
 #: Visible characters by the line they stand in: an item (bulleted and under twelve words), under three words and not closed by a mark, as
 #: before in the document, any other. Lists and repetition are profiles of their own.
 LINES = {"prose": (0.01, 0.04, 0.02, 0.93), "names": (0.05, 0.1, 0.05, 0.8), "list": (0.3, 0.3, 0.05, 0.35), "items": (0.85, 0.05, 0.02, 0.08), "short lines": (0.02, 0.88, 0.02, 0.08), "repeated": (0.02, 0.04, 0.9, 0.04)}
-#: Prose in which four words in ten belong to names and titles.
-for _lang in LANGUAGES:
-    PROFILES[f"prose with names {_lang}"] = tuple(tuple(0.6 * a + 0.4 * b for a, b in zip(x, y)) for x, y in zip(PROFILES[f"prose {_lang}"], PROFILES["names"]))
-    # The same words in items, in lines of one or two words, and said again and again.
-    for _kind in ("items", "short lines", "repeated"):
-        PROFILES[f"{_kind} {_lang}"] = PROFILES[f"prose {_lang}"]
-NAMES = list(PROFILES)
+#: Prose in which four words in ten belong to names and titles, and the words of prose in items, in lines of one or two words, and said again and again.
+MADE = ("prose", "prose with names", "items", "short lines", "repeated")
+NAMES = [*PROFILES, *(f"{kind} {lang}" for lang in LANGUAGES for kind in MADE)]
+RATED = list(NAMES)
 #: Prose in a language without a profile of its own.
 OTHER_PROSE = len(NAMES)
 NAMES = [*NAMES, "prose other"]
@@ -218,6 +211,21 @@ def _forms(seg: np.ndarray, n_segs: int, length: np.ndarray, first_up: np.ndarra
     return [counts, follow, np.bincount(seg * 3 + stopped, minlength=n_segs * 3).reshape(n_segs, 3)]
 
 
+@cache
+def _targets() -> list[np.ndarray]:
+    """The distributions of every profile: words, their order, characters, lines. Those of prose are measured on the samples like any text."""
+    rows: dict[str, tuple] = {k: (*v, LINES["prose" if k in ("shuffled", "scrambled", "words", "encoded", "signs") else "list" if k == "list" else "names"]) for k, v in PROFILES.items()}
+    for lang in LANGUAGES:
+        counts = _measured(pa.array([samples.KNOWN[lang]], pa.string()), 10**9)[2]
+        prose = [(0.97 * _shares(x.sum(axis=0, keepdims=True)) + 0.03 / x.shape[1])[0] for x in counts]
+        rows[f"prose {lang}"] = (*prose, LINES["prose"])
+        rows[f"prose with names {lang}"] = (*[0.6 * x + 0.4 * np.array(y) for x, y in zip(prose, PROFILES["names"])], LINES["prose"])
+        for kind in ("items", "short lines", "repeated"):
+            rows[f"{kind} {lang}"] = (*prose, LINES[kind])
+    out = [np.array([rows[x][i] for x in RATED], float) for i in range(4)]
+    return [x / x.sum(axis=1, keepdims=True) for x in out]
+
+
 @cache
 def _any_language() -> tuple[list[np.ndarray], np.ndarray]:
     """Distributions of forms, of their order, of marks, of characters and of lines of prose in each language of the samples and of what is made from it by rule,
@@ -240,7 +248,7 @@ def measure(col: pa.Array, window: int = 400) -> dict[str, np.ndarray]:
     return _measured(col, window, rate=True)[0]
 
 
-def _measured(col: pa.Array, window: int, rate: bool = False) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+def _measured(col: pa.Array, window: int, rate: bool = False) -> tuple[dict[str, np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """The figures of each row where ``rate`` asks for them, and counts of forms, their order, marks, characters and lines of each segment."""
     low, kind, upper, keys, classes = _tables()
     codes, at = to_codes(*string_buffers(col))
@@ -334,8 +342,6 @@ def _measured(col: pa.Array, window: int, rate: bool = False) -> tuple[dict[str,
     marked = stop[np.minimum(behind, n - 1)] if n_words else np.empty(0, bool)
     leading = stop[np.maximum(before, 0)] & (blank[np.maximum(before - 1, 0)] | (before < 1)) & (before >= 0) if n_words else np.empty(0, bool)
     by_form = [*_forms(word_seg, n_segs, length, first_up, ups, number, mixed, begins, signs, np.where(leading, 1, np.where(marked, 0, 2))), chars, by_line]
-    if not rate:
-        return {}, by_form
     # A segment is rated in the language that most of its words are function words of.
     table = classes[found] if n_words else np.empty((0, len(LANGUAGES)), np.int8)
     is_function = known[:, None] & (table < CONTENT)
@@ -352,12 +358,11 @@ def _measured(col: pa.Array, window: int, rate: bool = False) -> tuple[dict[str,
     both = np.append(word_seg[1:] == word_seg[:-1], False)[:n_words]
     follow = np.bincount(word_seg[both] * 5 + pair[both], minlength=n_segs * 5).reshape(n_segs, 5)
     follow[follow.sum(axis=1) == 0, 4] = 1
-    kinds = [next((v for x, v in LINES.items() if p.startswith(x)), LINES["names"]) for p in PROFILES]
-    kinds = [LINES["prose"] if p in ("shuffled", "scrambled", "words", "encoded", "signs") else v for p, v in zip(PROFILES, kinds)]
-    targets = [np.array([PROFILES[x][i] for x in PROFILES], float) for i in range(3)] + [np.array(kinds, float)]
-    targets = [x / x.sum(axis=1, keepdims=True) for x in targets]
+    if not rate:
+        return {}, by_form, [counts, follow, chars]
+    targets = _targets()
     score = divergence(_shares(counts), targets[0]) + 3 * divergence(_shares(follow), targets[1]) + 0.5 * divergence(_shares(chars), targets[2]) + divergence(_shares(by_line), targets[3])
-    of_language = np.array([[not x.startswith(("prose", "items", "short lines", "repeated")) or x.endswith(lang) for x in PROFILES] for lang in LANGUAGES])
+    of_language = np.array([[not x.startswith(("prose", "items", "short lines", "repeated")) or x.endswith(lang) for x in RATED] for lang in LANGUAGES])
     score[~of_language[language]] = np.inf
     profile = score.argmin(axis=1)
     # Segments with few function words of the known languages may be prose in another one.
@@ -384,7 +389,7 @@ def _measured(col: pa.Array, window: int, rate: bool = False) -> tuple[dict[str,
         "common_words": function_share.max(axis=1) / np.maximum(n_words_doc, 1), "repeated_lines": np.bincount(line_doc[again], minlength=n_docs) / np.maximum(lines_doc, 1),
         "prose_share": prose / np.maximum(total, 1), "profile": np.where(total > 0, by_kind.argmax(axis=1), -1),
         "repeated_chars": np.bincount(line_doc, weights=visible * again, minlength=n_docs) / np.maximum(visible_doc, 1),
-    }, by_form
+    }, by_form, [counts, follow, chars]
 
 
 FIGURES = {
