@@ -11,7 +11,7 @@ all rows is spread over as many tasks as it has blocks. The rows are moved once,
 copies of a position are removed in that order.
 
 Neighbours are the same event if both fields agree in letters and digits after look-alike
-characters are made plain, or differ by ``slips`` slips of typing at most (fewer in short names), and the numbers and
+characters are made plain, or differ by ``slips`` slips of typing at most (none in names under ``short[0]`` letters, one under ``short[1]``), and the numbers and
 version words of the title agree.
 
 Edge cases: rows without a sequence or position are in no sequence; an event is no match
@@ -43,8 +43,9 @@ NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 class Same:
     """Whether two (artist, title) are one event; remembers what it worked out for recent ones."""
 
-    def __init__(self, slips: int) -> None:
-        self.slips, self.known = slips, {}
+    def __init__(self, slips: int, short: tuple[int, int] = (4, 7)) -> None:
+        """short: names under so many letters bear no slip, and one at most."""
+        self.slips, self.short, self.known = slips, short, {}
 
     def _of(self, event: tuple[str, str]) -> tuple:
         if (got := self.known.get(event)) is None:
@@ -57,9 +58,8 @@ class Same:
         return got
 
     def _allowed(self, v: str, w: str) -> int:
-        """Short names bear fewer slips: none under four letters, one under seven."""
         n = max(len(v), len(w))
-        return 0 if n < 4 else min(self.slips, 1) if n < 7 else self.slips
+        return 0 if n < self.short[0] else min(self.slips, 1) if n < self.short[1] else self.slips
 
     def __call__(self, a: tuple[str, str], b: tuple[str, str]) -> bool:
         if a == b:
@@ -71,14 +71,13 @@ class Same:
         return x[2][0] == y[2][0] and not (only and other) and all(within(v, w, self._allowed(v, w)) for v, w in zip(x[:2], y[:2]))
 
 
-def _encode(batches: Iterator[pa.RecordBatch | list], slips: int, edges: bool, whole: bool) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch | list], same: Same, edges: bool, whole: bool) -> Iterator[pa.RecordBatch]:
     """Joins neighbouring runs of each (seq, block); rows come sorted by seq, block, pos.
 
     Of a block the runs are held until its end is known; where blocks are whole sequences, nothing is held.
 
     edges: the rows are first (even pos) and last (odd pos) runs of blocks; a last run never
     joins the first one of its own block, as other runs lie between or they differ."""
-    same = Same(slips)
     group, done, run = None, [], None
     out: list[list] = []
 
@@ -144,7 +143,7 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], NAMES)
 
 
-def _level(rows: DataFrame, slips: int, edges: bool, whole: bool) -> DataFrame:
+def _level(rows: DataFrame, slips: tuple, edges: bool, whole: bool) -> DataFrame:
     """The runs of each (seq, block), of events or of edges. Rows are moved once; of several events at a position the one
     received last counts, which the order that the runs need tells."""
     laid = rows.repartition("seq", "block")
@@ -152,7 +151,7 @@ def _level(rows: DataFrame, slips: int, edges: bool, whole: bool) -> DataFrame:
         last = Window.partitionBy("seq", "block", "pos").orderBy(*[F.col(c).desc_nulls_last() for c in ("received", "ts", "artist", "title")])
         laid = laid.withColumn("rn", F.row_number().over(last)).where("rn = 1").select("seq", "block", "pos", "ts", F.coalesce("artist", F.lit("")).alias("a"), F.coalesce("title", F.lit("")).alias("t")).where("a <> '' OR t <> ''")
     ordered = laid.sortWithinPartitions("seq", "block", "pos")
-    return ordered.mapInArrow(lambda it: _encode(it if edges else map(_single, it), slips, edges, whole), SCHEMA)
+    return ordered.mapInArrow(lambda it: _encode(it if edges else map(_single, it), Same(*slips), edges, whole), SCHEMA)
 
 
 def _single(b: pa.RecordBatch) -> list:
@@ -162,7 +161,7 @@ def _single(b: pa.RecordBatch) -> list:
     return [seq, block, pos, None, ts, ts, pa.array(np.ones(n, np.int64)), a, t, a, t, a, t]
 
 
-def runs(events: DataFrame, *, width: int = 4096, slips: int = 2, fan: int = 1024) -> DataFrame:
+def runs(events: DataFrame, *, width: int = 4096, slips: int = 2, short: tuple[int, int] = (4, 7), fan: int = 1024) -> DataFrame:
     """``events``: seq, idx (position), ts, artist, title, received. Gives seq, first_ts, last_ts, n, artist, title
     (of the run's first event) of every longest run, those of one event too. ``fan`` is 2 at least."""
     if fan < 2:
@@ -170,7 +169,7 @@ def runs(events: DataFrame, *, width: int = 4096, slips: int = 2, fan: int = 102
     rows = events.where("seq IS NOT NULL AND idx IS NOT NULL AND ts IS NOT NULL").select(
         F.col("seq").cast("string").alias("seq"), F.floor(F.col("idx") / width).cast("bigint").alias("block"), F.col("idx").cast("bigint").alias("pos"), F.col("ts").cast("bigint").alias("ts"), "artist", "title", "received"
     )
-    state = cut(_level(rows, slips, False, False))
+    state = cut(_level(rows, (slips, short), False, False))
     kept, whole = state.where("NOT edge"), False
     while not whole:
         # The edges of neighbouring blocks, in the order of blocks, are one block of the next level.
@@ -178,6 +177,6 @@ def runs(events: DataFrame, *, width: int = 4096, slips: int = 2, fan: int = 102
         blocks = state.groupBy("seq").agg(F.countDistinct("block").alias("n")).agg(F.max("n")).first()[0] or 0
         whole = blocks <= fan
         state = state.withColumn("block", F.lit(0).cast("bigint") if whole else F.floor(F.col("block") / fan).cast("bigint"))
-        state = cut(_level(state, slips, True, whole))
+        state = cut(_level(state, (slips, short), True, whole))
         kept = kept.unionByName(state if whole else state.where("NOT edge"))
     return kept.select("seq", "first_ts", "last_ts", "n", "artist", "title")
