@@ -105,6 +105,8 @@ BULLETS = "-*•·–—‣▪◦"
 #: Signs that close a line.
 CLOSING = ".!?…:;\"”»"
 SENTENCE_MARKS = ".,;:!?'\"()-’“”«»¿¡…–。、，！？；：「」『』،؛؟।॥·"
+#: Marks that stand behind a word and before a blank.
+STOPS = ".,;:!?…。，、；：！？،؛؟।॥"
 #: Marks behind which a capital letter begins a sentence.
 SENTENCE_ENDS = ".!?…:。！？؟।"
 
@@ -144,16 +146,38 @@ def _tables() -> tuple:
                     of.setdefault(_hash(w), [CONTENT] * len(LANGUAGES))
                     if of[_hash(w)][i] == CONTENT:
                         of[_hash(w)][i] = k
+    marks = np.zeros(TOP, np.uint8)
+    for bit, text in ((1, SENTENCE_ENDS), (2, STOPS), (4, CLOSING)):
+        marks[[ord(c) for c in text]] |= bit
     keys = np.array(sorted(of), np.uint64)
     classes = np.array([of[int(k)] for k in keys], np.int8)
-    return low, kind, upper, keys, classes
+    return low, kind, upper, marks, keys, classes
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence in bits of each row of p from each row of q: rows of p by rows of q."""
     m = (p[:, None, :] + q[None, :, :]) / 2
-    h = lambda x: -np.sum(np.where(x > 0, x * np.log2(np.maximum(x, 1e-12)), 0), axis=-1)
-    return h(m) - (h(p)[:, None] + h(q)[None, :]) / 2
+    return _entropy(m) - (_entropy(p)[:, None] + _entropy(q)[None, :]) / 2
+
+
+def _entropy(x: np.ndarray) -> np.ndarray:
+    return -np.einsum("...i,...i", x, np.log2(x + 1e-300))
+
+
+def _nearest_is_prose(shares: list[np.ndarray], profiles: list[np.ndarray], is_prose: np.ndarray, quick: tuple[int, ...]) -> np.ndarray:
+    """Whether the nearest profile by the sum of all divergences is one of prose. The others are first compared by the short
+    distributions alone (``quick``); where that sum is no less than the nearest prose, the rest cannot bring them nearer."""
+    best = sum(divergence(x, y[is_prose]) for x, y in zip(shares, profiles)).min(axis=1)
+    low = sum(divergence(shares[i], profiles[i][~is_prose]) for i in quick)
+    s, k = np.nonzero(low < best[:, None])
+    total = low[s, k]
+    for i in range(len(shares)):
+        if i not in quick:
+            x, y = shares[i][s], profiles[i][~is_prose][k]
+            total = total + _entropy((x + y) / 2) - (_entropy(x) + _entropy(y)) / 2
+    out = np.ones(len(best), bool)
+    out[s[total < best[s]]] = False
+    return out
 
 
 def _shares(counts: np.ndarray) -> np.ndarray:
@@ -193,8 +217,6 @@ def _bullets(text: np.ndarray, k: np.ndarray, seen: np.ndarray, line: np.ndarray
 
 
 SHORT, MIDDLE, LONG_WORD, BEGIN, CAPITAL, CAPITALS, DIGITS, MIXED_FORM, OTHER_SIGNS = range(9)
-#: Marks that stand behind a word and before a blank.
-STOPS = ".,;:!?…。，、；：！？،؛؟।॥"
 
 
 def _forms(seg: np.ndarray, n_segs: int, length: np.ndarray, first_up: np.ndarray, ups: np.ndarray, number: np.ndarray, mixed: np.ndarray, begins: np.ndarray, signs: np.ndarray, stopped: np.ndarray) -> list[np.ndarray]:
@@ -237,10 +259,11 @@ def _any_language() -> tuple[list[np.ndarray], np.ndarray]:
         for made in samples.structures(text).values():
             texts.append(made)
             prose.append(False)
-    parts = [_measured(pa.array([t], pa.string()), 10**9)[1] for t in texts]
+    # Without blank lines in it, each text is one segment.
+    parts = _measured(pa.array(texts, pa.string()), 10**9)[1]
     # A few counts of the even distribution, as the samples are short.
     even = lambda x: (_shares(x) * 0.98 + 0.02 / x.shape[1])
-    return [np.concatenate([even(p[i].sum(axis=0, keepdims=True)) for p in parts]) for i in range(5)], np.array(prose)
+    return [even(p) for p in parts], np.array(prose)
 
 
 def measure(col: pa.Array, window: int = 400) -> dict[str, np.ndarray]:
@@ -250,7 +273,7 @@ def measure(col: pa.Array, window: int = 400) -> dict[str, np.ndarray]:
 
 def _measured(col: pa.Array, window: int, rate: bool = False) -> tuple[dict[str, np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """The figures of each row where ``rate`` asks for them, and counts of forms, their order, marks, characters and lines of each segment."""
-    low, kind, upper, keys, classes = _tables()
+    low, kind, upper, marks, keys, classes = _tables()
     codes, at = to_codes(*string_buffers(col))
     n_docs = len(at) - 1
     # A line end after each text.
@@ -262,7 +285,7 @@ def _measured(col: pa.Array, window: int, rate: bool = False) -> tuple[dict[str,
     text[body] = codes
     text[text == 13] = 32
     doc = np.repeat(np.arange(n_docs), size + 1)
-    k = kind[text]
+    k, mark = kind[text], marks[text]
     n = len(text)
     k = _without_tags(text, k)
     # Lines.
@@ -324,19 +347,19 @@ def _measured(col: pa.Array, window: int, rate: bool = False) -> tuple[dict[str,
         again[x] = (line_doc[x] == line_doc[y]) & (line_hash[x] == line_hash[y]) & full[x]
     # The last sign of each line that is not blank.
     last = np.maximum.accumulate(np.where(seen, np.arange(n), -1))[line_end] if n_lines else np.empty(0, np.int64)
-    closed = full & np.isin(text[np.maximum(last, 0)], np.array([ord(c) for c in CLOSING], np.uint32))
+    closed = full & (mark[np.maximum(last, 0)] & 4 > 0)
     words_in_line = np.bincount(line[s], minlength=n_lines)
     item = _bullets(text, k, seen, line, n_lines) & (words_in_line < 12)
     line_kind = np.select([again, item, (words_in_line < 3) & ~closed], [2, 0, 1], 3)
     by_line = np.bincount(seg_of_line * 4 + line_kind, weights=visible, minlength=n_segs * 4).reshape(n_segs, 4)
     # Whether a sentence, line or segment ends before each word.
-    ends_sentence = np.isin(text, np.array([ord(x) for x in SENTENCE_ENDS], np.uint32)) | is_end
+    ends_sentence = (mark & 1 > 0) | is_end
     ended = np.cumsum(ends_sentence)
     begins = np.ones(n_words, bool)
     if n_words > 1:
         begins[1:] = ended[s[1:]] > ended[s[:-1]]
     signs = np.bincount(seg[np.flatnonzero(sign)], minlength=n_segs)
-    stop = np.isin(text, np.array([ord(x) for x in STOPS], np.uint32))
+    stop = mark & 2 > 0
     behind, before = s + length, s - 1
     blank = (k == 2) | (k == 5)
     marked = stop[np.minimum(behind, n - 1)] if n_words else np.empty(0, bool)
@@ -370,8 +393,8 @@ def _measured(col: pa.Array, window: int, rate: bool = False) -> tuple[dict[str,
     strange = np.flatnonzero(~PROSE[profile] & (in_seg.max(axis=1) < FOREIGN_SHARE * words_in_seg))
     if strange.size:
         other, is_prose = _any_language()
-        far = sum(divergence(_shares(x[strange]), y) for x, y in zip(by_form, other))
-        profile[strange[is_prose[far.argmin(axis=1)]]] = OTHER_PROSE
+        near = _nearest_is_prose([_shares(x[strange]) for x in by_form], other, is_prose, (1, 2, 4))
+        profile[strange[near]] = OTHER_PROSE
     weight = chars[:, [0, 1, 3, 4]].sum(axis=1)
     total = np.bincount(seg_doc, weights=weight, minlength=n_docs)
     prose = np.bincount(seg_doc, weights=weight * PROSE[profile], minlength=n_docs)
