@@ -31,9 +31,28 @@ def is_audio(suffix: Column) -> Column:
     return suffix.isin(*AUDIO)
 
 
+# What a failure of rate says, anywhere in its message.
+RATE_WORDS = ("429", "too many", "rate")
+
+
 def may_retry(message: Column) -> Column:
-    """Whether a failure is one of rate; the words are looked for anywhere in the message."""
-    return F.lower(message).rlike("429|too many|rate")
+    """Whether a failure is one of rate."""
+    return F.lower(message).rlike("|".join(RATE_WORDS))
+
+
+def supported_formats() -> Column:
+    """The extensions of audio files as a message lists them, in order."""
+    return F.array_join(F.array_sort(F.array(*map(F.lit, AUDIO))), ", ")
+
+
+def card_layout(size: Column) -> Column:
+    """Where things stand on a square card of ``size`` pixels: the bar over its lower part, the two lines of text and their heights."""
+    part = lambda k: F.floor(size / k).cast("int")
+    bar, pad, title, artist = F.floor(size * F.lit(0.72)).cast("int"), part(30), F.greatest(part(18), F.lit(16)), F.greatest(part(22), F.lit(13))
+    return F.struct(
+        bar.alias("bar_top"), pad.alias("padding"), title.alias("title_height"), artist.alias("artist_height"),
+        (bar + pad).alias("title_y"), (bar + pad + title + F.floor(pad / 2).cast("int")).alias("artist_y"), (size.cast("int") - 2 * pad).alias("text_width"),
+    )
 
 
 _ANSWER = (

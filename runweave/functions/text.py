@@ -53,6 +53,7 @@ def recording_key(artist: Column, title: Column) -> Column:
     return F.concat(F.lower(title), F.lit("\x01"), F.lower(artist))
 
 
+# What is left out of a name for a search, and the sizes in addresses of covers (the patterns of the next four functions).
 def search_name(text: Column) -> Column:
     """Without bracketed parts and without featured artists. The separators U+001C to U+001F are blanks too."""
     blank = r"[\s\x1c-\x1f]"

@@ -569,6 +569,14 @@ def before_after(spark: SparkSession, d: str) -> DataFrame:
     return j.select("user_id", text.duration_label(F.col("bd")).alias("before_"), F.when(F.col("bd") - F.col("ad") > 1.0, F.round(F.col("bd") - F.col("ad"), 4)).alias("trimmed"), text.megabytes(F.col("bs")).alias("mb_before"), change.alias("change"))
 
 
+@query("""WITH s AS (SELECT part_id, size, CAST(floor(size * 0.72::DOUBLE) AS INT) AS bar, size // 30 AS pad, greatest(size // 18, 16) AS th, greatest(size // 22, 13) AS ah FROM (SELECT p_partkey AS part_id, CAST(p_size AS INT) * 20 AS size FROM part))
+SELECT part_id, bar AS bar_top, pad AS padding, th AS title_height, ah AS artist_height, bar + pad AS title_y, bar + pad + th + pad // 2 AS artist_y, size - 2 * pad AS text_width, '.aac, .aiff, .flac, .m4a, .mp3, .ogg, .wav, .wma' AS formats FROM s""")
+def card_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """The layout of image cards of many sizes, and the formats that a message names."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("part_id"), rows.card_layout(F.col("p_size").cast("int") * 20).alias("c"))
+    return p.select("part_id", "c.*", rows.supported_formats().alias("formats"))
+
+
 # Files ---------------------------------------------------------------------------------------
 
 

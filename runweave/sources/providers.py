@@ -15,10 +15,11 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from runweave.functions.rows import RATE_WORDS
+
 ATTEMPTS = 5
 FIRST_WAIT = 30.0
 JITTER = 0.1
-RATE_WORDS = ("429", "too many", "rate")
 
 
 class Provider(Protocol):
@@ -67,7 +68,8 @@ def ask(df: DataFrame, request: str, make: Callable[[], Provider], *, answer: st
 
 
 def waterfall(df: DataFrame, candidates: str, make: Callable[[], Provider]) -> DataFrame:
-    """``df`` with source, address and data of the first candidate whose answer is not empty. Candidates are tried one
+    """``df`` with source, address and data of the first candidate whose answer is not empty. Candidates are addresses of what is wanted itself;
+    where a search has to be read first, ``operators.covers`` goes source by source. They are tried one
     after the other, and those after the first success are not asked."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", source string, address string, data binary"
 
