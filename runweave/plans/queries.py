@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -639,10 +641,14 @@ def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out").select("set_id", "sample_idx", "received_at")
 
 
-def _arriving(spark: SparkSession, d: str, at: str, columns: DataFrame, files: int = 3) -> DataFrame:
-    """The samples as files in the order in which they were received, streamed one after the other."""
-    columns.repartitionByRange(files, "received_at").write.parquet(f"{at}/in")
-    return jobs.stream(spark, f"{at}/in", columns, 1)
+def _as_received(samples: DataFrame, folder: str, batch: Callable[[DataFrame], None], steps: int = 3) -> None:
+    """The samples in ``steps`` parts in the order in which they were received: each is written to the folder and streamed before the next one comes."""
+    rows_ = samples.withColumn("_us", F.unix_micros(F.col("received_at").cast("timestamp")))
+    at = rows_.agg(F.percentile_approx("_us", [k / steps for k in range(1, steps)]).alias("q")).first()["q"] or []
+    for lo, hi in zip([None, *at], [*at, None]):
+        part = rows_.where((F.coalesce(F.col("_us") > lo, F.lit(False)) if lo is not None else F.lit(True)) & (F.coalesce(F.col("_us") <= hi, F.lit(True)) if hi is not None else F.lit(True)))
+        part.drop("_us").write.mode("append").parquet(folder)
+        batch(jobs.stream(samples.sparkSession, folder, samples))
 
 
 @query("""WITH w AS (SELECT set_id, time_bucket(INTERVAL '30 seconds', received_at) AS window_start, count(*) AS n FROM samples WHERE set_id IS NOT NULL GROUP BY 1, 2)
@@ -651,8 +657,8 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Windows of the clock over a stream in several batches, each given once, when the watermark has passed its end; files come in the order of arrival, so none is late."""
     at = _work_folder(spark, "tumbling")
     rows_ = table(spark, d, "samples").where("set_id IS NOT NULL").select("set_id", "received_at")
-    counts = jobs.tumbling(_arriving(spark, d, at, rows_), "received_at", "set_id", late="10 minutes")
-    jobs.run_available(counts, jobs.append_to(f"{at}/out"), f"{at}/offsets")
+    counted = lambda x: jobs.run_available(jobs.tumbling(x, "received_at", "set_id", late="10 minutes"), jobs.append_to(f"{at}/out"), f"{at}/offsets")
+    _as_received(rows_, f"{at}/in", counted)
     return spark.read.parquet(f"{at}/out").select("set_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
@@ -663,6 +669,7 @@ def stream_collapse(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "samples").where("set_id IS NOT NULL AND sample_idx IS NOT NULL")
     s = s.select("set_id", "sample_idx", "received_at", F.col("ts").cast("bigint").alias("ts"), F.col("hit.artist").alias("artist"), F.col("hit.title").alias("title"))
     key = lambda: F.when(~rows.is_unidentified(F.col("artist"), F.col("title")), text.recording_key(F.col("artist"), F.col("title")))
-    jobs.run_available(_arriving(spark, d, at, s), jobs.collapse_arrived(f"{at}/store", f"{at}/out", key, ["ts", "artist", "title"]), f"{at}/offsets")
+    sink = jobs.collapse_arrived(f"{at}/store", f"{at}/out", key, ["ts", "artist", "title"])
+    _as_received(s, f"{at}/in", lambda x: jobs.run_available(x, sink, f"{at}/offsets"))
     named = lambda c: F.when(F.col("matched"), F.col(c)).otherwise("").alias(c)
     return spark.read.parquet(f"{at}/out").select("set_id", "sample_idx", "ts", named("artist"), named("title"), "run")
